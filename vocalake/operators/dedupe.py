@@ -5,7 +5,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from .joins import join_dimension
 
 
 def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -33,4 +32,4 @@ def dedupe_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
 def pick_strategy(df: DataFrame, keys: Sequence[str] = ("business", "city"), rank: str = "strategy") -> DataFrame:
     """Rows of the strongest (lowest) strategy that gave the group any result."""
     best = df.groupBy(*keys).agg(F.min(rank).alias(rank))
-    return join_dimension(df, best, [*keys, rank], how="left_semi").select(*df.columns)
+    return df.join(best, [*keys, rank], "left_semi").select(*df.columns)

@@ -9,7 +9,6 @@ from ..functions.text import first_truthy, is_canonical_place_id, place_key
 from .columns import first_present
 from .dedupe import dedupe_first, pick_strategy
 from .filters import brand_filter
-from .joins import join_dimension
 
 PLACE_COLUMNS = (
     "business", "business_type", "name", "address", "city", "lat", "lng", "place_id", "data_id", "type", "rating",
@@ -41,7 +40,7 @@ def attach_place_metadata(reviews: DataFrame, places: DataFrame, order: Sequence
         _pick(meta, "reviews_count").alias("reviews_count"),
     )
     text, author = first_present(reviews, ("snippet", "text")), first_present(reviews, ("name", "author"))
-    return join_dimension(reviews, meta, ["place_id"], how="inner").select(
+    return reviews.join(meta, "place_id").select(
         F.col("place_id").alias("_place_id"), "_city", "_business", "title", "address", "lat", "lng", "place_rating",
         "reviews_count", "date", "rating", F.col(text).alias("text"), F.col(author).alias("author"),
     )
@@ -59,13 +58,13 @@ def resolve_ids(
     key = first_truthy(F.col("data_id"), F.col("place_id"))
     rows = places.withColumns({"_key": key, "_order": F.struct(*order)})
     known = cache.select(F.col("key").alias("_key"), F.col("value").alias("_cached"))
-    rows = join_dimension(rows, known, ["_key"])
+    rows = rows.join(known, "_key", "left")
     if resolved is None:
         rows = rows.withColumns({"_answer": F.lit(None).cast("string"), "_failed": F.lit(False)})
     else:
         answers = resolved.select(
             F.col("key").alias("_key"), F.col("value").alias("_answer"), F.col("failed").alias("_failed"))
-        rows = join_dimension(rows, answers, ["_key"])
+        rows = rows.join(answers, "_key", "left")
     canonical = is_canonical_place_id(F.col("place_id"))
     rows = rows.withColumns({
         "_own": F.when(canonical, F.col("place_id")).otherwise(F.nullif("_answer", F.lit(""))),
@@ -74,7 +73,7 @@ def resolve_ids(
     fresh = rows.filter(F.col("_cached").isNull() & F.col("_own").isNotNull() & F.col("_key").isNotNull())
     first = fresh.groupBy("_key").agg(
         F.min_by("_own", "_order").alias("_first_own"), F.min("_order").alias("_first_order"))
-    rows = join_dimension(rows, first, ["_key"])
+    rows = rows.join(first, "_key", "left")
     later = F.col("_first_order") < F.col("_order")
     status = (
         F.when(F.col("_cached").isNotNull() | later, "cache").when(F.col("_canonical"), "already_canonical")

@@ -11,7 +11,6 @@ from ..functions.text import first_truthy, fold_latin, fold_marks, format_center
 from ..taxonomy import CITY_REGIONS, REGION_ALIASES
 from .columns import first_present
 from .dedupe import dedupe_last
-from .joins import join_dimension
 
 MAX_REGIONS = 10_000
 CELL_DEGREES = 1.0
@@ -49,11 +48,15 @@ def region_cells(regions: DataFrame) -> DataFrame:
     return cells.groupBy("cell_x", "cell_y").agg(F.sort_array(F.collect_list(candidate)).alias("candidates"))
 
 
-def nearest_region(regions: DataFrame, lat: Column, lng: Column) -> Column:
-    """Name of the closest centroid in planar degrees; the first polygon wins a tie."""
+def _region_centers(regions: DataFrame) -> Column:
+    """All centroids as one array, from a scalar subquery; the number of regions is checked."""
     if regions.limit(MAX_REGIONS + 1).count() > MAX_REGIONS:
         raise ValueError(f"more than {MAX_REGIONS} regions: not a lookup")
-    centers = regions.agg(F.collect_list(F.struct("region_order", "region", "center")).alias("c")).scalar()
+    return regions.agg(F.collect_list(F.struct("region_order", "region", "center")).alias("c")).scalar()
+
+
+def _nearest(centers: Column, lat: Column, lng: Column) -> Column:
+    """Name of the closest centroid in planar degrees; the first polygon wins a tie."""
     distances = F.transform(centers, lambda c: F.struct(
         planar_distance(lng, lat, c["center"]["x"], c["center"]["y"]).alias("distance"), c["region_order"], c["region"],
     ))
@@ -74,7 +77,7 @@ def region_by_point(
     points = df.withColumns({"_lat": to_number(F.col(lat_col)), "_lng": to_number(F.col(lng_col))}).withColumns({
         "cell_x": F.when(usable, _cell(lng)), "cell_y": F.when(usable, _cell(lat)),
     })
-    located = join_dimension(points, region_cells(regions), ["cell_x", "cell_y"])
+    located = points.join(region_cells(regions), ["cell_x", "cell_y"], "left")
     inside = F.filter(
         F.col("candidates"),
         lambda c: lng.between(c["min_x"], c["max_x"]) & lat.between(c["min_y"], c["max_y"])
@@ -82,7 +85,8 @@ def region_by_point(
     )
     region = F.get(inside, 0)["region"]
     if nearest:
-        region = F.coalesce(region, nearest_region(regions, lat, lng))
+        located = located.withColumn("_centers", _region_centers(regions))
+        region = F.coalesce(region, _nearest(F.col("_centers"), lat, lng))
     kept = [c for c in df.columns if c != "region"]
     return located.select(*kept, F.when(usable, _canonical_region(region)).alias("region"))
 

@@ -24,31 +24,32 @@ def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> Da
     return counts.orderBy(F.desc("_rows")).limit(MAX_HOT_KEYS).drop("_rows")
 
 
-def join_dimension(
+def salted_join(
     fact: DataFrame,
     dim: DataFrame,
     keys: Sequence[str],
+    hot: DataFrame,
+    salt_by: Sequence[str],
     how: str = "left",
-    salt_by: Sequence[str] | None = None,
-    min_rows: int = HOT_ROWS,
     fan: int = FAN,
 ) -> DataFrame:
-    """Equi-join of many fact rows to a dimension with unique keys, safe for hot keys.
+    """Equi-join of many fact rows to a dimension with unique keys, spread out for ``hot`` keys.
 
     Fact rows of a hot key (or a null key) are spread over ``fan`` salts by a hash of
-    ``salt_by`` (a row id if there is one); dimension rows of hot keys are repeated once per
-    salt. Every other key keeps salt 0 on both sides, so nothing else is copied. A dimension
-    below the broadcast threshold is still broadcast by the optimizer.
+    ``salt_by``, which should be a row id; dimension rows of hot keys are repeated once per
+    salt. Every other key keeps salt 0 on both sides, so nothing else is copied. ``hot`` comes
+    from ``hot_keys`` over a stored table, so finding it costs one narrow scan and does not
+    repeat the lineage of ``fact``. A dimension below the broadcast threshold is broadcast by
+    the optimizer anyway; joins without a known hot table are left to adaptive skew splitting.
     """
     keys = list(keys)
-    hot = F.broadcast(hot_keys(fact, keys, min_rows).withColumn("_fan", F.lit(fan)))
-    spread_over = list(salt_by or [c for c in fact.columns if c not in keys]) or keys
-    spread = F.pmod(F.xxhash64(*spread_over), F.lit(fan)).cast("int")
+    marked = F.broadcast(hot.withColumn("_fan", F.lit(fan)))
+    spread = F.pmod(F.xxhash64(*salt_by), F.lit(fan)).cast("int")
     unmatched = reduce(or_, [F.col(k).isNull() for k in keys])
-    salted = fact.join(hot, keys, "left").withColumn(
+    salted = fact.join(marked, keys, "left").withColumn(
         "_salt", F.when(F.col("_fan").isNotNull() | unmatched, spread).otherwise(F.lit(0))
     ).drop("_fan")
-    fanned = dim.join(hot, keys, "left").withColumn(
+    fanned = dim.join(marked, keys, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_fan", F.lit(1)) - 1))
     ).drop("_fan")
     return salted.join(fanned, [*keys, "_salt"], how).drop("_salt")
@@ -69,7 +70,8 @@ def reviews_full(reviews: DataFrame, places: DataFrame, classifications: DataFra
     place_columns = ["region", "latitude", "longitude", "cluster_name", "potential"]
     label_columns = ["categories_json", "rationale", "model_version"]
     labelled = with_sentiment(reviews.drop(*place_columns), classifications, *label_columns)
-    full = join_dimension(labelled, places.select("place_id", *place_columns), ["place_id"], salt_by=["id"])
+    known = places.select("place_id", *place_columns)
+    full = salted_join(labelled, known, ["place_id"], hot_keys(reviews, ["place_id"]), salt_by=["id"])
     return full.select(
         F.col("id").alias("review_id"), "place_id", "author", "rating", "text", "review_date", "review_date_parsed",
         "language", "business", "city", "agency_name", *place_columns, "sentiment", *label_columns,
@@ -116,7 +118,7 @@ def resolve_city(df: DataFrame, aliases: DataFrame, city_col: str = "city") -> D
     """Replace city names by their canonical form; unknown and empty names stay."""
     names = aliases.select(F.col("key").alias("_folded"), F.col("value").alias("_canonical"))
     folded = df.withColumn("_folded", fold_marks(F.col(city_col)))
-    joined = join_dimension(folded, names, ["_folded"])
+    joined = folded.join(names, "_folded", "left")
     city = F.when(F.col(city_col) == "", F.col(city_col)).otherwise(F.coalesce("_canonical", city_col))
     return joined.withColumn(city_col, city).select(*df.columns)
 

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.numbers import pct, round_to
-from .joins import join_dimension
 
 
 def order_by(df: DataFrame, column: str, descending: bool, *ties: str) -> DataFrame:
@@ -43,7 +42,7 @@ def competition_rank(
     ordering = F.col(value).desc() if descending else F.col(value).asc()
     before = W.partitionBy(group).orderBy(ordering).rowsBetween(W.unboundedPreceding, -1)
     ranks = levels.select(group, value, (F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1).alias(name))
-    return join_dimension(df, ranks, [group, value], how="inner")
+    return df.join(ranks, [group, value])
 
 
 def global_rank(
@@ -70,4 +69,4 @@ def global_rank(
         (F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + 1).alias(name),
     )
     keyed = df.withColumn("_level", F.coalesce(value, F.lit(float("-inf"))))
-    return join_dimension(keyed, ranks, ["_level"], how="inner").drop("_level")
+    return keyed.join(ranks, "_level").drop("_level")

@@ -19,7 +19,7 @@ BUSINESS_NAMES = (
     "business", "business_name", "business name", "bank", "bank_group", "banque", "bank name", "bank_name",
     "company", "organization", "brand",
 )
-REPLACEMENT = "�"
+REPLACEMENT = "\ufffd"
 
 
 def csv_options(spark: SparkSession, path: str) -> dict[str, str]:
