@@ -3,7 +3,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-SECTIONS = ("q_catalogue", "q_dashboard", "q_scalars", "q_entity")
+SECTIONS = ("q_catalogue", "q_dashboard", "q_scalars", "q_entity", "q_tables")
 for _section in SECTIONS:
     import_module(f"{__name__}.{_section}")
 
