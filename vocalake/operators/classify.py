@@ -71,7 +71,7 @@ def classify(
         if wanted.any():
             batch = pd.DataFrame({"text": texts[wanted], "rating": ratings[wanted]})
             out.loc[wanted] = _answers(scorer, batch)
-        return out
+        return out.astype(object).where(out.notna(), None)
 
     scored = F.pandas_udf(score, ANSWER)
     text = F.when(_has_text(F.col(text_col)), F.col(text_col))

@@ -8,7 +8,7 @@ from ..functions.text import first_truthy
 
 FEATURE_COLLECTION = """
     features array<struct<
-        properties: struct<name: string, NAME_1: string, NAME: string>,
+        properties: map<string, string>,
         geometry: struct<type: string, coordinates: array<array<array<double>>>>>>
 """
 RING = "array<struct<x: double, y: double>>"
@@ -23,8 +23,8 @@ def describe_regions(polygons: DataFrame) -> DataFrame:
 def read_regions(spark: SparkSession, path: str) -> DataFrame:
     """Polygons of a GeoJSON collection; unnamed features and empty geometry are dropped."""
     features = (
-        spark.read.schema(FEATURE_COLLECTION).option("multiLine", True)
-        .option("caseSensitive", True).json(path).select(F.posexplode("features").alias("region_order", "f"))
+        spark.read.schema(FEATURE_COLLECTION).option("multiLine", True).json(path)
+        .select(F.posexplode("features").alias("region_order", "f"))
     )
     props = F.col("f")["properties"]
     outer = F.get(F.col("f")["geometry"]["coordinates"], 0)

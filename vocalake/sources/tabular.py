@@ -4,15 +4,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import clean_text
 from ..operators.columns import detect_column
 from ..operators.filters import filter_in
 
-# Delimiters, encodings and column candidates, in order of preference.
+# Delimiters in order of preference.
 DELIMITERS = (",", ";", "\t", "|")
-ENCODINGS = ("UTF-8", "windows-1252", "ISO-8859-1")
+# Bytes 0x80-0x9f that Windows-1252 defines, as Latin-1 reads them and as it means them.
+_DEFINED = [c for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+_AS_LATIN1 = bytes(_DEFINED).decode("latin-1")
+_AS_WINDOWS = bytes(_DEFINED).decode("cp1252")
+_UNDEFINED = "[\\x81\\x8d\\x8f\\x90\\x9d]"
 PLACE_ID_NAMES = ("place_id", "placeid", "google_place_id", "data_id", "place id")
 CITY_NAMES = ("city", "ville", "perf_city", "location", "lieu")
 BUSINESS_NAMES = (
@@ -66,14 +70,25 @@ def read_locations(
     return df
 
 
-def read_reviews(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
-    """Classified reviews in the first encoding that decodes without replacement characters."""
-    for encoding in encodings:
-        df = read_csv(spark, path, encoding)
-        broken = F.concat_ws("", *[F.col(f"`{c}`") for c in df.columns]).contains(REPLACEMENT)
-        if encoding == encodings[-1] or df.filter(broken).isEmpty():
-            return df
-    raise ValueError("no encoding given")
+def _all_text(df: DataFrame) -> Column:
+    return F.concat_ws("", *[F.col(f"`{c}`") for c in df.columns])
+
+
+def read_reviews(spark: SparkSession, path: str) -> DataFrame:
+    """Classified reviews as UTF-8, else Windows-1252, else Latin-1.
+
+    UTF-8 is accepted if it decodes without replacement characters. The reader knows Latin-1,
+    of which Windows-1252 differs in 27 characters; they are mapped unless the file holds a
+    byte Windows-1252 leaves undefined.
+    """
+    df = read_csv(spark, path)
+    if df.filter(_all_text(df).contains(REPLACEMENT)).isEmpty():
+        return df
+    df = read_csv(spark, path, "ISO-8859-1")
+    if not df.filter(_all_text(df).rlike(_UNDEFINED)).isEmpty():
+        return df
+    mapped = df.select([F.translate(f"`{c}`", _AS_LATIN1, _AS_WINDOWS).alias(c) for c in df.columns])
+    return mapped.toDF(*[c.translate(str.maketrans(_AS_LATIN1, _AS_WINDOWS)) for c in df.columns])
 
 
 def latest_snapshot(spark: SparkSession, dirs: Sequence[str], glob: str = "*.csv") -> str | None:
