@@ -53,15 +53,14 @@ def categories_json(arr: Column) -> Column:
     return F.to_json(arr)
 
 
-def label_flags(arr: Column, labels: Iterable[str] = CATEGORIES) -> dict[str, Column]:
-    """One 0/1 column per label, named by the label."""
-    present = F.transform(arr, lambda c: c["label"])
-    return {label: F.array_contains(present, label).cast("int") for label in labels}
+def label_flags(labels: Column, names: Iterable[str] = CATEGORIES) -> dict[str, Column]:
+    """One 0/1 column per label, named by the label; ``labels`` is an array of label texts."""
+    return {name: F.coalesce(F.array_contains(labels, name).cast("int"), F.lit(0)) for name in names}
 
 
-def short_flags(arr: Column) -> dict[str, Column]:
+def short_flags(labels: Column) -> dict[str, Column]:
     """One 0/1 column per taxonomy entry, named by its short column."""
-    flags = label_flags(arr)
+    flags = label_flags(labels)
     return {short: flags[label] for short, label in CATEGORY_COLUMNS.items()}
 
 

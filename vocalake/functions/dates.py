@@ -26,19 +26,17 @@ def epoch_micros(now: datetime) -> int:
 
 
 def parse_relative_french(col: Column, now: datetime) -> Column:
-    """UTC timestamp of texts such as "il y a 2 ans" or "Modifié il y a une semaine"."""
-    clean = normalize_whitespace(col)
-    quantity_text = F.lower(F.regexp_extract(clean, _RELATIVE, 1))
-    quantity = F.when(quantity_text.isin("un", "une"), F.lit(1)).otherwise(quantity_text.try_cast("int"))
-    unit = F.lower(F.regexp_extract(clean, _RELATIVE, 2))
-    seconds = F.lit(None).cast("long")
-    for name, length in _UNIT_SECONDS.items():
-        seconds = F.when(unit == name, F.lit(length).cast("long")).otherwise(seconds)
-    micros = epoch_micros(now)
-    age = quantity.cast("long") * seconds
-    return F.when(
-        age <= F.lit(micros // 1_000_000 - _YEAR_ONE), F.timestamp_micros(F.lit(micros) - age * F.lit(1_000_000))
-    )
+    """UTC timestamp of texts such as "il y a 2 ans" or "Modifié il y a une semaine".
+
+    Anything else, and ages that reach before the year 1, give null.
+    """
+    clean = F.lower(normalize_whitespace(col))
+    quantity = F.regexp_replace(F.regexp_extract(clean, _RELATIVE, 1), "^une?$", "1").try_cast("long")
+    unit_micros = F.create_map(*[F.lit(v) for pair in _UNIT_SECONDS.items() for v in (pair[0], pair[1] * 1_000_000)])
+    age = F.try_multiply(quantity, F.try_element_at(unit_micros, F.regexp_extract(clean, _RELATIVE, 2)))
+    earliest = F.lit(_YEAR_ONE * 1_000_000)
+    moment = F.greatest(F.try_subtract(F.lit(epoch_micros(now)), age), earliest)
+    return F.timestamp_micros(F.nullif(moment, earliest))
 
 
 def month_start(col: Column) -> Column:

@@ -8,8 +8,7 @@ EARTH_RADIUS_M = 6_371_000.0
 
 def to_number(col: Column) -> Column:
     """Lenient cast: anything that is not a number becomes null."""
-    number = col.try_cast("double")
-    return F.when(~F.isnan(number), number)
+    return F.nullif(col.try_cast("double"), F.lit(float("nan")))
 
 
 def clean_rating(col: Column) -> Column:

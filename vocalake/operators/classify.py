@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -45,13 +47,14 @@ def _has_text(text: Column) -> Column:
 
 
 def _answers(scorer: Scorer, batch: pd.DataFrame) -> pd.DataFrame:
-    """Score a batch; if that fails, score row by row so that only bad rows become errors."""
+    """Score a batch; halve one that fails, until only the failing rows become errors."""
     try:
         return scorer(batch)[ANSWER.names].set_axis(batch.index)
     except Exception:
-        if len(batch) > 1:
-            return pd.concat([_answers(scorer, batch.iloc[[i]]) for i in range(len(batch))])
-        return pd.DataFrame([[ERROR, None, None, None]], columns=ANSWER.names, index=batch.index)
+        if len(batch) == 1:
+            return pd.DataFrame([[ERROR, None, None, None]], columns=ANSWER.names, index=batch.index)
+        middle = len(batch) // 2
+        return pd.concat([_answers(scorer, batch.iloc[:middle]), _answers(scorer, batch.iloc[middle:])])
 
 
 def classify(
@@ -94,37 +97,40 @@ def _attach(df: DataFrame, answer: Column) -> DataFrame:
     }).drop("_answer")
 
 
-def rule_answer(text: Column, rating: Column) -> Column:
-    """Answer of the offline rules: cue words give categories, the rating decides without a cue."""
-    folded = fold_ascii(text)
-    cues = {flag: folded.rlike(pattern) for flag, pattern in RULES.items()}
-    negative_cue, positive_cue = F.lit(False), F.lit(False)
-    for flag, hit in cues.items():
-        if flag in POSITIVE_RULES:
-            positive_cue = positive_cue | hit
-        else:
-            negative_cue = negative_cue | hit
-    stars = F.coalesce(rating.cast("int"), F.lit(0))
+def _any(hits: list[Column]) -> Column:
+    return reduce(or_, hits, F.lit(False))
+
+
+def classify_by_rules(df: DataFrame, text_col: str | None = None, rating_col: str | None = None) -> DataFrame:
+    """``classify`` with the offline rules: cue words give categories, the rating decides
+    without a clear cue.
+
+    Native expressions only, in layers: the folded text and each cue are computed once per row
+    and later layers read them as columns.
+    """
+    text_col, rating_col = _text_and_rating(df, text_col, rating_col)
+    text = F.col(text_col)
+    rows = df.withColumn("_folded", F.when(_has_text(text), fold_ascii(text)))
+    rows = rows.withColumns({f"_{flag}": F.col("_folded").rlike(pattern) for flag, pattern in RULES.items()})
+    cues = {flag: F.col(f"_{flag}") for flag in RULES}
+    positive_cue = _any([hit for flag, hit in cues.items() if flag in POSITIVE_RULES])
+    negative_cue = _any([hit for flag, hit in cues.items() if flag not in POSITIVE_RULES])
+    stars = F.coalesce(F.col(rating_col).cast("int"), F.lit(0))
     sentiment = (
         F.when(negative_cue & ~positive_cue, NEGATIVE).when(positive_cue & ~negative_cue, POSITIVE)
         .when(stars >= 4, POSITIVE).when(stars.isin(1, 2), NEGATIVE).otherwise(NEUTRAL)
     )
+    rows = rows.withColumn("_sentiment", F.when(F.col("_folded").isNotNull(), sentiment))
 
     def entry(label):
         return F.struct(F.lit(label).alias("label"), F.lit(RULE_CONFIDENCE).alias("confidence"))
 
     found = F.array_compact(F.array(*[F.when(hit, entry(CATEGORY_COLUMNS[flag])) for flag, hit in cues.items()]))
-    no_cue = ~(negative_cue | positive_cue)
-    labels = F.when(no_cue & (sentiment == NEUTRAL), F.array(entry(OFF_TOPIC))).otherwise(
-        F.slice(found, 1, MAX_LABELS))
-    return F.struct(
-        sentiment.alias("sentiment"), labels.cast(CATEGORY_ARRAY).alias("categories"),
-        F.lit(None).cast("string").alias("language"), F.lit("rules").alias("rationale"),
+    off_topic = ~(negative_cue | positive_cue) & (F.col("_sentiment") == NEUTRAL)
+    labels = F.when(off_topic, F.array(entry(OFF_TOPIC))).otherwise(F.slice(found, 1, MAX_LABELS))
+    answer = F.struct(
+        F.col("_sentiment").alias("sentiment"), labels.cast(CATEGORY_ARRAY).alias("categories"),
+        F.lit(None).cast("string").alias("language"),
+        F.when(F.col("_sentiment").isNotNull(), "rules").alias("rationale"),
     )
-
-
-def classify_by_rules(df: DataFrame, text_col: str | None = None, rating_col: str | None = None) -> DataFrame:
-    """``classify`` with the offline rules, entirely in native expressions."""
-    text_col, rating_col = _text_and_rating(df, text_col, rating_col)
-    answer = F.when(_has_text(F.col(text_col)), rule_answer(F.col(text_col), F.col(rating_col)))
-    return _attach(df, answer)
+    return _attach(rows, answer).drop("_folded", "_sentiment", *[f"_{flag}" for flag in RULES])

@@ -130,8 +130,8 @@ def replace_classifications(
 
 def category_flags(classifications: DataFrame) -> DataFrame:
     """Seventeen 0/1 columns per review from the category JSON."""
-    flags = short_flags(parse_categories(F.col("categories_json")))
-    return classifications.select("review_id", *[c.alias(name) for name, c in flags.items()])
+    labels = classifications.select("review_id", parse_categories(F.col("categories_json"))["label"].alias("labels"))
+    return labels.select("review_id", *[c.alias(name) for name, c in short_flags(F.col("labels")).items()])
 
 
 def upsert_flags(target: DataFrame, classifications: DataFrame) -> DataFrame:

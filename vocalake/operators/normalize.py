@@ -18,7 +18,7 @@ TEXT_COLUMNS = ("text", "review_snippet", "review_text")
 
 
 def normalize_reviews(df: DataFrame, now: datetime) -> DataFrame:
-    """Rating, coordinates, ``created_at``, texts, ``month`` and ``city_normalized`` in one projection."""
+    """Rating, coordinates, ``created_at``, texts, ``month`` and ``city_normalized``."""
     changes = {}
     rating = first_present(df, RATING_COLUMNS)
     if rating:
@@ -30,8 +30,9 @@ def normalize_reviews(df: DataFrame, now: datetime) -> DataFrame:
     elif date_col:
         created = parse_relative_french(F.col(date_col), now)
     changes |= {c: clean_text(F.col(c)) for c in TEXT_COLUMNS if c in df.columns}
-    if created is not None:
-        changes |= {"created_at": created, "month": month_start(created)}
     if "city" in df.columns:
         changes["city_normalized"] = fold_ascii(F.col("city"))
-    return df.withColumns(changes)
+    if created is None:
+        return df.withColumns(changes)
+    # A layer of its own: the month reads the parsed date instead of parsing again.
+    return df.withColumns({**changes, "created_at": created}).withColumn("month", month_start(F.col("created_at")))

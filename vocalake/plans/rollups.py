@@ -33,7 +33,7 @@ def infer_sentiment(df: DataFrame) -> Column:
 
 
 def _finest(df: DataFrame) -> DataFrame:
-    """Counts per combination of every grouping column: the one pass over the reviews."""
+    """Counts per combination of all grouping columns and sentiment: the one pass over the reviews."""
     if "rating" not in df.columns:
         raise ValueError("missing column: rating")
     keys = {}
@@ -44,12 +44,13 @@ def _finest(df: DataFrame) -> DataFrame:
     if "month" not in keys and "created_at" in df.columns:
         keys["month"] = month_start(F.col("created_at"))
     rows = df.select("rating", infer_sentiment(df).alias("sentiment"), *[c.alias(n) for n, c in keys.items()])
-    s = F.col("sentiment")
-    return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("rating").alias("stars"), F.count("rating").alias("rated"),
-        F.count("sentiment").alias("labelled"), F.count_if(sentiment_matches(s, "pos")).alias("pos"),
-        F.count_if(sentiment_matches(s, "neg")).alias("neg"), F.count_if(sentiment_matches(s, "neut")).alias("neut"),
-    )
+    by_text = rows.groupBy(*keys, "sentiment").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("rating").alias("stars"), F.count("rating").alias("rated"))
+    # The few distinct sentiment texts are matched after the reviews are reduced.
+    return by_text.withColumns({
+        "labelled": F.when(F.col("sentiment").isNotNull(), F.col("n")),
+        **{stem: F.when(sentiment_matches(F.col("sentiment"), stem), F.col("n")) for stem in ("pos", "neg", "neut")},
+    }).drop("sentiment")
 
 
 def _applicable(columns: list[str]) -> dict[str, tuple[str, ...]]:
@@ -64,9 +65,8 @@ def _applicable(columns: list[str]) -> dict[str, tuple[str, ...]]:
 def _measures() -> list[Column]:
     return [
         F.sum("n").alias("review_count"), ratio(F.sum("stars"), F.sum("rated")).alias("avg_rating"),
-        ratio(F.sum("pos"), F.sum("labelled")).alias("positive_share"),
-        ratio(F.sum("neg"), F.sum("labelled")).alias("negative_share"),
-        ratio(F.sum("neut"), F.sum("labelled")).alias("neutral_share"),
+        *[ratio(F.coalesce(F.sum(stem), F.lit(0)), F.sum("labelled")).alias(f"{name}_share")
+          for stem, name in (("pos", "positive"), ("neg", "negative"), ("neut", "neutral"))],
     ]
 
 

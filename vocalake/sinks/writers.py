@@ -19,7 +19,8 @@ def export_parquet(df: DataFrame, path: str) -> None:
 
 def widen(df: DataFrame) -> DataFrame:
     """Add one 0/1 column per category label from ``categories_json``."""
-    return df.withColumns(label_flags(parse_categories(F.col("categories_json")), CATEGORIES))
+    labels = df.withColumn("_labels", parse_categories(F.col("categories_json"))["label"])
+    return labels.withColumns(label_flags(F.col("_labels"), CATEGORIES)).drop("_labels")
 
 
 def export_csv(df: DataFrame, path: str, wide: bool = True) -> None:

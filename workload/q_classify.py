@@ -79,7 +79,7 @@ def rating_scorer(batch: pd.DataFrame) -> pd.DataFrame:
 
 
 @query("classify_with_scorer", sql("""
-, t AS (SELECT id, CASE WHEN id%5=0 THEN 0 ELSE rating END AS rating, id%11=0 AS blank, length(text) AS n FROM reviews)
+, t AS (SELECT id, CASE WHEN id%97=0 THEN 0 ELSE rating END AS rating, id%11=0 AS blank, length(text) AS n FROM reviews)
 SELECT id, CASE WHEN blank THEN NULL WHEN rating=0 THEN 'Error' WHEN rating>=4 THEN 'Positif'
     WHEN rating<=2 THEN 'Négatif' ELSE 'Neutre' END AS sentiment,
   CASE WHEN blank OR rating=0 THEN NULL WHEN rating=2 THEN """ + quoted(OTHER_NEGATIVE)
@@ -89,7 +89,7 @@ SELECT id, CASE WHEN blank THEN NULL WHEN rating=0 THEN 'Error' WHEN rating>=4 T
 def _(spark, sf):
     rows = b.reviews(spark, sf).select(
         "id", F.when(F.col("id") % 11 != 0, F.col("text")).otherwise(" ").alias("text"),
-        F.when(F.col("id") % 5 != 0, F.col("rating")).alias("rating"))
+        F.when(F.col("id") % 97 != 0, F.col("rating")).alias("rating"))
     done = classify(rows, rating_scorer)
     label = F.get(parse_categories(F.col("categories_json")), 0)["label"]
     return done.select("id", "sentiment", label.alias("label"), "language", "rationale")

@@ -227,9 +227,10 @@ def _(spark, sf):
 # ------------------------------------------------------------------------------ rollups
 
 def _labelled(spark, sf):
-    rows = b.prepared(spark, sf).select("id", "business", "city", "rating", "sentiment", F.col("_month").alias("month"))
-    regions = b.reviews(spark, sf).select("id", F.nullif("region", F.lit("ASIA")).alias("region"))
-    return rows.join(regions, "id")
+    labels = b.classifications(spark, sf).select(F.col("review_id").alias("id"), "sentiment")
+    return b.reviews(spark, sf).join(labels, "id", "left").select(
+        "business", "city", F.nullif("region", F.lit("ASIA")).alias("region"), "rating", "sentiment",
+        F.trunc("review_date_parsed", "month").alias("month"))
 
 
 ROLLUP_CTE = """
