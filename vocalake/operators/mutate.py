@@ -175,8 +175,9 @@ def update_run(
     fields = {name: F.lit(value) for name, value in fields.items() if value is not None}
     if status in (COMPLETED, FAILED):
         fields["completed_at"] = F.lit(now).cast("timestamp")
-    mine = F.col("id") == run_id
-    return runs.withColumns({n: F.when(mine, v).otherwise(F.col(n)) for n, v in fields.items()})
+    marked = runs.withColumn("_mine", F.col("id") == run_id)
+    changes = {n: F.when(F.col("_mine"), v).otherwise(F.col(n)) for n, v in fields.items()}
+    return marked.withColumns(changes).drop("_mine")
 
 
 def last_run(runs: DataFrame, run_type: str) -> DataFrame:

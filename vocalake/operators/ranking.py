@@ -57,7 +57,7 @@ def global_rank(
                    * F.lit(slots / (high - low)))
     levels = (
         df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_slot", F.coalesce(slot, F.lit(slots + 1)))
+        .withColumn("_slot", F.when(F.col(value).isNull(), F.lit(slots + 1)).otherwise(slot))
     )
     per_slot = levels.groupBy("_slot").agg(F.sum("_n").alias("_n"))
     earlier = W.orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)

@@ -123,13 +123,13 @@ def city_table(df: DataFrame, roles: Roles, top: int = 30) -> DataFrame:
 def business_city_matrix(df: DataFrame, roles: Roles, cities: int = 15, min_reviews: int = 3) -> DataFrame:
     """(business, city): mean rating of the pairs in the largest cities, null below the support."""
     city, business, rating = F.col(roles["city"]), F.col(roles["business"]), F.col(roles["rating"])
-    pairs = df.filter(city.isNotNull() & business.isNotNull()).groupBy(
-        business.alias("business"), city.alias("city")).agg(
+    pairs = df.filter(city.isNotNull()).groupBy(business.alias("business"), city.alias("city")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(rating).alias("stars"), F.count(rating).alias("rated"))
     sizes = df.filter(city.isNotNull()).groupBy(city.alias("city")).agg(F.count(F.lit(1)).alias("n"))
     biggest = top_n(sizes, "n", cities, "city").select("city")
     mean = F.when(F.col("n") >= min_reviews, round_to(ratio(F.col("stars"), F.col("rated"))))
-    return pairs.join(F.broadcast(biggest), "city", "left_semi").select(
+    # At most ``cities`` rows are broadcast.
+    return pairs.filter(F.col("business").isNotNull()).join(F.broadcast(biggest), "city", "left_semi").select(
         "business", "city", mean.alias("avg_rating"))
 
 
