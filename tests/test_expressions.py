@@ -86,6 +86,11 @@ def test_short_category(spark):
     assert one(spark, "x" * 40 + " (y)", text.short_category) == "x" * 30 + "..."
 
 
+def test_exact_whitespace_composes(spark):
+    assert one(spark, " \ufb01n \u00a0 \u2460\u3000x ", lambda c: text.normalize_whitespace(c, exact=True)) == "fin 1 x"
+    assert one(spark, " a\u202f\u00a0b ", text.normalize_whitespace) == "a b"
+
+
 def test_sentiment_bucket_folds_accents(spark):
     assert [one(spark, s, text.sentiment_bucket) for s in ("Positif", "Négatif", "NEUTRE", "?", None)] == [
         "positive", "negative", "neutral", None, None]

@@ -121,6 +121,12 @@ def test_detect_column(spark):
         columns.detect_column(df, ("city",), required=True)
 
 
+def test_keep_valid(spark):
+    df = spark.createDataFrame([("1", "x", "4")], "id string, unknown string, rating string")
+    kept = columns.keep_valid(df, REVIEWS)
+    assert kept.dtypes == [("id", "bigint"), ("rating", "int")] and tuple(kept.head()) == (1, 4)
+
+
 def test_category_columns_by_keyword(spark):
     df = spark.createDataFrame([], "`Accueil froid` int, `attente longue` int, hors_sujet int, id int")
     assert columns.category_columns(df, ()) == (["Accueil froid"], ["attente longue"], ["hors_sujet"])
@@ -305,11 +311,16 @@ def test_pretty_printed_bundle(spark, tmp_path):
     assert [(r.place_id, r.position, r.rating) for r in rows.collect()] == [("p", 0, 4.0), ("p", 1, 5.0)]
 
 
-def test_bundle_chunks_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(writers, "REVIEWS_PER_LINE", 10)
-    rows = spark.range(0, 100, 1, 2).select(F.lit("hot").alias("place_id"), F.col("id").cast("string").alias("snippet"))
-    sizes = [len(r.reviews) for r in writers.review_bundles(rows).collect()]
-    assert sum(sizes) == 100 and max(sizes) <= 10
+def test_bundle_lines_are_bounded(spark, tmp_path):
+    rows = spark.range(0, 100, 1, 2).select(F.lit('hot "1"').alias("place_id"), F.col("id").cast("string").alias("snippet"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        writers.write_review_bundle(rows, str(tmp_path / "bundle"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    back = documents.read_review_bundle(spark, str(tmp_path / "bundle"))
+    assert {(r.place_id, int(r.snippet)) for r in back.collect()} == {('hot "1"', i) for i in range(100)}
+    assert back.agg(F.max("position")).head()[0] < 10
 
 
 # ------------------------------------------------------------------------------ classification

@@ -36,17 +36,20 @@ def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(WHITESPACE))
 
 
-def normalize_whitespace(col: Column) -> Column:
-    """Collapse runs of white space (no-break spaces included) to one blank and trim."""
-    return F.btrim(F.regexp_replace(col, _WHITESPACE_RUN, " "))
-
-
 @F.pandas_udf(T.StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
+def _nfkc(texts: pd.Series) -> pd.Series:
     """Exact compatibility composition, for scripts the native path leaves alone."""
     return texts.str.normalize("NFKC")
 
 
+def normalize_whitespace(col: Column, exact: bool = False) -> Column:
+    """Collapse runs of white space (no-break spaces included) to one blank and trim.
+
+    ``exact`` also composes compatibility characters (NFKC) in Arrow batches.
+    """
+    return F.btrim(F.regexp_replace(_nfkc(col) if exact else col, _WHITESPACE_RUN, " "))
+
+
 @F.pandas_udf(T.StringType())
 def _fold_ascii_exact(texts: pd.Series) -> pd.Series:
     folded = texts.str.lower().str.strip().str.normalize("NFKD")

@@ -1,8 +1,11 @@
 """Sinks: Parquet, CSV, JSON bundles, dated runs and bucketed tables."""
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from datetime import date
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.categories import label_flags, parse_categories
@@ -10,8 +13,6 @@ from ..functions.text import slug
 from ..schemas import REVIEW_ITEM
 from ..taxonomy import CATEGORIES
 
-REVIEWS_PER_LINE = 10_000
-
 
 def export_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
@@ -37,32 +38,44 @@ def export(df: DataFrame, path: str, wide: bool = True) -> None:
         export_csv(df, path, wide)
 
 
-def review_bundles(df: DataFrame, *keep: str) -> DataFrame:
-    """One row per (place, chunk) with the place's reviews as an array.
+def _bundle_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Join the serialised reviews of each place in a batch to one ``{place: [...]}`` line."""
+    for batch in batches:
+        keys = [c for c in batch.columns if c != "item"]
+        grouped = batch.groupby(keys, sort=False, dropna=False)["item"].agg(",".join).reset_index()
+        grouped["value"] = [
+            f"{{{json.dumps(place, ensure_ascii=False)}:[{items}]}}"
+            for place, items in zip(grouped["place_id"], grouped["item"])
+        ]
+        yield grouped[["value", *[k for k in keys if k != "place_id"]]]
+
+
+def bundle_lines(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Lines of ``{place_id: [reviews]}``, with the column ``by`` beside them if given.
 
-    A chunk is a run of consecutive input rows, so no array grows past ``REVIEWS_PER_LINE``
-    however many reviews one place holds; such a place simply spans several rows.
+    Rows are rebalanced by the key of the output directory (or place): small ones share a task
+    and a hot one is split over several by the adaptive planner. A line never holds more than
+    one Arrow batch, so a place with many reviews spans several lines and no task ever gathers
+    a whole place.
     """
-    item = F.struct(*[c for c in REVIEW_ITEM.names if c in df.columns])
-    chunk = F.floor(F.monotonically_increasing_id() / REVIEWS_PER_LINE)
-    return (
-        df.withColumn("_chunk", chunk).groupBy("place_id", *keep, "_chunk")
-        .agg(F.collect_list(item).alias("reviews")).drop("_chunk")
-    )
+    item = F.to_json(F.struct(*[c for c in REVIEW_ITEM.names if c in df.columns])).alias("item")
+    keep = [by] if by else []
+    rows = df.filter(F.col("place_id").isNotNull()).select("place_id", *keep, item)
+    spread = rows.hint("rebalance", by or "place_id").sortWithinPartitions(*keep, "place_id")
+    schema = ", ".join(["value string", *[f"{c} string" for c in keep]])
+    return spread.mapInPandas(_bundle_lines, schema)
 
 
 def write_review_bundle(df: DataFrame, path: str) -> None:
-    """Lines of ``{place_id: [reviews]}``."""
-    line = F.to_json(F.create_map("place_id", "reviews"))
-    review_bundles(df).select(line.alias("value")).write.mode("overwrite").text(path)
+    """One JSON object of reviews by place per line."""
+    bundle_lines(df).write.mode("overwrite").text(path)
 
 
 def write_json_by(df: DataFrame, path: str, column: str) -> None:
     """The same lines, one directory per slug of ``column`` (city or business)."""
     key = f"{column}_slug"
-    line = F.to_json(F.create_map("place_id", "reviews"))
-    bundles = review_bundles(df.withColumn(key, slug(F.col(column))), key)
-    bundles.select(line.alias("value"), key).write.mode("overwrite").partitionBy(key).text(path)
+    lines = bundle_lines(df.withColumn(key, slug(F.col(column))), key)
+    lines.write.mode("overwrite").partitionBy(key).text(path)
 
 
 def write_run(df: DataFrame, base: str, run_date: date) -> str:
