@@ -69,10 +69,11 @@ def test_hot_keys_split_by_adaptive_join(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def test_bucketed_tables_join_without_shuffle(spark):
-    writers.write_bucketed(spark.range(1000).select("id", (F.col("id") % 5).cast("int").alias("rating")), "t_reviews", "id", 4)
+def test_bucketed_tables_join_without_shuffle(spark, tmp_path):
+    rows = spark.range(1000).select("id", (F.col("id") % 5).cast("int").alias("rating"))
+    writers.write_bucketed(rows, "t_reviews", "id", 4, str(tmp_path / "reviews"))
     labels = spark.range(0, 1000, 2).select(F.col("id").alias("review_id"), F.lit("Positif").alias("sentiment"))
-    writers.write_bucketed(labels, "t_labels", "review_id", 4)
+    writers.write_bucketed(labels, "t_labels", "review_id", 4, str(tmp_path / "labels"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         joined = with_sentiment(spark.table("t_reviews"), spark.table("t_labels"))
@@ -290,6 +291,15 @@ def test_latin1_file_with_undefined_byte(spark, tmp_path):
     assert tabular.read_reviews(spark, str(path)).head().text == "5 € é"
 
 
+def test_arrival_order_follows_the_files(spark, tmp_path):
+    """The second file is larger, so Spark reads it first; the first one must still win."""
+    (tmp_path / "a.csv").write_text("k,v\nx,first\n")
+    (tmp_path / "b.csv").write_text("k,v\n" + "".join(f"x,later {i}\n" for i in range(1000)))
+    rows = tabular.read_csv(spark, str(tmp_path))
+    first = dedupe_first(rows.withColumn("o", columns.arrival_order(rows)), ["k"], ["o"])
+    assert [r.v for r in first.collect()] == ["first"]
+
+
 def test_lookup_missing_or_broken(spark, tmp_path):
     (tmp_path / "bad.json").write_text("{not json")
     (tmp_path / "good.json").write_text('{"a": "b",\n "c": "d"}')

@@ -14,9 +14,6 @@ WHITESPACE = "".join(
     [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
      0x205F, 0x3000]
 )
-_WHITESPACE_RUN = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]+"
-
-
 def _latin_fold_table() -> tuple[str, str]:
     """Letters of the Latin blocks whose compatibility form is one ASCII character plus marks."""
     source, target = [], []
@@ -47,7 +44,8 @@ def normalize_whitespace(col: Column, exact: bool = False) -> Column:
 
     ``exact`` also composes compatibility characters (NFKC) in Arrow batches.
     """
-    return F.btrim(F.regexp_replace(_nfkc(col) if exact else col, _WHITESPACE_RUN, " "))
+    blanks = F.translate(_nfkc(col) if exact else col, WHITESPACE, " " * len(WHITESPACE))
+    return F.btrim(F.regexp_replace(blanks, " {2,}", " "))
 
 
 @F.pandas_udf(T.StringType())

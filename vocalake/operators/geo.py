@@ -9,7 +9,7 @@ from ..functions.geometry import contains_point, in_bounds
 from ..functions.numbers import planar_distance, to_number, zoom_for_population
 from ..functions.text import first_truthy, fold_latin, fold_marks, format_center, strip
 from ..taxonomy import CITY_REGIONS, REGION_ALIASES
-from .columns import first_present
+from .columns import arrival_order, first_present
 from .dedupe import dedupe_last
 
 MAX_REGIONS = 10_000
@@ -116,7 +116,7 @@ def _gazetteer_cities(gazetteer: DataFrame, include_towns: bool) -> DataFrame:
             (F.col("address.country_code") == "ma")
             & first_truthy(F.col("type"), F.col("inferred_type")).isin(kinds) & (F.size("location") == 2))
         .withColumns({
-            "_entry": F.monotonically_increasing_id(),
+            "_entry": arrival_order(gazetteer),
             "aliases": aliases,
             "canonical": F.coalesce(F.nullif(preferred, F.lit("")), F.array_min(aliases)),
         })

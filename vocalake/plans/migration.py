@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.columns import complete, conform, with_defaults
+from ..operators.columns import arrival_order, complete, conform, with_defaults
 from ..operators.dedupe import dedupe_first
 from ..operators.filters import require
 from ..operators.ids import assign_ids, max_id
@@ -21,7 +21,7 @@ ROW = "_row"
 
 def with_row_order(df: DataFrame) -> DataFrame:
     """Add the arrival order of the input rows as a column."""
-    return df.withColumn(ROW, F.monotonically_increasing_id())
+    return df.withColumn(ROW, arrival_order(df))
 
 
 def _places(df: DataFrame, now: datetime, order: Sequence[str]) -> DataFrame:

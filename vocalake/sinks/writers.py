@@ -103,6 +103,7 @@ def write_aggregates(rollups: DataFrame, path: str) -> None:
     rollups.write.mode("overwrite").partitionBy("rollup").parquet(path)
 
 
-def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
-    """Hash-bucketed, key-sorted table: two tables bucketed alike join without a shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table)
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str) -> None:
+    """Hash-bucketed, key-sorted table at ``path``: two tables bucketed alike join without a shuffle."""
+    writer = df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet")
+    writer.option("path", path).saveAsTable(table)

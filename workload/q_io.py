@@ -6,6 +6,7 @@ from datetime import date
 from pyspark.sql import functions as F, types as T
 
 from vocalake.operators.columns import conform, detect_column, normalize_column_names
+from vocalake.operators.joins import reviews_full, with_sentiment
 from vocalake.plans.dashboard import collection_stats
 from vocalake.plans.rollups import rollup_table
 from vocalake.schemas import REVIEW_ITEM
@@ -61,7 +62,6 @@ def _(spark, sf):
 @query("export_parquet", sql(FULL))
 def _(spark, sf):
     path = f"{b.scratch(spark)}/full.parquet"
-    from vocalake.operators.joins import reviews_full
     w.export(reviews_full(b.reviews(spark, sf), b.places(spark, sf), b.classifications(spark, sf)), path)
     return tabular.read_table(spark, path.removesuffix(".parquet"))
 
@@ -241,8 +241,10 @@ def _(spark, sf):
 SELECT sentiment, count(*) AS n FROM rs GROUP BY sentiment"""))
 def _(spark, sf):
     """Reviews and classifications bucketed on the review id join without a shuffle."""
-    from vocalake.operators.joins import with_sentiment
-    w.write_bucketed(b.reviews(spark, sf).select("id", "rating"), "bucketed_reviews", "id", 8)
-    w.write_bucketed(b.classifications(spark, sf).select("review_id", "sentiment"), "bucketed_labels", "review_id", 8)
-    joined = with_sentiment(spark.table("bucketed_reviews"), spark.table("bucketed_labels"))
+    base = b.scratch(spark)
+    names = [f"{kind}_{base[-32:]}" for kind in ("reviews", "labels")]
+    w.write_bucketed(b.reviews(spark, sf).select("id", "rating"), names[0], "id", 8, f"{base}/reviews")
+    labels = b.classifications(spark, sf).select("review_id", "sentiment")
+    w.write_bucketed(labels, names[1], "review_id", 8, f"{base}/labels")
+    joined = with_sentiment(*[spark.table(name) for name in names])
     return joined.groupBy("sentiment").agg(F.count(F.lit(1)).alias("n"))
