@@ -296,7 +296,7 @@ def test_arrival_order_follows_the_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("k,v\nx,first\n")
     (tmp_path / "b.csv").write_text("k,v\n" + "".join(f"x,later {i}\n" for i in range(1000)))
     rows = tabular.read_csv(spark, str(tmp_path))
-    first = dedupe_first(rows.withColumn("o", columns.arrival_order(rows)), ["k"], ["o"])
+    first = dedupe_first(rows.withColumn("o", columns.file_order()), ["k"], ["o"])
     assert [r.v for r in first.collect()] == ["first"]
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.dates import month_start, parse_date_dayfirst
@@ -45,18 +44,13 @@ def first_present(df: DataFrame, names: Sequence[str]) -> str | None:
     return next((n for n in names if n in df.columns), None)
 
 
-def arrival_order(df: DataFrame) -> Column:
-    """Order of the input rows: file, block in the file, position in the block.
+def file_order() -> Column:
+    """Order of rows read from files: file, block in the file, position in the block.
 
     Spark packs the blocks of several files into tasks by size, so the row position alone
-    would not follow the files. Rows that do not come from files have their position only.
+    would not follow the files.
     """
-    position = F.monotonically_increasing_id()
-    try:
-        df.select("_metadata.file_path")
-    except AnalysisException:
-        return F.struct(position)
-    return F.struct("_metadata.file_path", "_metadata.file_block_start", position)
+    return F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
 
 
 def detect_roles(df: DataFrame) -> dict[str, str | None]:

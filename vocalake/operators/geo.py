@@ -9,7 +9,7 @@ from ..functions.geometry import contains_point, in_bounds
 from ..functions.numbers import planar_distance, to_number, zoom_for_population
 from ..functions.text import first_truthy, fold_latin, fold_marks, format_center, strip
 from ..taxonomy import CITY_REGIONS, REGION_ALIASES
-from .columns import arrival_order, first_present
+from .columns import first_present
 from .dedupe import dedupe_last
 
 MAX_REGIONS = 10_000
@@ -103,7 +103,7 @@ def add_region(df: DataFrame, regions: DataFrame, fold: bool = True) -> DataFram
     return located.withColumn("region", F.coalesce("region", region_of_city(F.col("city"), fold)))
 
 
-def _gazetteer_cities(gazetteer: DataFrame, include_towns: bool) -> DataFrame:
+def _gazetteer_cities(gazetteer: DataFrame, include_towns: bool, order: Column | None) -> DataFrame:
     """Eligible entries with their alias set and canonical name."""
     kinds = ["city", "town"] if include_towns else ["city"]
     other = F.col("other_names")
@@ -116,7 +116,7 @@ def _gazetteer_cities(gazetteer: DataFrame, include_towns: bool) -> DataFrame:
             (F.col("address.country_code") == "ma")
             & first_truthy(F.col("type"), F.col("inferred_type")).isin(kinds) & (F.size("location") == 2))
         .withColumns({
-            "_entry": arrival_order(gazetteer),
+            "_entry": F.monotonically_increasing_id() if order is None else order,
             "aliases": aliases,
             "canonical": F.coalesce(F.nullif(preferred, F.lit("")), F.array_min(aliases)),
         })
@@ -124,18 +124,18 @@ def _gazetteer_cities(gazetteer: DataFrame, include_towns: bool) -> DataFrame:
     )
 
 
-def city_centers(gazetteer: DataFrame, include_towns: bool = False) -> DataFrame:
+def city_centers(gazetteer: DataFrame, include_towns: bool = False, order: Column | None = None) -> DataFrame:
     """(key = city, value = ``@lat,lng,zoom``); of several entries for a city the last wins."""
-    cities = _gazetteer_cities(gazetteer, include_towns)
+    cities = _gazetteer_cities(gazetteer, include_towns, order)
     center = format_center(
         F.get("location", 1), F.get("location", 0), zoom_for_population(F.col("population")))
     rows = cities.select(F.col("canonical").alias("key"), center.alias("value"), "_entry")
     return dedupe_last(rows, ["key"], ["_entry"]).drop("_entry")
 
 
-def city_aliases(gazetteer: DataFrame, include_towns: bool = False) -> DataFrame:
+def city_aliases(gazetteer: DataFrame, include_towns: bool = False, order: Column | None = None) -> DataFrame:
     """(key = folded alias, value = city); of several entries for an alias the last wins."""
-    cities = _gazetteer_cities(gazetteer, include_towns)
+    cities = _gazetteer_cities(gazetteer, include_towns, order)
     rows = cities.select(F.explode("aliases").alias("alias"), F.col("canonical").alias("value"), "_entry")
     rows = rows.select(fold_marks(F.col("alias"), exact=True).alias("key"), "value", "_entry")
     return dedupe_last(rows, ["key"], ["_entry"]).drop("_entry")

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.columns import arrival_order, complete, conform, with_defaults
+from ..operators.columns import complete, conform, file_order, with_defaults
 from ..operators.dedupe import dedupe_first
 from ..operators.filters import require
 from ..operators.ids import assign_ids, max_id
@@ -17,11 +17,17 @@ from ..taxonomy import CATEGORIES, COMPLETED, FAILED
 from . import catalogue, store
 
 ROW = "_row"
+IMPORTS = ("places", "reviews", "classified_reviews")
 
 
-def with_row_order(df: DataFrame) -> DataFrame:
-    """Add the arrival order of the input rows as a column."""
-    return df.withColumn(ROW, arrival_order(df))
+def stage_csv(spark: SparkSession, path: str, base: str, name: str) -> DataFrame:
+    """The input with its arrival order, written once as Parquet beside the store.
+
+    The import reads its rows several times with different columns; the text is parsed only here.
+    """
+    staged = f"{base}/staging/{name}"
+    read_reviews(spark, path).withColumn(ROW, file_order()).write.mode("overwrite").parquet(staged)
+    return spark.read.parquet(staged)
 
 
 def _places(df: DataFrame, now: datetime, order: Sequence[str]) -> DataFrame:
@@ -86,7 +92,9 @@ def split_classified(
 
 def import_csv(spark: SparkSession, path: str, kind: str, base: str, now: datetime) -> None:
     """Import places, reviews or classified_reviews into the store."""
-    rows = with_row_order(read_reviews(spark, path))
+    if kind not in IMPORTS:
+        raise ValueError(f"unknown kind of import: {kind}")
+    rows = stage_csv(spark, path, base, kind)
     if kind == "places":
         target = store.load_table(spark, base, "places")
         shaped = insert_places(target.limit(0), rows, now, [ROW])
@@ -94,10 +102,8 @@ def import_csv(spark: SparkSession, path: str, kind: str, base: str, now: dateti
     elif kind == "reviews":
         target = store.load_table(spark, base, "reviews")
         store.append_rows(new_reviews(target, rows, now, [ROW]), base, "reviews")
-    elif kind == "classified_reviews":
-        _append_classified(spark, rows, base, now, None)
     else:
-        raise ValueError(f"unknown kind of import: {kind}")
+        _append_classified(spark, rows, base, now, None)
 
 
 def _append_classified(spark: SparkSession, rows: DataFrame, base: str, now: datetime, run_id: int | None) -> None:
@@ -122,7 +128,7 @@ def run_migration(spark: SparkSession, path: str, base: str, now: datetime) -> d
     runs = store.load_table(spark, base, "processing_runs")
     run_id = runs.agg(F.max("id").alias("id")).head().id
     try:
-        rows = with_row_order(read_reviews(spark, path))
+        rows = stage_csv(spark, path, base, f"run={run_id}")
         total = rows.count()
         _append_classified(spark, rows, base, now, run_id)
     except Exception as error:

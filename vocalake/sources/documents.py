@@ -5,6 +5,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import display_city, first_truthy, is_canonical_place_id
+from ..operators.columns import file_order
 from ..operators.geo import city_aliases, city_centers
 from ..schemas import GAZETTEER, PLACE_PAGE, REVIEW_BUNDLE, REVIEW_PAGE
 from ..taxonomy import DEFAULT_CENTERS, DEFAULT_CITIES
@@ -89,7 +90,7 @@ def load_centers(
     if gazetteer_path is not None:
         try:
             gazetteer = read_gazetteer(spark, gazetteer_path)
-            return city_centers(gazetteer), city_aliases(gazetteer)
+            return city_centers(gazetteer, order=file_order()), city_aliases(gazetteer, order=file_order())
         except AnalysisException:
             pass
     defaults = spark.createDataFrame(list(DEFAULT_CENTERS.items()), LOOKUP_SCHEMA)
