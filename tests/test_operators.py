@@ -20,9 +20,11 @@ from vocalake.plans import catalogue, store
 from vocalake.plans.named import run_query
 from vocalake.plans.rollups import build_aggregates, rollup_table
 from vocalake.schemas import PLACES, REVIEWS
+from vocalake.session import ensure_checkpoint_dir
 from vocalake.sinks import writers
 from vocalake.sources import documents, tabular
 from vocalake.sources.regions import read_regions
+from vocalake.streaming.incremental import review_appender
 from vocalake.taxonomy import CATEGORIES
 
 NOW = datetime(2024, 1, 15, 12, 0, 0)
@@ -270,6 +272,52 @@ def test_store_versions_and_batches(spark, tmp_path):
     assert store.sql(spark, base, "SELECT count(*) AS n FROM v_reviews_full").head().n == 2
 
 
+def test_replayed_batch_changes_nothing(spark, tmp_path):
+    base = str(tmp_path / "store")
+    store.init_catalog(spark, base)
+    handle = review_appender(spark, base, NOW, ["line"])
+    first = spark.createDataFrame([("p", "a", "x", 1), ("p", None, "y", 2)], "place_id string, author string, text string, line int")
+    second = spark.createDataFrame([("p", "a", "x", 3), ("q", None, "y", 4)], first.schema)
+
+    def stored():
+        return sorted((r.id, r.place_id, r.text) for r in store.load_table(spark, base, "reviews").collect())
+
+    handle(first, 0)
+    handle(second, 1)
+    once = stored()
+    handle(second, 1)
+    assert stored() == once == [(1, "p", "x"), (2, "p", "y"), (4, "q", "y")]
+
+
+def test_duplicate_updates_do_not_multiply_rows(spark):
+    target = columns.complete(spark.createDataFrame([("p", "old")], "place_id string, name string"), PLACES)
+    updates = spark.createDataFrame([("p", "b"), ("p", "a"), ("q", "c"), ("q", "d")], "place_id string, name string")
+    got = sorted((r.place_id, r.name) for r in mutate.upsert_places(target, updates, NOW).collect())
+    assert got == [("p", "b"), ("q", "d")]
+
+
+def test_checkpoint_folder(spark, monkeypatch):
+    """The session's folder is used; without one only a local session may take its own."""
+    class Context:
+        master, chosen = "spark://cluster", None
+
+        def getCheckpointDir(self):
+            return self.chosen
+
+        def setCheckpointDir(self, path):
+            self.chosen = path
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Session())
+    Session.conf = {"spark.checkpoint.dir": "s3a://shared/checkpoints"}
+    ensure_checkpoint_dir(Session())
+    assert Session.sparkContext.chosen == "s3a://shared/checkpoints"
+
+
 # ------------------------------------------------------------------------------ sources and sinks
 
 def test_locations_file(spark, tmp_path):
@@ -371,6 +419,11 @@ def test_rules(spark):
         classify_by_rules(rows.drop("text"))
 
 
+def test_unreadable_ratings_count_as_zero(spark):
+    rows = spark.createDataFrame([("Correct", "4.0"), ("Correct", "n/a"), ("Correct", None)], "text string, rating string")
+    assert [r.sentiment for r in classify_by_rules(rows).collect()] == ["Positif", "Neutre", "Neutre"]
+
+
 def test_classify_keeps_original_columns(spark):
     rows = spark.createDataFrame([(1, "bien", 5, "kept")], "id int, text string, rating int, extra string")
     assert classify(rows, fussy_scorer).columns[:4] == ["id", "text", "rating", "extra"]

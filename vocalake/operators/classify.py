@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.categories import categories_json, filter_categories, with_fallback
+from ..functions.numbers import to_number
 from ..functions.text import fold_ascii, strip
 from ..schemas import CATEGORY_ARRAY
 from ..taxonomy import CATEGORY_COLUMNS, ERROR, NEGATIVE, NEUTRAL, OFF_TOPIC, POSITIVE
@@ -46,6 +47,11 @@ def _has_text(text: Column) -> Column:
     return F.coalesce(F.length(strip(text)) > 0, F.lit(False))
 
 
+def _stars(rating: Column) -> Column:
+    """Whole rating; missing and unreadable ones count as 0."""
+    return F.coalesce(to_number(rating).cast("int"), F.lit(0))
+
+
 def _answers(scorer: Scorer, batch: pd.DataFrame) -> pd.DataFrame:
     """Score a batch; halve one that fails, until only the failing rows become errors."""
     try:
@@ -78,8 +84,7 @@ def classify(
 
     scored = F.pandas_udf(score, ANSWER)
     text = F.when(_has_text(F.col(text_col)), F.col(text_col))
-    rating = F.coalesce(F.col(rating_col).cast("int"), F.lit(0))
-    return _attach(df, scored(text, rating))
+    return _attach(df, scored(text, _stars(F.col(rating_col))))
 
 
 def _attach(df: DataFrame, answer: Column) -> DataFrame:
@@ -115,7 +120,7 @@ def classify_by_rules(df: DataFrame, text_col: str | None = None, rating_col: st
     cues = {flag: F.col(f"_{flag}") for flag in RULES}
     positive_cue = _any([hit for flag, hit in cues.items() if flag in POSITIVE_RULES])
     negative_cue = _any([hit for flag, hit in cues.items() if flag not in POSITIVE_RULES])
-    stars = F.coalesce(F.col(rating_col).cast("int"), F.lit(0))
+    stars = _stars(F.col(rating_col))
     sentiment = (
         F.when(negative_cue & ~positive_cue, NEGATIVE).when(positive_cue & ~negative_cue, POSITIVE)
         .when(stars >= 4, POSITIVE).when(stars.isin(1, 2), NEGATIVE).otherwise(NEUTRAL)

@@ -55,10 +55,14 @@ def upsert(
     return merged, without_known(updates, target, [key])
 
 
+def _one_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """The last row per key by ``order``, or by the other columns if no order is given."""
+    return dedupe_last(df, [key], order or [c for c in df.columns if c != key])
+
+
 def upsert_places(target: DataFrame, updates: DataFrame, now: datetime, order: Sequence[str] = ()) -> DataFrame:
     """Insert places or replace nine columns and ``updated_at`` of known ones; the last update wins."""
-    if order:
-        updates = dedupe_last(updates, ["place_id"], order)
+    updates = _one_per_key(updates, "place_id", order)
     stamp = F.lit(now).cast("timestamp")
     updates = complete(updates.withColumns({"created_at": stamp, "updated_at": stamp}), PLACES)
     merged, fresh = upsert(target, updates, "place_id", PLACE_UPDATE_COLUMNS, {"updated_at": stamp})
@@ -100,8 +104,7 @@ def upsert_classifications(
 ) -> DataFrame:
     """One classification per review: replace the labels of known reviews (id and threshold stay),
     number and add the others."""
-    if order:
-        updates = dedupe_last(updates, ["review_id"], order)
+    updates = _one_per_key(updates, "review_id", order)
     stamp = F.lit(now).cast("timestamp")
     updates = complete(with_defaults(updates, "classifications", now), CLASSIFICATIONS)
     merged, fresh = upsert(
@@ -119,8 +122,7 @@ def replace_classifications(
     missing = {"review_id", "sentiment"} - set(df.columns)
     if missing:
         raise ValueError(f"missing columns: {sorted(missing)}")
-    if order:
-        df = dedupe_last(df, ["review_id"], order)
+    df = _one_per_key(df, "review_id", order)
     rows = with_defaults(df.drop("model_version", "confidence_threshold"), "classifications", now)
     rows = complete(rows.withColumn("processing_run_id", F.lit(run_id)), CLASSIFICATIONS)
     numbered = assign_ids(rows, ["review_id"], after=max_id(target))
