@@ -360,6 +360,16 @@ def test_default_centers(spark, tmp_path):
     missing = str(tmp_path / "none")
     centers, aliases = documents.load_centers(spark, missing, missing, missing)
     assert centers.count() == 13 and aliases.count() == 0
+    foreign = tmp_path / "foreign.json"
+    foreign.write_text('{"name": "Paris", "type": "city", "address": {"country_code": "fr"}, "location": [2.3, 48.8]}\n')
+    assert documents.load_centers(spark, missing, missing, str(foreign))[0].count() == 13
+
+
+def test_stored_lookups_come_first(spark, tmp_path):
+    (tmp_path / "centers.json").write_text('{"Fes": "@1,2,3z"}')
+    (tmp_path / "aliases.json").write_text('{"fez": "Fes"}')
+    centers, aliases = documents.load_centers(spark, str(tmp_path / "centers.json"), str(tmp_path / "aliases.json"))
+    assert [tuple(r) for r in centers.collect()] == [("Fes", "@1,2,3z")] and aliases.count() == 1
 
 
 def test_pretty_printed_bundle(spark, tmp_path):

@@ -48,10 +48,14 @@ def region_cells(regions: DataFrame) -> DataFrame:
     return cells.groupBy("cell_x", "cell_y").agg(F.sort_array(F.collect_list(candidate)).alias("candidates"))
 
 
-def _region_centers(regions: DataFrame) -> Column:
-    """All centroids as one array, from a scalar subquery; the number of regions is checked."""
+def _check_size(regions: DataFrame) -> None:
+    """Cells and centroids are gathered into arrays, so the number of regions must be small."""
     if regions.limit(MAX_REGIONS + 1).count() > MAX_REGIONS:
         raise ValueError(f"more than {MAX_REGIONS} regions: not a lookup")
+
+
+def _region_centers(regions: DataFrame) -> Column:
+    """All centroids as one array, from a scalar subquery."""
     return regions.agg(F.collect_list(F.struct("region_order", "region", "center")).alias("c")).scalar()
 
 
@@ -72,6 +76,7 @@ def region_by_point(
     few candidate polygons as an array, so no point is ever duplicated or regrouped. Rows
     with missing or out-of-bounds coordinates get null.
     """
+    _check_size(regions)
     lat, lng = F.col("_lat"), F.col("_lng")
     usable = F.coalesce(in_bounds(lat, lng), F.lit(False))
     points = df.withColumns({"_lat": to_number(F.col(lat_col)), "_lng": to_number(F.col(lng_col))}).withColumns({

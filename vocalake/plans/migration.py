@@ -122,7 +122,7 @@ def _append_classified(spark: SparkSession, rows: DataFrame, base: str, now: dat
 
 def run_migration(spark: SparkSession, path: str, base: str, now: datetime) -> dict[str, DataFrame]:
     """Create the store, import a classified file under a run record and verify the result."""
-    store.init_catalog(spark, base)
+    store.create_tables(spark, base)
     runs = start_run(store.load_table(spark, base, "processing_runs"), "migration", now, {"source": path})
     store.save_table(runs, base, "processing_runs")
     runs = store.load_table(spark, base, "processing_runs")

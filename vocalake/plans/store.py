@@ -71,11 +71,16 @@ def append_rows(df: DataFrame, base: str, table: str, writer: str = MAIN, batch:
     _write(df, base, table, version, writer, batch)
 
 
-def init_catalog(spark: SparkSession, base: str) -> None:
-    """Create missing tables and register tables and views."""
+def create_tables(spark: SparkSession, base: str) -> None:
+    """Create missing tables as empty typed Parquet."""
     for table, schema in TABLES.items():
         if _stored(spark, base, table) is None:
             _write(spark.createDataFrame([], schema), base, table, 0, MAIN, 0)
+
+
+def init_catalog(spark: SparkSession, base: str) -> None:
+    """Create missing tables and register tables and views."""
+    create_tables(spark, base)
     register_views(spark, base)
 
 

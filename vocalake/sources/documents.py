@@ -82,17 +82,20 @@ def parse_review_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:
 def load_centers(
     spark: SparkSession, centers_path: str, aliases_path: str, gazetteer_path: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(centres, aliases): the stored lookups if both hold rows, else built from the gazetteer,
-    else the default centres and no aliases."""
+    """(centres, aliases): the stored lookups if both hold rows, else built from the gazetteer
+    if that yields centres, else the default centres and no aliases."""
     centers, aliases = read_lookup(spark, centers_path), read_lookup(spark, aliases_path)
     if not centers.isEmpty() and not aliases.isEmpty():
         return centers, aliases
     if gazetteer_path is not None:
         try:
             gazetteer = read_gazetteer(spark, gazetteer_path)
-            return city_centers(gazetteer, order=file_order()), city_aliases(gazetteer, order=file_order())
         except AnalysisException:
-            pass
+            gazetteer = None
+        if gazetteer is not None:
+            centers = city_centers(gazetteer, order=file_order())
+            if not centers.isEmpty():
+                return centers, city_aliases(gazetteer, order=file_order())
     defaults = spark.createDataFrame(list(DEFAULT_CENTERS.items()), LOOKUP_SCHEMA)
     return defaults, spark.createDataFrame([], LOOKUP_SCHEMA)
 

@@ -64,5 +64,5 @@ def upsert_stream(
     stream: DataFrame, base: str, checkpoint: str, now: datetime, order: list[str]
 ) -> StreamingQuery:
     """Insert a stream of raw reviews into the store, ignoring known ones."""
-    store.init_catalog(stream.sparkSession, base)
+    store.create_tables(stream.sparkSession, base)
     return process_available(stream, checkpoint, review_appender(stream.sparkSession, base, now, order))

@@ -96,13 +96,14 @@ def _(spark, sf):
     return tabular.read_csv(spark, newest).select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name")
 
 
-@query("dated_runs", "SELECT c_custkey, c_name FROM customer WHERE c_custkey%2=1")
+@query("dated_runs", "SELECT c_custkey, c_name FROM customer")
 def _(spark, sf):
     base = f"{b.scratch(spark)}/runs"
     rows = b.table(spark, sf, "customer").select("c_custkey", "c_name")
-    w.write_run(rows, base, date(2024, 1, 31))
-    w.write_run(rows.filter(F.col("c_custkey") % 2 == 0), base, date(2024, 2, 1))
-    w.write_run(rows.filter(F.col("c_custkey") % 2 == 1), base, date(2024, 2, 1))
+    older = rows.withColumn("c_name", F.upper("c_name"))
+    w.write_run(rows.unionByName(older), base, date(2024, 1, 31))
+    w.write_run(older, base, date(2024, 2, 1))
+    w.write_run(rows, base, date(2024, 2, 1))
     return w.read_latest(spark, base)
 
 

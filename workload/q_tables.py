@@ -36,8 +36,8 @@ def stored_places(spark, sf):
 
 
 def incoming_places(spark, sf):
-    """Every third place twice; the second copy is the later one."""
-    rows = b.places(spark, sf).filter(key() % 3 == 0).select(
+    """The places not stored yet and some stored ones, each twice; the second copy is the later one."""
+    rows = b.places(spark, sf).filter((key() % 2 == 1) | (key() % 3 == 0)).select(
         "place_id", "business", "city", F.lit("incoming").alias("phone"),
         F.explode(F.array(F.lit(1), F.lit(2))).alias("line"))
     return rows.withColumn("name", F.concat(F.lit("New "), "place_id", F.lit(" "), F.col("line").cast("string")))
@@ -46,12 +46,12 @@ def incoming_places(spark, sf):
 @query("upsert_places", sql(f"""
 SELECT place_id, business, business_type, name, phone, potential, created, updated FROM (
   SELECT place_id, business, CASE WHEN {KEY}%2=0 THEN business_type END AS business_type,
-    CASE WHEN {KEY}%3=0 THEN 'New '||place_id||' 2' ELSE name END AS name,
+    CASE WHEN {KEY}%2=1 OR {KEY}%3=0 THEN 'New '||place_id||' 2' ELSE name END AS name,
     CASE WHEN {KEY}%2=0 THEN 'stored' ELSE 'incoming' END AS phone,
-    CASE WHEN {KEY}%3=0 THEN NULL ELSE potential END AS potential,
+    CASE WHEN {KEY}%2=1 OR {KEY}%3=0 THEN NULL ELSE potential END AS potential,
     CASE WHEN {KEY}%2=0 THEN DATE '2024-01-15' ELSE DATE '2024-02-01' END AS created,
-    CASE WHEN {KEY}%3=0 THEN DATE '2024-02-01' END AS updated
-  FROM places WHERE {KEY}%2=0 OR {KEY}%3=0)"""))
+    CASE WHEN {KEY}%2=1 OR {KEY}%3=0 THEN DATE '2024-02-01' END AS updated
+  FROM places)"""))
 def _(spark, sf):
     merged = m.upsert_places(stored_places(spark, sf), incoming_places(spark, sf), LATER, order=["line"])
     return merged.select(
@@ -60,8 +60,7 @@ def _(spark, sf):
 
 
 @query("insert_places", sql(f"""
-SELECT place_id, CASE WHEN {KEY}%2=0 THEN name ELSE 'New '||place_id||' 1' END AS name, city FROM places
-WHERE {KEY}%2=0 OR {KEY}%3=0"""))
+SELECT place_id, CASE WHEN {KEY}%2=0 THEN name ELSE 'New '||place_id||' 1' END AS name, city FROM places"""))
 def _(spark, sf):
     raw = incoming_places(spark, sf).select(
         F.col("place_id").alias("canonical_place_id"), F.lit("old").alias("place_id"), F.col("business").alias("_business"),
@@ -124,13 +123,16 @@ def stored_labels(spark, sf):
 
 
 def incoming_labels(spark, sf):
-    return b.classifications(spark, sf).filter(F.col("review_id") % 2 == 0).select(
+    """The labels not stored yet and some stored ones."""
+    missing = F.col("review_id") % 3 == 0
+    return b.classifications(spark, sf).filter(missing | (F.col("review_id") % 2 == 0)).select(
         "review_id", F.lit("Neutre").alias("sentiment"), F.lit("second look").alias("rationale"))
 
 
 STORED_LABELS = """
 , stored AS (SELECT id, review_id, sentiment, rationale FROM classifications WHERE review_id%3<>0),
-inc AS (SELECT review_id, 'Neutre' AS sentiment, 'second look' AS rationale FROM classifications WHERE review_id%2=0)"""
+inc AS (SELECT review_id, 'Neutre' AS sentiment, 'second look' AS rationale FROM classifications
+        WHERE review_id%2=0 OR review_id%3=0)"""
 
 
 @query("upsert_classifications", sql(STORED_LABELS + """
