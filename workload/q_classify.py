@@ -116,18 +116,20 @@ def _(spark, sf):
 # ------------------------------------------------------------------------------ incremental
 
 def _event_files(spark, sf, base):
-    rows = b.table(spark, sf, "events").select("event_id", "event_type", "value")
-    rows.repartition(3, "event_id").write.parquet(f"{base}/in")
-    return rows.schema
+    """Events as one file per task and type; returns their schema and half the number of files."""
+    rows = b.table(spark, sf, "events").select("event_id", "value", "event_type")
+    rows.withColumn("kind", F.col("event_type")).write.partitionBy("kind").parquet(f"{base}/in")
+    files = spark.read.parquet(f"{base}/in").inputFiles()
+    return rows.schema, max(1, len(files) // 2)
 
 
 @query("stream_append", "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY 1")
 def _(spark, sf):
-    """Two runs over the same folder: the second finds nothing new."""
+    """Two runs over the same folder, a few micro-batches each: the second run finds nothing new."""
     base = b.scratch(spark)
-    schema = _event_files(spark, sf, base)
+    schema, half = _event_files(spark, sf, base)
     for _ in range(2):
-        stream = stream_new_files(spark, f"{base}/in", schema, max_files=2)
+        stream = stream_new_files(spark, f"{base}/in", schema, max_files=half)
         append_stream(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids"))
@@ -136,12 +138,12 @@ def _(spark, sf):
 @query("stream_batches", "SELECT count(*) AS rows FROM events")
 def _(spark, sf):
     base = b.scratch(spark)
-    schema = _event_files(spark, sf, base)
+    schema, half = _event_files(spark, sf, base)
 
     def keep(batch, batch_id):
         batch.agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
 
-    stream = stream_new_files(spark, f"{base}/in", schema, max_files=1)
+    stream = stream_new_files(spark, f"{base}/in", schema, max_files=half)
     process_available(stream, f"{base}/checkpoint", keep).awaitTermination()
     return spark.read.parquet(f"{base}/out").agg(F.sum("n").alias("rows"))
 

@@ -86,14 +86,15 @@ def _(spark, sf):
     return tabular.read_csv(spark, path).select("_place_id", "_city", "_business", "title", "date", "text", "author")
 
 
-@query("latest_snapshot", "SELECT s_suppkey, s_name FROM supplier")
+@query("latest_snapshot", sql("SELECT city, CAST(count(*) AS VARCHAR) AS reviews FROM reviews GROUP BY city"))
 def _(spark, sf):
+    """A snapshot is one file: the reviews per city, after an older one in a weaker folder."""
     base = b.scratch(spark)
-    rows = b.table(spark, sf, "supplier").select("s_suppkey", "s_name")
-    rows.limit(0).write.csv(f"{base}/older/part", header=True)
+    rows = b.reviews(spark, sf).groupBy("city").agg(F.count(F.lit(1)).alias("reviews"))
+    rows.filter("reviews < 0").write.csv(f"{base}/older", header=True)
     rows.coalesce(1).write.csv(f"{base}/current", header=True)
     newest = tabular.latest_snapshot(spark, [f"{base}/missing", f"{base}/current", f"{base}/older"])
-    return tabular.read_csv(spark, newest).select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name")
+    return tabular.read_csv(spark, newest)
 
 
 @query("dated_runs", "SELECT c_custkey, c_name FROM customer")
@@ -196,26 +197,34 @@ def _(spark, sf):
         "name", "population", F.col("location")[0].alias("lng"), F.col("other_names")["name:fr"].alias("french"))
 
 
-@query("read_lookup", "SELECT n_name AS key, CAST(n_regionkey AS VARCHAR) AS value FROM nation")
+@query("read_lookup", sql("SELECT city AS key, CAST(count(*) AS VARCHAR) AS value FROM places GROUP BY city"))
 def _(spark, sf):
+    """Places per city as one JSON dictionary; a missing file adds nothing."""
     path = f"{b.scratch(spark)}/lookup"
-    entries = F.map_from_entries(F.collect_list(F.struct("n_name", "n_regionkey")))
-    b.table(spark, sf, "nation").agg(F.to_json(entries).alias("value")).coalesce(1).write.text(path)
+    counts = b.places(spark, sf).groupBy("city").agg(F.count(F.lit(1)).alias("n"))
+    entries = F.map_from_entries(F.collect_list(F.struct("city", "n")))
+    counts.agg(F.to_json(entries).alias("value")).coalesce(1).write.text(path)
     missing = docs.read_lookup(spark, f"{path}-missing")
     return docs.read_lookup(spark, path).unionByName(missing)
 
 
-@query("read_regions", "SELECT * FROM (VALUES " + ", ".join(
-    f"({i}, {quoted(name)}, {x0}::DOUBLE, {y0}::DOUBLE, {x1}::DOUBLE, {y1}::DOUBLE, n)"
-    for i, name, x0, y0, x1, y1 in RECTANGLES).replace(", n)", ")")
-    + ") t(region_order, region, min_x, min_y, max_x, max_y) WHERE region_order < (SELECT count(*) FROM nation)")
+_CITY_NUMBER = "CAST(split_part(city,'_',2) AS INTEGER)"
+
+
+@query("read_regions", sql(f"""
+, known(o, region, x0, y0, x1, y1) AS (VALUES {", ".join(
+    f"({i}, {quoted(name)}, {x0}::DOUBLE, {y0}::DOUBLE, {x1}::DOUBLE, {y1}::DOUBLE)"
+    for i, name, x0, y0, x1, y1 in RECTANGLES)})
+SELECT pos AS region_order, region, x0 AS min_x, y0 AS min_y, x1 AS max_x, y1 AS max_y
+FROM known JOIN (SELECT n, CAST(row_number() OVER (ORDER BY n)-1 AS INTEGER) AS pos
+                 FROM (SELECT DISTINCT {_CITY_NUMBER} AS n FROM places)) ON n=o"""))
 def _(spark, sf):
-    """One feature per nation: the first ones carry the known rectangles, the rest have no geometry."""
+    """One feature per city of the places: the first carry the known rectangles, the rest no geometry."""
     path = f"{b.scratch(spark)}/regions"
     corners = {i: [[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]] for i, _, x0, y0, x1, y1 in RECTANGLES}
     names = F.array(*[F.lit(r[1]) for r in RECTANGLES])
     rings = F.array(*[F.array(*[F.array(*[F.lit(v) for v in p]) for p in corners[r[0]]]) for r in RECTANGLES])
-    n = F.col("n_nationkey")
+    n = F.col("n")
     known = n < len(RECTANGLES)
     feature = F.struct(
         n.alias("order"),
@@ -223,7 +232,8 @@ def _(spark, sf):
         .alias("properties"),
         F.struct(F.lit("Polygon").alias("type"), F.when(known, F.array(F.get(rings, n))).alias("coordinates"))
         .alias("geometry"))
-    b.table(spark, sf, "nation").agg(F.to_json(F.struct(
+    cities = b.places(spark, sf).select(F.split_part("city", F.lit("_"), F.lit(2)).cast("int").alias("n")).distinct()
+    cities.agg(F.to_json(F.struct(
         F.array_sort(F.collect_list(feature)).alias("features"))).alias("value")).coalesce(1).write.text(path)
     return read_regions(spark, path).select("region_order", "region", "min_x", "min_y", "max_x", "max_y")
 
