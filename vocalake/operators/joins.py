@@ -66,12 +66,18 @@ def with_sentiment(reviews: DataFrame, classifications: DataFrame, *extra: str)
 
 
 def reviews_full(reviews: DataFrame, places: DataFrame, classifications: DataFrame) -> DataFrame:
-    """The full star view: review, place and classification columns."""
+    """The full star view: review, place and classification columns.
+
+    Places are matched on the narrow (id, place) pairs; the wide review rows then meet both
+    sides on the review id, so the texts are shuffled once, or not at all if bucketed.
+    """
     place_columns = ["region", "latitude", "longitude", "cluster_name", "potential"]
     label_columns = ["categories_json", "rationale", "model_version"]
-    labelled = with_sentiment(reviews.drop(*place_columns), classifications, *label_columns)
-    known = places.select("place_id", *place_columns)
-    full = salted_join(labelled, known, ["place_id"], hot_keys(reviews, ["place_id"]), salt_by=["id"])
+    located = salted_join(
+        reviews.select("id", "place_id"), places.select("place_id", *place_columns), ["place_id"],
+        hot_keys(reviews, ["place_id"]), salt_by=["id"],
+    ).drop("place_id")
+    full = with_sentiment(reviews.drop(*place_columns).join(located, "id"), classifications, *label_columns)
     return full.select(
         F.col("id").alias("review_id"), "place_id", "author", "rating", "text", "review_date", "review_date_parsed",
         "language", "business", "city", "agency_name", *place_columns, "sentiment", *label_columns,

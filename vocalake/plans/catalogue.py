@@ -91,9 +91,13 @@ def overview(reviews: DataFrame, places: DataFrame) -> DataFrame:
     per_place = reviews.groupBy("place_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("rating").alias("stars"), F.count("rating").alias("rated"),
         F.min("review_date_parsed").alias("first"), F.max("review_date_parsed").alias("last"))
-    known = places.select("place_id", "business", "city", F.col("place_id").alias("known_place"))
-    return per_place.join(known, "place_id", "left").agg(
-        F.count_distinct("known_place").alias("total_places"),
+    known = places.select("place_id", "business", "city", F.lit(1).alias("known"))
+    # Places are unique by now, so they are counted; only the few (business, city) pairs need distinct counts.
+    pairs = per_place.join(known, "place_id", "left").groupBy("business", "city").agg(
+        F.count("known").alias("places"), F.sum("n").alias("n"), F.sum("stars").alias("stars"),
+        F.sum("rated").alias("rated"), F.min("first").alias("first"), F.max("last").alias("last"))
+    return pairs.agg(
+        F.coalesce(F.sum("places"), F.lit(0)).alias("total_places"),
         F.count_distinct("business").alias("total_businesses"),
         F.count_distinct("city").alias("total_cities"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_reviews"),
