@@ -5,12 +5,12 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from workload import ORACLES, QUERIES
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
 ).split()
-QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()
 CROSSING = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
 
 
