@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vocalake.llm import toxicity as toxic
 from vocalake.llm.common import stored, table
 from vocalake.llm.line_dedup import dedup_lines
 from vocalake.llm.packing import pack, token_pieces
@@ -15,6 +16,12 @@ def with_text(docs: DataFrame, text) -> DataFrame:
     return docs.withColumns({"text": text, "n_chars": F.char_length(text).cast("long")})
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents whose score reaches the operator's threshold."""
+    field = toxic.train_on(docs, table(spark, sf_dir, "labels"))
+    return toxic.without_toxic(docs, field)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cleaned = dedup_lines(docs)
     return with_text(cleaned.select("row.*", F.col("text").alias("_cleaned")), F.col("_cleaned")).drop("_cleaned")
@@ -29,6 +36,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES = [
+    ("toxicity", toxicity),
     ("line_dedup", line_dedup),
     ("secret_scan", secret_scan),
     ("best_fit_packing", best_fit_packing),

@@ -45,3 +45,18 @@ def fold_of(id_column: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bounded_sample(rows: DataFrame, label: str, id_column: str, per_label: int) -> DataFrame:
+    """About ``per_label`` rows of each label, chosen by a hash of the id; all rows of a rarer label.
+
+    The labels themselves are counted on the driver, so they must be few. Rows that repeat an id count
+    once.
+    """
+    sizes = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.countDistinct(id_column).alias("n")).collect()}
+    buckets = 1 << 30
+    place = F.pmod(F.xxhash64(id_column), F.lit(buckets))
+    share = F.lit(False)
+    for value, n in sizes.items():
+        share = share | ((F.col(label) == F.lit(value)) & (place < int(buckets * min(1.0, per_label / max(n, 1)))))
+    return rows.filter(share).dropDuplicates([id_column])

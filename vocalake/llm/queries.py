@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import language, toxicity
+from .common import fold_of, table
 from .exact_dedup import exact_groups
 from .line_dedup import dedup_lines
 from .packing import pack, token_pieces
@@ -32,6 +33,17 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
+@query("op3_toxicity")
+def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = toxicity.train_on(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, field).select(
+        F.col("id").alias("doc_id"), (fold_of(F.col("id")) == 1).alias("held_out"), "score",
+        (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"),
+        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("toxic_spans"),
+    )
+
+
 @query("op4_secret_scan")
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
@@ -98,3 +110,14 @@ FROM docs d LEFT JOIN counts c ON d.doc_id = c.doc_id LEFT JOIN kept k ON d.doc_
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = dedup_lines(table(spark, sf_dir, "documents"))
     return cleaned.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", "text")
+
+
+@query("op10_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify_languages(docs, language.train_on(docs)).select(
+        F.col("id").alias("doc_id"), (fold_of(F.col("id")) == 1).alias("held_out"), "lang_pred", "score",
+        F.array_join(
+            F.transform("spans", lambda s: F.concat_ws(":", s["lang"], s["start"], s["end"])), ","
+        ).alias("lang_spans"),
+    )
