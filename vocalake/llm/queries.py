@@ -13,6 +13,7 @@ from .line_dedup import dedup_lines
 from .packing import pack, token_pieces
 from .secrets import BASE_KINDS, find_secrets, of_kinds, span_list
 from .tokens import line_token_counts
+from .topk import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,6 +56,26 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_exact_topk", """
+WITH vectors AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_sum([p[1] * p[2] FOR p IN list_zip(q.v, c.v)])::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+  FROM scored
+)
+SELECT * FROM ranked WHERE rank <= 5
+""")
+def exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, F.col("vec_id") % 50 == 0, k=5).withColumnRenamed("id", "vec_id")
+
+
 @query("op6_token_counts")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_token_counts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
