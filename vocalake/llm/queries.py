@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, toxicity
+from . import bpe, language, toxicity
 from .common import fold_of, table
 from .exact_dedup import exact_groups
 from .line_dedup import dedup_lines
@@ -30,6 +30,15 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_bpe")
+def byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(spark, F.col("ids")), 256).alias("decoded_sha256"),
+    )
+
+
 @query("op2_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
