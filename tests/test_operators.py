@@ -42,9 +42,9 @@ def test_salted_join_keeps_every_row(spark):
     fact = spark.range(3000).select(
         "id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, None).otherwise(F.col("id") % 50).alias("k"))
     dim = spark.range(40).select(F.col("id").alias("k"), F.concat(F.lit("v"), "id").alias("v"))
-    hot = hot_keys(fact, ["k"], min_rows=500)
+    hot = hot_keys(fact, ["k"], rows_per_salt=500)
     assert {r.k for r in hot.collect()} == {7, None}
-    spread = salted_join(fact, dim, ["k"], hot, ["id"], fan=16)
+    spread = salted_join(fact, dim, ["k"], hot, ["id"])
     plain = fact.join(dim, "k", "left")
     assert sorted(spread.select("id", "v").collect(), key=str) == sorted(plain.select("id", "v").collect(), key=str)
 
@@ -262,8 +262,9 @@ def test_store_versions_and_batches(spark, tmp_path):
     store.init_catalog(spark, base)
     rows = spark.createDataFrame([(1, "p"), (2, "q")], "id long, place_id string")
     store.append_rows(rows, base, "reviews")
-    store.append_rows(rows.limit(1), base, "reviews", writer="stream", batch=0)
-    store.append_rows(rows.limit(1), base, "reviews", writer="stream", batch=0)
+    third = spark.createDataFrame([(3, "p")], rows.schema)
+    store.append_rows(third, base, "reviews", writer="stream", batch=0)
+    store.append_rows(third, base, "reviews", writer="stream", batch=0)
     assert store.load_table(spark, base, "reviews").count() == 3
     assert store.load_table(spark, base, "reviews", writer="stream", before_batch=0).count() == 2
     store.save_table(rows.limit(0), base, "reviews")
@@ -272,6 +273,29 @@ def test_store_versions_and_batches(spark, tmp_path):
     assert store.sql(spark, base, "SELECT count(*) AS n FROM v_reviews_full").head().n == 2
 
 
+def test_store_ignores_what_was_not_committed(spark, tmp_path):
+    base = str(tmp_path / "store")
+    rows = columns.complete(spark.createDataFrame([(1, "p"), (2, "q")], "id long, place_id string"), REVIEWS)
+    store.append_rows(rows, base, "reviews")
+    rows.limit(1).write.parquet(f"{base}/reviews/data/unfinished")
+    assert store.load_table(spark, base, "reviews").count() == 2
+
+
+def test_store_keeps_rejects_apart(spark, tmp_path):
+    base = str(tmp_path / "store")
+    reviews = spark.createDataFrame(
+        [(1, "p", 5), (2, "q", 99), (3, None, 4), (1, "p", 4), (4, "r", None)], "id long, place_id string, rating int")
+    store.append_rows(reviews, base, "reviews")
+    store.append_rows(spark.createDataFrame([(4, "z"), (5, "z")], "id long, place_id string"), base, "reviews")
+    assert sorted(r.id for r in store.load_table(spark, base, "reviews").collect()) == [1, 4, 5]
+    assert sorted(r.id for r in store.rejected_rows(spark, base, "reviews").collect()) == [1, 2, 3, 4]
+    labels = spark.createDataFrame([(1, 1, "Positif"), (2, 1, "Neutre"), (3, 5, "Bogus")], "id long, review_id long, sentiment string")
+    store.append_rows(labels, base, "classifications")
+    assert store.load_table(spark, base, "classifications").count() == 1
+    store.register_views(spark, base)
+    assert spark.table("v_reviews_full").count() == 3
+
+
 def test_replayed_batch_changes_nothing(spark, tmp_path):
     base = str(tmp_path / "store")
     store.init_catalog(spark, base)
@@ -379,16 +403,22 @@ def test_pretty_printed_bundle(spark, tmp_path):
     assert [(r.place_id, r.position, r.rating) for r in rows.collect()] == [("p", 0, 4.0), ("p", 1, 5.0)]
 
 
-def test_bundle_lines_are_bounded(spark, tmp_path):
-    rows = spark.range(0, 100, 1, 2).select(F.lit('hot "1"').alias("place_id"), F.col("id").cast("string").alias("snippet"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
-    try:
-        writers.write_review_bundle(rows, str(tmp_path / "bundle"))
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    back = documents.read_review_bundle(spark, str(tmp_path / "bundle"))
-    assert {(r.place_id, int(r.snippet)) for r in back.collect()} == {('hot "1"', i) for i in range(100)}
-    assert back.agg(F.max("position")).head()[0] < 10
+def test_bundle_is_the_same_for_every_batch_size(spark, tmp_path):
+    rows = spark.range(0, 100, 1, 3).select(
+        F.when(F.col("id") % 10 == 0, "other").otherwise('hot "1"').alias("place_id"),
+        F.format_string("%03d", "id").alias("snippet"))
+    found = []
+    for size in ("10", "1000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            writers.write_review_bundle(rows, str(tmp_path / size), order=["snippet"])
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        back = documents.read_review_bundle(spark, str(tmp_path / size))
+        found.append(sorted((r.place_id, r.position, r.snippet) for r in back.collect()))
+    hot = [f"{i:03d}" for i in range(100) if i % 10]
+    expected = [('hot "1"', i, s) for i, s in enumerate(hot)] + [("other", i, f"{i * 10:03d}") for i in range(10)]
+    assert found == [sorted(expected)] * 2
 
 
 # ------------------------------------------------------------------------------ classification

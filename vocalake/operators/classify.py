@@ -21,7 +21,7 @@ ANSWER = T.StructType([
     T.StructField("language", T.StringType()), T.StructField("rationale", T.StringType()),
 ])
 RULE_CONFIDENCE = 0.8
-MAX_LABELS = 3
+MAX_LABELS = 3  # default of ``max_labels``: an answer names its three most relevant categories at most
 
 # Cue words (folded to ASCII) -> flag column of the category they point to.
 RULES = {
@@ -32,6 +32,8 @@ RULES = {
     "cat_service_injoignable": r"\b(injoignable|ne repond|ne rappelle|jamais rappele)",
     "cat_frais_abusifs": r"\b(frais|commissions?|couts?|trop cher)\b",
 }
+# Any cue; inside a match the rules see the same word bounds as in the text.
+ANY_RULE = "|".join(f"(?:{pattern})" for pattern in RULES.values())
 POSITIVE_RULES = ("cat_experience_digitale",)
 
 
@@ -53,14 +55,32 @@ def _stars(rating: Column) -> Column:
 
 
 def _answers(scorer: Scorer, batch: pd.DataFrame) -> pd.DataFrame:
-    """Score a batch; halve one that fails, until only the failing rows become errors."""
+    """Score a batch; if the scorer raises, score its rows once more one by one.
+
+    A scorer that reports failing rows in a column ``error`` is called once per batch; one that
+    raises sees each row at most twice.
+    """
+    try:
+        return _reported(scorer(batch), batch.index)
+    except Exception:
+        return pd.concat([_answer(scorer, batch.iloc[i:i + 1]) for i in range(len(batch))])
+
+
+def _answer(scorer: Scorer, row: pd.DataFrame) -> pd.DataFrame:
     try:
-        return scorer(batch)[ANSWER.names].set_axis(batch.index)
+        return _reported(scorer(row), row.index)
     except Exception:
-        if len(batch) == 1:
-            return pd.DataFrame([[ERROR, None, None, None]], columns=ANSWER.names, index=batch.index)
-        middle = len(batch) // 2
-        return pd.concat([_answers(scorer, batch.iloc[:middle]), _answers(scorer, batch.iloc[middle:])])
+        return pd.DataFrame([[ERROR, None, None, None]], columns=ANSWER.names, index=row.index)
+
+
+def _reported(answers: pd.DataFrame, index: pd.Index) -> pd.DataFrame:
+    out = answers[ANSWER.names].set_axis(index)
+    if "error" in answers.columns:
+        failed = answers["error"].fillna(False).astype(bool).to_numpy()
+        out = out.astype(object)
+        out.loc[failed, ANSWER.names] = None
+        out.loc[failed, "sentiment"] = ERROR
+    return out
 
 
 def classify(
@@ -69,8 +89,8 @@ def classify(
     """Add sentiment, categories_json, language and rationale.
 
     ``scorer`` maps a pandas batch (text, rating) to a batch (sentiment, categories, language,
-    rationale). Only these two columns travel to Python; texts that are empty are not scored
-    and keep null results, a failing row gets the sentiment ``Error``.
+    rationale, and optionally error). Only these two columns travel to Python; texts that are
+    empty are not scored and keep null results, a failing row gets the sentiment ``Error``.
     """
     text_col, rating_col = _text_and_rating(df, text_col, rating_col)
 
@@ -102,13 +122,20 @@ def _attach(df: DataFrame, answer: Column) -> DataFrame:
     }).drop("_answer")
 
 
+def _matches(pattern: str) -> Callable[[Column], Column]:
+    return lambda cue: cue.rlike(pattern)
+
+
 def _any(hits: list[Column]) -> Column:
     return reduce(or_, hits, F.lit(False))
 
 
-def classify_by_rules(df: DataFrame, text_col: str | None = None, rating_col: str | None = None) -> DataFrame:
+def classify_by_rules(
+    df: DataFrame, text_col: str | None = None, rating_col: str | None = None, max_labels: int = MAX_LABELS
+) -> DataFrame:
     """``classify`` with the offline rules: cue words give categories, the rating decides
-    without a clear cue.
+    without a clear cue. The ``max_labels`` categories with the most cues stay, ties in the order
+    of the rules.
 
     Native expressions only, in layers: the folded text and each cue are computed once per row
     and later layers read them as columns.
@@ -116,8 +143,10 @@ def classify_by_rules(df: DataFrame, text_col: str | None = None, rating_col: st
     text_col, rating_col = _text_and_rating(df, text_col, rating_col)
     text = F.col(text_col)
     rows = df.withColumn("_folded", F.when(_has_text(text), fold_ascii(text)))
-    rows = rows.withColumns({f"_{flag}": F.col("_folded").rlike(pattern) for flag, pattern in RULES.items()})
-    cues = {flag: F.col(f"_{flag}") for flag in RULES}
+    # One pass finds all cue words of a text; the categories are counted on those few.
+    rows = rows.withColumn("_cues", F.regexp_extract_all("_folded", F.lit(ANY_RULE), F.lit(0)))
+    rows = rows.withColumns({f"_{flag}": F.size(F.filter("_cues", _matches(p))) for flag, p in RULES.items()})
+    cues = {flag: F.coalesce(F.col(f"_{flag}") > 0, F.lit(False)) for flag in RULES}
     positive_cue = _any([hit for flag, hit in cues.items() if flag in POSITIVE_RULES])
     negative_cue = _any([hit for flag, hit in cues.items() if flag not in POSITIVE_RULES])
     stars = _stars(F.col(rating_col))
@@ -130,12 +159,15 @@ def classify_by_rules(df: DataFrame, text_col: str | None = None, rating_col: st
     def entry(label):
         return F.struct(F.lit(label).alias("label"), F.lit(RULE_CONFIDENCE).alias("confidence"))
 
-    found = F.array_compact(F.array(*[F.when(hit, entry(CATEGORY_COLUMNS[flag])) for flag, hit in cues.items()]))
+    ranked = F.array_sort(F.array_compact(F.array(*[
+        F.when(hit, F.struct((-F.col(f"_{flag}")).alias("order"), F.lit(i).alias("rule"), entry(CATEGORY_COLUMNS[flag]).alias("e")))
+        for i, (flag, hit) in enumerate(cues.items())])))
+    found = F.transform(ranked, lambda r: r["e"])
     off_topic = ~(negative_cue | positive_cue) & (F.col("_sentiment") == NEUTRAL)
-    labels = F.when(off_topic, F.array(entry(OFF_TOPIC))).otherwise(F.slice(found, 1, MAX_LABELS))
+    labels = F.when(off_topic, F.array(entry(OFF_TOPIC))).otherwise(F.slice(found, 1, max_labels))
     answer = F.struct(
         F.col("_sentiment").alias("sentiment"), labels.cast(CATEGORY_ARRAY).alias("categories"),
         F.lit(None).cast("string").alias("language"),
         F.when(F.col("_sentiment").isNotNull(), "rules").alias("rationale"),
     )
-    return _attach(rows, answer).drop("_folded", "_sentiment", *[f"_{flag}" for flag in RULES])
+    return _attach(rows, answer).drop("_folded", "_cues", "_sentiment", *[f"_{flag}" for flag in RULES])

@@ -12,7 +12,6 @@ from ..taxonomy import CITY_REGIONS, REGION_ALIASES
 from .columns import first_present
 from .dedupe import dedupe_last
 
-MAX_REGIONS = 10_000
 CELL_DEGREES = 1.0
 
 
@@ -48,12 +47,6 @@ def region_cells(regions: DataFrame) -> DataFrame:
     return cells.groupBy("cell_x", "cell_y").agg(F.sort_array(F.collect_list(candidate)).alias("candidates"))
 
 
-def _check_size(regions: DataFrame) -> None:
-    """Cells and centroids are gathered into arrays, so the number of regions must be small."""
-    if regions.limit(MAX_REGIONS + 1).count() > MAX_REGIONS:
-        raise ValueError(f"more than {MAX_REGIONS} regions: not a lookup")
-
-
 def _region_centers(regions: DataFrame) -> Column:
     """All centroids as one array, from a scalar subquery."""
     return regions.agg(F.collect_list(F.struct("region_order", "region", "center")).alias("c")).scalar()
@@ -76,7 +69,6 @@ def region_by_point(
     few candidate polygons as an array, so no point is ever duplicated or regrouped. Rows
     with missing or out-of-bounds coordinates get null.
     """
-    _check_size(regions)
     lat, lng = F.col("_lat"), F.col("_lng")
     usable = F.coalesce(in_bounds(lat, lng), F.lit(False))
     points = df.withColumns({"_lat": to_number(F.col(lat_col)), "_lng": to_number(F.col(lng_col))}).withColumns({
@@ -108,7 +100,7 @@ def add_region(df: DataFrame, regions: DataFrame, fold: bool = True) -> DataFram
     return located.withColumn("region", F.coalesce("region", region_of_city(F.col("city"), fold)))
 
 
-def _gazetteer_cities(gazetteer: DataFrame, include_towns: bool, order: Column | None) -> DataFrame:
+def _gazetteer_cities(gazetteer: DataFrame, include_towns: bool, order: Column) -> DataFrame:
     """Eligible entries with their alias set and canonical name."""
     kinds = ["city", "town"] if include_towns else ["city"]
     other = F.col("other_names")
@@ -121,7 +113,7 @@ def _gazetteer_cities(gazetteer: DataFrame, include_towns: bool, order: Column |
             (F.col("address.country_code") == "ma")
             & first_truthy(F.col("type"), F.col("inferred_type")).isin(kinds) & (F.size("location") == 2))
         .withColumns({
-            "_entry": F.monotonically_increasing_id() if order is None else order,
+            "_entry": order,
             "aliases": aliases,
             "canonical": F.coalesce(F.nullif(preferred, F.lit("")), F.array_min(aliases)),
         })
@@ -129,8 +121,8 @@ def _gazetteer_cities(gazetteer: DataFrame, include_towns: bool, order: Column |
     )
 
 
-def city_centers(gazetteer: DataFrame, include_towns: bool = False, order: Column | None = None) -> DataFrame:
-    """(key = city, value = ``@lat,lng,zoom``); of several entries for a city the last wins."""
+def city_centers(gazetteer: DataFrame, order: Column, include_towns: bool = False) -> DataFrame:
+    """(key = city, value = ``@lat,lng,zoom``); of several entries for a city the last in ``order`` wins."""
     cities = _gazetteer_cities(gazetteer, include_towns, order)
     center = format_center(
         F.get("location", 1), F.get("location", 0), zoom_for_population(F.col("population")))
@@ -138,8 +130,8 @@ def city_centers(gazetteer: DataFrame, include_towns: bool = False, order: Colum
     return dedupe_last(rows, ["key"], ["_entry"]).drop("_entry")
 
 
-def city_aliases(gazetteer: DataFrame, include_towns: bool = False, order: Column | None = None) -> DataFrame:
-    """(key = folded alias, value = city); of several entries for an alias the last wins."""
+def city_aliases(gazetteer: DataFrame, order: Column, include_towns: bool = False) -> DataFrame:
+    """(key = folded alias, value = city); of several entries for an alias the last in ``order`` wins."""
     cities = _gazetteer_cities(gazetteer, include_towns, order)
     rows = cities.select(F.explode("aliases").alias("alias"), F.col("canonical").alias("value"), "_entry")
     rows = rows.select(fold_marks(F.col("alias"), exact=True).alias("key"), "value", "_entry")

@@ -9,19 +9,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import fold_marks
 
-HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 1_000
-FAN = 256
+ROWS_PER_SALT = 1_000_000
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys holding at least ``min_rows`` rows: the largest ``MAX_HOT_KEYS`` of them.
+def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """Every key of more than ``rows_per_salt`` rows with its number of salts, ``_fan``.
 
-    The count combines map-side and reads only the key columns. The limit bounds the
-    broadcast; a key past it holds less than a thousandth of the rows and needs no salt.
+    The count combines map-side and reads only the key columns; the fan grows with the key.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= min_rows)
-    return counts.orderBy(F.desc("_rows")).limit(MAX_HOT_KEYS).drop("_rows")
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > rows_per_salt)
+    return counts.select(*keys, F.ceil(F.col("_rows") / rows_per_salt).alias("_fan"))
 
 
 def salted_join(
@@ -31,27 +28,24 @@ def salted_join(
     hot: DataFrame,
     salt_by: Sequence[str],
     how: str = "left",
-    fan: int = FAN,
 ) -> DataFrame:
     """Equi-join of many fact rows to a dimension with unique keys, spread out for ``hot`` keys.
 
-    Fact rows of a hot key (or a null key) are spread over ``fan`` salts by a hash of
-    ``salt_by``, which should be a row id; dimension rows of hot keys are repeated once per
-    salt. Every other key keeps salt 0 on both sides, so nothing else is copied. ``hot`` comes
-    from ``hot_keys`` over a stored table, so finding it costs one narrow scan and does not
-    repeat the lineage of ``fact``. A dimension below the broadcast threshold is broadcast by
-    the optimizer anyway; joins without a known hot table are left to adaptive skew splitting.
+    Fact rows of a hot key are spread over its ``_fan`` salts by a hash of ``salt_by``, which
+    should be a row id; dimension rows of hot keys are repeated once per salt. Every other key
+    keeps salt 0 on both sides, so nothing else is copied; null keys match nothing and spread freely. ``hot`` comes from ``hot_keys`` over
+    a stored table, so finding it costs one narrow scan and does not repeat the lineage of
+    ``fact``. For sessions without adaptive skew splitting, which does the same at run time.
     """
     keys = list(keys)
-    marked = F.broadcast(hot.withColumn("_fan", F.lit(fan)))
-    spread = F.pmod(F.xxhash64(*salt_by), F.lit(fan)).cast("int")
+    marked = hot.select(*keys, "_fan")
+    fan = F.coalesce("_fan", F.lit(1).cast("long"))
+    row = F.xxhash64(*salt_by)
     unmatched = reduce(or_, [F.col(k).isNull() for k in keys])
     salted = fact.join(marked, keys, "left").withColumn(
-        "_salt", F.when(F.col("_fan").isNotNull() | unmatched, spread).otherwise(F.lit(0))
-    ).drop("_fan")
+        "_salt", F.when(unmatched, row).otherwise(F.pmod(row, fan))).drop("_fan")
     fanned = dim.join(marked, keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_fan", F.lit(1)) - 1))
-    ).drop("_fan")
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), fan - 1))).drop("_fan")
     return salted.join(fanned, [*keys, "_salt"], how).drop("_salt")
 
 
@@ -68,16 +62,14 @@ def with_sentiment(reviews: DataFrame, classifications: DataFrame, *extra: str)
 def reviews_full(reviews: DataFrame, places: DataFrame, classifications: DataFrame) -> DataFrame:
     """The full star view: review, place and classification columns.
 
-    Places are matched on the narrow (id, place) pairs; the wide review rows then meet both
-    sides on the review id, so the texts are shuffled once, or not at all if bucketed.
+    One scan of the reviews: labels join on the review id (without a shuffle where both tables
+    are bucketed on it), places on the place id, broadcast while they are small and otherwise
+    split by the adaptive planner where a place is hot.
     """
     place_columns = ["region", "latitude", "longitude", "cluster_name", "potential"]
     label_columns = ["categories_json", "rationale", "model_version"]
-    located = salted_join(
-        reviews.select("id", "place_id"), places.select("place_id", *place_columns), ["place_id"],
-        hot_keys(reviews, ["place_id"]), salt_by=["id"],
-    ).drop("place_id")
-    full = with_sentiment(reviews.drop(*place_columns).join(located, "id"), classifications, *label_columns)
+    labelled = with_sentiment(reviews.drop(*place_columns), classifications, *label_columns)
+    full = labelled.join(places.select("place_id", *place_columns), "place_id", "left")
     return full.select(
         F.col("id").alias("review_id"), "place_id", "author", "rating", "text", "review_date", "review_date_parsed",
         "language", "business", "city", "agency_name", *place_columns, "sentiment", *label_columns,
@@ -121,12 +113,15 @@ def keep_existing(df: DataFrame, reviews: DataFrame, key: str = "review_id") ->
 
 
 def resolve_city(df: DataFrame, aliases: DataFrame, city_col: str = "city") -> DataFrame:
-    """Replace city names by their canonical form; unknown and empty names stay."""
+    """Replace city names by their canonical form; unknown and empty names stay.
+
+    Alias keys are folded exactly, so the names are too; only the distinct ones, which are few.
+    """
     names = aliases.select(F.col("key").alias("_folded"), F.col("value").alias("_canonical"))
-    folded = df.withColumn("_folded", fold_marks(F.col(city_col)))
-    joined = folded.join(names, "_folded", "left")
-    city = F.when(F.col(city_col) == "", F.col(city_col)).otherwise(F.coalesce("_canonical", city_col))
-    return joined.withColumn(city_col, city).select(*df.columns)
+    spelled = df.select(F.col(city_col).alias("_spelled")).filter(F.col("_spelled") != "").distinct()
+    found = spelled.withColumn("_folded", fold_marks(F.col("_spelled"), exact=True)).join(names, "_folded")
+    joined = df.join(found.select("_spelled", "_canonical"), F.col(city_col) == F.col("_spelled"), "left")
+    return joined.withColumn(city_col, F.coalesce("_canonical", city_col)).select(*df.columns)
 
 
 def search_grid(businesses: Sequence[str], cities: DataFrame, city_col: str = "city") -> DataFrame:

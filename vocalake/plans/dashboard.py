@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.numbers import pct, rating_class, ratio, round_to
 from ..operators.filters import filter_in
 from ..operators.ranking import competition_rank, order_by, top_n, with_group_share
-from ..taxonomy import NEGATIVE, POSITIVE, SENTIMENTS
+from ..taxonomy import NEGATIVE, POSITIVE
 
 Roles = dict[str, str | None]
 
@@ -144,21 +144,20 @@ def monthly_by_business(df: DataFrame, roles: Roles) -> DataFrame:
         F.avg(roles["rating"]).alias("avg_rating"), F.count(F.lit(1)).alias("n_reviews"))
 
 
-def sentiment_evolution(df: DataFrame, roles: Roles, sentiments: Sequence[str] = SENTIMENTS) -> DataFrame:
+def sentiment_evolution(df: DataFrame, roles: Roles) -> DataFrame:
     """(month, sentiment, percentage) with a zero for every pair that does not occur.
 
-    The sentiment domain is small and fixed, so each month's counts become columns of one
-    aggregate; sentiments that occur nowhere are dropped again.
+    Every sentiment found counts, known or not. Reviews are reduced to (month, sentiment) counts
+    first; each month is then completed by the list of sentiments that occur anywhere.
     """
     sentiment = F.col(roles["sentiment"])
-    rows = df.filter(F.col("_month").isNotNull() & sentiment.isin(list(sentiments)))
-    months = rows.groupBy(F.col("_month").alias("month")).agg(
-        *[F.count_if(sentiment == s).alias(s) for s in sentiments])
-    cells = months.unpivot(["month"], list(sentiments), "sentiment", "n")
-    occurring = months.agg(F.array_compact(F.array(*[
-        F.when(F.sum(s) > 0, F.lit(s)) for s in sentiments])).alias("s")).scalar()
-    shared = with_group_share(cells, ["month"], "n")
-    return shared.filter(F.array_contains(occurring, F.col("sentiment"))).select("month", "sentiment", "percentage")
+    counts = df.filter(F.col("_month").isNotNull() & sentiment.isNotNull()).groupBy(
+        F.col("_month").alias("month"), sentiment.alias("sentiment")).agg(F.count(F.lit(1)).alias("n"))
+    occurring = counts.agg(F.collect_set("sentiment").alias("s")).scalar()
+    months = counts.select("month").distinct().withColumn("_all", occurring)
+    grid = months.select("month", F.explode("_all").alias("sentiment"))
+    cells = grid.join(counts, ["month", "sentiment"], "left").na.fill(0, ["n"])
+    return with_group_share(cells, ["month"], "n").select("month", "sentiment", "percentage")
 
 
 def map_points(df: DataFrame, roles: Roles, lat: str = "latitude", lng: str = "longitude") -> DataFrame:

@@ -79,18 +79,21 @@ def build_aggregates(df: DataFrame) -> dict[str, DataFrame]:
 
 
 def rollup_table(df: DataFrame) -> DataFrame:
-    """All rollups in one table with a ``rollup`` column: one scan, one GROUPING SETS pass."""
+    """All rollups in one table with a ``rollup`` column: one scan, one GROUPING SETS pass.
+
+    Rollups that group by the same columns, because a column is missing, all appear.
+    """
     finest = _finest(df)
     keys = [c for c in ("business_id", "city", "region", "month") if c in finest.columns]
     by_name = _applicable(finest.columns)
     names = {}
     for name, group in by_name.items():
-        names.setdefault(group, name)
+        names.setdefault(group, []).append(name)
     sets = [[F.col(k) for k in group] for group in names]
     grouped = finest.groupingSets(sets, *[F.col(k) for k in keys]).agg(
         *_measures(), F.grouping_id().alias("_set"))
-    label = F.lit(None).cast("string")
-    for group, name in names.items():
+    label = F.array().cast("array<string>")
+    for group, same in names.items():
         bits = int("".join("0" if k in group else "1" for k in keys), 2)
-        label = F.when(F.col("_set") == bits, F.lit(name)).otherwise(label)
-    return grouped.withColumn("rollup", label).drop("_set")
+        label = F.when(F.col("_set") == bits, F.array(*[F.lit(name) for name in same])).otherwise(label)
+    return grouped.withColumn("rollup", F.explode(label)).drop("_set")

@@ -1,81 +1,138 @@
-"""The stored tables: Parquet directories ``<base>/<table>/version=<n>/writer=<w>/batch=<m>``.
+"""The stored tables: data and commits below ``<base>/<table>``.
 
-A rewrite goes to the next version and an insert to a new batch of its writer, so no job
-overwrites what it reads, a failed job leaves the last version valid, and repeating a batch
-replaces its own directory only.
+Rows go to ``data/<attempt>``, a new folder for every write, and count once a commit names that
+folder: ``commits/version=<n>/writer=<w>/batch=<m>`` holds it. A rewrite commits the next version
+and an insert a new batch of its writer, so no job overwrites what it reads, a failed or unfinished
+job leaves no trace in the table, and repeating a batch replaces that batch only. Rows that break a
+constraint are kept in ``rejects/<attempt>`` instead.
 """
 from __future__ import annotations
 
-import re
+import uuid
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..operators.columns import complete
 from ..operators.joins import reviews_full
-from ..schemas import TABLES
+from ..operators.validate import check_constraints
+from ..schemas import TABLES, UNIQUE_KEYS
 from . import catalogue
 
 MAIN = "main"
-_LAYOUT = re.compile(r"version=(\d+)/writer=(\w+)/batch=(\d+)/")
+COMMITS = "attempt string, version long, writer string, batch long"
 
 
-def _stored(spark: SparkSession, base: str, table: str) -> DataFrame | None:
+def _commits(spark: SparkSession, base: str, table: str) -> list[tuple[int, str, int, str]]:
+    """(version, writer, batch, attempt) of the current version; one small row per batch."""
     try:
-        return spark.read.parquet(f"{base}/{table}")
-    except AnalysisException:
-        return None
-
-
-def _batches(df: DataFrame) -> list[tuple[int, str, int]]:
-    """(version, writer, batch) of the stored files, from the directory listing."""
-    return [(int(v), w, int(b)) for v, w, b in (_LAYOUT.search(f).groups() for f in df.inputFiles())]
-
-
-def _version(df: DataFrame) -> int:
-    return max(v for v, _, _ in _batches(df))
+        rows = spark.read.schema(COMMITS).parquet(f"{base}/{table}/commits")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    newest = rows.select(F.max("version")).head()[0]
+    return sorted((r.version, r.writer, r.batch, r.attempt) for r in rows.filter(F.col("version") == newest).collect())
 
 
 def load_table(
     spark: SparkSession, base: str, table: str, writer: str | None = None, before_batch: int = 0
 ) -> DataFrame:
     """Rows of the current version; with ``writer``, without that writer's batches from
-    ``before_batch`` on."""
-    df = _stored(spark, base, table)
-    if df is None:
+    ``before_batch`` on. Only committed folders are read."""
+    paths = [
+        f"{base}/{table}/data/{attempt}" for _, w, batch, attempt in _commits(spark, base, table)
+        if writer is None or w != writer or batch < before_batch
+    ]
+    if not paths:
         return spark.createDataFrame([], TABLES[table])
-    rows = df.filter(F.col("version") == _version(df))
-    if writer is not None:
-        rows = rows.filter((F.col("writer") != writer) | (F.col("batch") < before_batch))
-    return rows.select(*TABLES[table].names)
-
-
-def _write(df: DataFrame, base: str, table: str, version: int, writer: str, batch: int) -> None:
-    path = f"{base}/{table}/version={version}/writer={writer}/batch={batch}"
-    complete(df, TABLES[table]).write.mode("overwrite").parquet(path)
+    return spark.read.schema(TABLES[table]).parquet(*paths)
+
+
+def _first_of_key(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(one row per key, further rows of repeated keys); only repeated keys are sorted."""
+    repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key)
+    ordered = W.partitionBy(key).orderBy(*[c for c in df.columns if c != key])
+    ranked = df.join(repeated, key, "left_semi").withColumn("_place", F.row_number().over(ordered))
+    single = df.join(repeated, key, "left_anti")
+    return (
+        single.unionByName(ranked.filter("_place = 1").drop("_place")).select(*df.columns),
+        ranked.filter("_place > 1").drop("_place").select(*df.columns),
+    )
+
+
+def _accepted(df: DataFrame, table: str, stored: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(rows that keep all constraints, the others): NOT NULL, CHECK and unique keys."""
+    good, bad = check_constraints(df, table)
+    rejected = [bad]
+    for key in UNIQUE_KEYS[table]:
+        good, repeated = _first_of_key(good, key)
+        rejected.append(repeated)
+        if stored is not None:
+            known = stored.select(key)
+            rejected.append(good.join(known, key, "left_semi").select(*df.columns))
+            good = good.join(known, key, "left_anti").select(*df.columns)
+    return good, reduce(DataFrame.unionByName, rejected)
+
+
+def _write(
+    df: DataFrame, base: str, table: str, version: int, writer: str, batch: int, stored: DataFrame | None,
+    replace: bool,
+) -> None:
+    """Write the rows, check what was written, keep rejects aside, then commit."""
+    spark = df.sparkSession
+    attempt = uuid.uuid4().hex
+    path = f"{base}/{table}/data/{attempt}"
+    complete(df, TABLES[table]).write.parquet(path)
+    good, bad = _accepted(spark.read.schema(TABLES[table]).parquet(path), table, stored)
+    bad.write.parquet(f"{base}/{table}/rejects/{attempt}")
+    if not spark.read.schema(TABLES[table]).parquet(f"{base}/{table}/rejects/{attempt}").isEmpty():
+        attempt = f"{attempt}-checked"
+        good.write.parquet(f"{base}/{table}/data/{attempt}")
+    commit = f"{base}/{table}/commits/version={version}/writer={writer}/batch={batch}"
+    spark.createDataFrame([(attempt,)], "attempt string").coalesce(1).write.mode(
+        "overwrite" if replace else "errorifexists").parquet(commit)
 
 
 def save_table(df: DataFrame, base: str, table: str) -> None:
-    """Replace the table's content by writing its next version."""
-    old = _stored(df.sparkSession, base, table)
-    _write(df, base, table, 0 if old is None else _version(old) + 1, MAIN, 0)
+    """Replace the table's content by committing its next version."""
+    current = _commits(df.sparkSession, base, table)
+    _write(df, base, table, current[0][0] + 1 if current else 0, MAIN, 0, None, replace=False)
 
 
 def append_rows(df: DataFrame, base: str, table: str, writer: str = MAIN, batch: int | None = None) -> None:
-    """Add rows to the current version as one batch; writing a numbered batch again replaces it."""
-    old = _stored(df.sparkSession, base, table)
-    stored = _batches(old) if old is not None else []
-    version = max((v for v, _, _ in stored), default=0)
+    """Add rows to the current version as one batch; writing a numbered batch again replaces it.
+
+    A batch without a number takes the next free one; if another job commits that number first,
+    the write fails and can be repeated. Rows whose key is stored already are rejected.
+    """
+    spark = df.sparkSession
+    current = _commits(spark, base, table)
+    version = current[0][0] if current else 0
     if batch is None:
-        batch = max((b for v, w, b in stored if (v, w) == (version, writer)), default=-1) + 1
-    _write(df, base, table, version, writer, batch)
+        number = max((b for _, w, b, _ in current if w == writer), default=-1) + 1
+        _write(df, base, table, version, writer, number, load_table(spark, base, table), replace=False)
+    else:
+        others = load_table(spark, base, table, writer=writer, before_batch=batch)
+        _write(df, base, table, version, writer, batch, others, replace=True)
+
+
+def rejected_rows(spark: SparkSession, base: str, table: str) -> DataFrame:
+    """All rows that writes to the table have turned down."""
+    try:
+        return spark.read.schema(TABLES[table]).option("recursiveFileLookup", "true").parquet(f"{base}/{table}/rejects")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], TABLES[table])
 
 
 def create_tables(spark: SparkSession, base: str) -> None:
     """Create missing tables as empty typed Parquet."""
     for table, schema in TABLES.items():
-        if _stored(spark, base, table) is None:
-            _write(spark.createDataFrame([], schema), base, table, 0, MAIN, 0)
+        if not _commits(spark, base, table):
+            _write(spark.createDataFrame([], schema), base, table, 0, MAIN, 0, None, replace=False)
 
 
 def init_catalog(spark: SparkSession, base: str) -> None:

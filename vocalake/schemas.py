@@ -43,6 +43,12 @@ TABLES = {
     "review_categories": REVIEW_CATEGORIES,
 }
 
+# Columns that identify a row, each by itself.
+UNIQUE_KEYS = {
+    "places": ("place_id",), "reviews": ("id",), "classifications": ("id", "review_id"),
+    "processing_runs": ("id",), "review_categories": ("review_id",),
+}
+
 # Columns an upsert of a known place replaces; the others keep their stored value.
 PLACE_UPDATE_COLUMNS = (
     "business", "name", "address", "city", "region", "google_rating", "google_reviews_count",
@@ -89,6 +95,7 @@ REVIEW_ITEM = T.StructType([
     T.StructField("page", _I), T.StructField("name", _S), T.StructField("link", _S),
     T.StructField("thumbnail", _S), T.StructField("local_guide", T.BooleanType()), T.StructField("rating", _D),
     T.StructField("date", _S), T.StructField("snippet", _S), T.StructField("images", T.ArrayType(_S)),
+    T.StructField("position", _I),
 ])
 REVIEW_BUNDLE = T.MapType(_S, T.ArrayType(REVIEW_ITEM))
 REVIEW_PAGE = T.StructType([T.StructField("reviews", T.ArrayType(T.StructType([

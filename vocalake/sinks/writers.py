@@ -1,15 +1,14 @@
 """Sinks: Parquet, CSV, JSON bundles, dated runs and bucketed tables."""
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Sequence
 from datetime import date
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.categories import label_flags, parse_categories
 from ..functions.text import slug
+from ..operators.ids import assign_ids
 from ..schemas import REVIEW_ITEM
 from ..taxonomy import CATEGORIES
 
@@ -38,43 +37,43 @@ def export(df: DataFrame, path: str, wide: bool = True) -> None:
         export_csv(df, path, wide)
 
 
-def _bundle_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Join the serialised reviews of each place in a batch to one ``{place: [...]}`` line."""
-    for batch in batches:
-        keys = [c for c in batch.columns if c != "item"]
-        grouped = batch.groupby(keys, sort=False, dropna=False)["item"].agg(",".join).reset_index()
-        grouped["value"] = [
-            f"{{{json.dumps(place, ensure_ascii=False)}:[{items}]}}"
-            for place, items in zip(grouped["place_id"], grouped["item"])
-        ]
-        yield grouped[["value", *[k for k in keys if k != "place_id"]]]
+def with_position(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Add ``position``, the place of a review among those of its place in the given order.
+
+    Positions are global row numbers less the first one of the place, so no task gathers a place.
+    """
+    numbered = assign_ids(df, ["place_id", *order], name="_number")
+    first = numbered.groupBy("place_id").agg(F.min("_number").alias("_first"))
+    return numbered.join(first, "place_id").withColumn(
+        "position", (F.col("_number") - F.col("_first")).cast("int")).drop("_number", "_first")
 
 
-def bundle_lines(df: DataFrame, by: str | None = None) -> DataFrame:
-    """Lines of ``{place_id: [reviews]}``, with the column ``by`` beside them if given.
+def bundle_lines(df: DataFrame, by: str | None = None, order: Sequence[str] = ()) -> DataFrame:
+    """Lines of ``{place_id: [review]}``, with the column ``by`` beside them if given.
 
-    Rows are rebalanced by the key of the output directory (or place): small ones share a task
-    and a hot one is split over several by the adaptive planner. A line never holds more than
-    one Arrow batch, so a place with many reviews spans several lines and no task ever gathers
-    a whole place.
+    A line holds one review and its position inside the place in the given order (by default that
+    of all review columns), so lines are the same whatever the batch or partition sizes, and a
+    place with many reviews is never gathered. Rows are rebalanced by the key of the output
+    directory (or place): small ones share a task, a hot one is split by the adaptive planner.
     """
-    item = F.to_json(F.struct(*[c for c in REVIEW_ITEM.names if c in df.columns])).alias("item")
+    columns = [c for c in REVIEW_ITEM.names if c in df.columns and c != "position"]
+    rows = with_position(df.filter(F.col("place_id").isNotNull()), order or columns)
+    item = F.struct(*columns, "position")
+    value = F.to_json(F.create_map(F.col("place_id").cast("string"), F.array(item))).alias("value")
     keep = [by] if by else []
-    rows = df.filter(F.col("place_id").isNotNull()).select("place_id", *keep, item)
-    spread = rows.hint("rebalance", by or "place_id").sortWithinPartitions(*keep, "place_id")
-    schema = ", ".join(["value string", *[f"{c} string" for c in keep]])
-    return spread.mapInPandas(_bundle_lines, schema)
+    spread = rows.select("place_id", "position", *keep, value).hint("rebalance", by or "place_id")
+    return spread.sortWithinPartitions(*keep, "place_id", "position").select("value", *keep)
 
 
-def write_review_bundle(df: DataFrame, path: str) -> None:
-    """One JSON object of reviews by place per line."""
-    bundle_lines(df).write.mode("overwrite").text(path)
+def write_review_bundle(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
+    """One JSON object of a place and one of its reviews per line."""
+    bundle_lines(df, order=order).write.mode("overwrite").text(path)
 
 
-def write_json_by(df: DataFrame, path: str, column: str) -> None:
+def write_json_by(df: DataFrame, path: str, column: str, order: Sequence[str] = ()) -> None:
     """The same lines, one directory per slug of ``column`` (city or business)."""
     key = f"{column}_slug"
-    lines = bundle_lines(df.withColumn(key, slug(F.col(column))), key)
+    lines = bundle_lines(df.withColumn(key, slug(F.col(column))), key, order)
     lines.write.mode("overwrite").partitionBy(key).text(path)
 
 
@@ -86,9 +85,9 @@ def write_run(df: DataFrame, base: str, run_date: date) -> str:
 
 
 def read_latest(spark: SparkSession, base: str) -> DataFrame:
-    """The newest run; the partition filter prunes the others."""
+    """The newest run; only the partition listing is read to find it."""
     runs = spark.read.parquet(base)
-    newest = runs.agg(F.max("run_date").alias("d")).head().d
+    newest = runs.select("run_date").distinct().agg(F.max("run_date").alias("d")).head().d
     return runs.filter(F.col("run_date") == F.lit(newest)).drop("run_date")
 
 

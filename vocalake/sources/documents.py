@@ -22,21 +22,35 @@ def read_lookup(spark: SparkSession, path: str) -> DataFrame:
     """Flat JSON dictionary as (key, value) rows; a missing or malformed file gives no rows."""
     try:
         text = spark.read.text(path, wholetext=True)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], LOOKUP_SCHEMA)
     return text.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
 
 
+def write_lookup(rows: DataFrame, path: str) -> None:
+    """(key, value) rows as a Parquet table, which ``read_stored_lookup`` reads back in parallel."""
+    rows.select("key", "value").write.mode("overwrite").parquet(path)
+
+
+def read_stored_lookup(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LOOKUP_SCHEMA).parquet(path)
+
+
 def read_review_bundle(spark: SparkSession, path: str, whole_document: bool = False) -> DataFrame:
     """``place_id -> [review, ...]`` objects as one row per review.
 
     The objects stand one per line (the form our sink writes, splittable);
-    ``whole_document`` reads files that hold one pretty-printed object each.
+    ``whole_document`` reads files that hold one pretty-printed object each. A position stored
+    with a review counts before its place in the list.
     """
     text = spark.read.text(path, wholetext=whole_document)
     bundles = text.select(F.explode(F.from_json("value", REVIEW_BUNDLE)).alias("place_id", "reviews"))
-    items = bundles.select("place_id", F.posexplode("reviews").alias("position", "review"))
-    return items.select("place_id", "position", "review.*")
+    items = bundles.select("place_id", F.posexplode("reviews").alias("at", "review"))
+    position = F.coalesce("review.position", "at").alias("position")
+    review = F.col("review").dropFields("position").alias("review")
+    return items.select("place_id", position, review).select("place_id", "position", "review.*")
 
 
 def parse_place_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:

@@ -1,10 +1,13 @@
 """CSV and Parquet sources."""
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from ..functions.text import clean_text
 from ..operators.columns import detect_column
@@ -23,26 +26,60 @@ BUSINESS_NAMES = (
     "business", "business_name", "business name", "bank", "bank_group", "banque", "bank name", "bank_name",
     "company", "organization", "brand",
 )
-REPLACEMENT = "\ufffd"
+WINDOWS = "windows-1252"
 
 
-def csv_options(spark: SparkSession, path: str) -> dict[str, str]:
-    """Reader options for a CSV: the delimiter is the candidate the header line uses most.
+def _count_outside_quotes(line: str, delimiter: str) -> int:
+    return re.sub(r'"[^"]*"', "", line).count(delimiter)
 
-    A byte-order mark needs no option, the reader drops it.
-    """
-    head = spark.read.text(path).head()
-    line = head.value if head else ""
-    return {"header": "true", "sep": max(DELIMITERS, key=line.count), "quote": '"', "escape": '"'}
 
+def file_formats(spark: SparkSession, path: str) -> list[Row]:
+    """One row per file: its header line, and which encodings its bytes allow.
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = True) -> DataFrame:
-    """All-string CSV. Files with line breaks inside fields need ``multi_line`` (one task per file);
-    switch it off for large single-line files so they split."""
-    return (
-        spark.read.options(**csv_options(spark, path)).option("multiLine", multi_line)
-        .option("encoding", encoding).csv(path)
-    )
+    One pass over the raw lines. UTF-8 is allowed where every line is valid, whatever characters
+    it holds; Windows-1252 where no byte is one that it leaves undefined.
+    """
+    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("place"),
+        F.is_valid_utf8("value").alias("valid"), F.col("value").alias("raw"), latin.alias("latin"))
+    files = lines.groupBy("file").agg(
+        F.min("valid").alias("utf8"), F.max(F.col("latin").rlike(_UNDEFINED)).alias("undefined"),
+        F.min_by(F.when(F.col("valid"), F.col("raw")).otherwise(F.col("latin")), "place").alias("header"))
+    return files.orderBy("file").collect()
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """All-string CSV; encoding and delimiter are found for each file.
+
+    A file is UTF-8 if its bytes are valid, else Windows-1252 if all its bytes are defined there,
+    else Latin-1. The delimiter is the candidate that the header uses most outside quotes. The
+    reader knows Latin-1, of which Windows-1252 differs in 27 characters; they are mapped. Files
+    of one format are read together and the formats united by column name. Files with line
+    breaks inside fields need ``multi_line`` (one task per file); switch it off for large
+    single-line files so they split. A byte-order mark needs no option, the reader drops it.
+    """
+    groups: dict[tuple, list[str]] = {}
+    for file in file_formats(spark, path):
+        sep = max(DELIMITERS, key=lambda d: _count_outside_quotes(file.header, d))
+        encoding = "UTF-8" if file.utf8 else "ISO-8859-1" if file.undefined else WINDOWS
+        groups.setdefault((encoding, sep, file.header), []).append(unquote(file.file))
+    reader = spark.read.options(header="true", quote='"', escape='"', multiLine=multi_line)
+    if not groups:
+        return reader.csv(path)
+    frames = []
+    for (encoding, sep, _), files in groups.items():
+        latin = "ISO-8859-1" if encoding == WINDOWS else encoding
+        df = reader.option("sep", sep).option("encoding", latin).csv(files)
+        frames.append(_as_windows(df) if encoding == WINDOWS else df)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def _as_windows(df: DataFrame) -> DataFrame:
+    """Text and column names read as Latin-1, as Windows-1252 means them."""
+    mapped = df.select([F.translate(f"`{c}`", _AS_LATIN1, _AS_WINDOWS).alias(c) for c in df.columns])
+    return mapped.toDF(*[c.translate(str.maketrans(_AS_LATIN1, _AS_WINDOWS)) for c in df.columns])
 
 
 def read_locations(
@@ -53,9 +90,10 @@ def read_locations(
     business_col: str | None = None,
     cities: Sequence[str] | None = None,
     businesses: Sequence[str] | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Locations with trimmed ``_place_id``, ``_city``, ``_business``; blank place ids are dropped."""
-    df = read_csv(spark, path)
+    df = read_csv(spark, path, multi_line)
     place_id_col = place_id_col or detect_column(df, PLACE_ID_NAMES, required=True)
     city_col = city_col or detect_column(df, CITY_NAMES)
     business_col = business_col or detect_column(df, BUSINESS_NAMES)
@@ -70,25 +108,9 @@ def read_locations(
     return df
 
 
-def _all_text(df: DataFrame) -> Column:
-    return F.concat_ws("", *[F.col(f"`{c}`") for c in df.columns])
-
-
-def read_reviews(spark: SparkSession, path: str) -> DataFrame:
-    """Classified reviews as UTF-8, else Windows-1252, else Latin-1.
-
-    UTF-8 is accepted if it decodes without replacement characters. The reader knows Latin-1,
-    of which Windows-1252 differs in 27 characters; they are mapped unless the file holds a
-    byte Windows-1252 leaves undefined.
-    """
-    df = read_csv(spark, path)
-    if df.filter(_all_text(df).contains(REPLACEMENT)).isEmpty():
-        return df
-    df = read_csv(spark, path, "ISO-8859-1")
-    if not df.filter(_all_text(df).rlike(_UNDEFINED)).isEmpty():
-        return df
-    mapped = df.select([F.translate(f"`{c}`", _AS_LATIN1, _AS_WINDOWS).alias(c) for c in df.columns])
-    return mapped.toDF(*[c.translate(str.maketrans(_AS_LATIN1, _AS_WINDOWS)) for c in df.columns])
+def read_reviews(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Classified reviews: files as UTF-8, Windows-1252 or Latin-1, whichever their bytes allow."""
+    return read_csv(spark, path, multi_line)
 
 
 def latest_snapshot(spark: SparkSession, dirs: Sequence[str], glob: str = "*.csv") -> str | None:
@@ -108,5 +130,7 @@ def read_table(spark: SparkSession, base: str) -> DataFrame:
     """``base.parquet`` if it exists, else ``base.csv``."""
     try:
         return spark.read.parquet(f"{base}.parquet")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return read_csv(spark, f"{base}.csv")

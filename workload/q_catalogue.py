@@ -101,11 +101,14 @@ def _(spark, sf):
     return c.best_in_city(*rc(spark, sf), CITY, "positive_rate")
 
 
-@query("city_winners", sql(f"""
+CITY_WINNERS = sql(f"""
 SELECT city, business, avg_rating, review_count FROM (
   SELECT city, business, {AVG} AS avg_rating, count(*) AS review_count,
          row_number() OVER (PARTITION BY city ORDER BY avg(rating) DESC NULLS LAST, business) AS rn
-  FROM reviews GROUP BY city, business HAVING count(*)>=5) WHERE rn=1"""))
+  FROM reviews GROUP BY city, business HAVING count(*)>=5) WHERE rn=1""")
+
+
+@query("city_winners", CITY_WINNERS)
 def _(spark, sf):
     return c.city_winners(b.reviews(spark, sf))
 
@@ -385,6 +388,15 @@ def _(spark, sf):
     return unclassified(b.reviews(spark, sf), b.classifications(spark, sf)).select("id", "place_id", "rating")
 
 
+@query("some_reviews", sql("""
+SELECT least(count(*), 25) AS rows, least(count(*), 25) AS known FROM reviews WHERE city='""" + CITY + "'"))
+def _(spark, sf):
+    """A limit without an order: the number of rows, and how many of them are reviews of the city."""
+    some = filter_reviews(b.reviews(spark, sf), limit=25, city=CITY).select("id")
+    real = b.reviews(spark, sf).filter(F.col("city") == CITY).select("id", F.lit(1).alias("real"))
+    return some.join(real, "id", "left").agg(F.count("id").alias("rows"), F.count("real").alias("known"))
+
+
 @query("flags_of_stored_reviews", sql("""
 SELECT review_id, cat_frais_abusifs FROM flags WHERE review_id IN (SELECT id FROM reviews WHERE rating>1)"""))
 def _(spark, sf):
@@ -413,6 +425,7 @@ NAMED = {
     "ranking": ({"metric": "positive_rate", "top": 2}, sql(f"""
 SELECT business, {POS_RATE} AS positive_rate, count(*) AS review_count FROM rs GROUP BY business
 HAVING count(*)>=10 ORDER BY positive_rate DESC, business LIMIT 2""")),
+    "winners": ({}, CITY_WINNERS),
     "trends": ({"granularity": "year"}, sql(TREND.format(unit="year", where=""))),
     "issues": ({"top": 4}, _issues_sql(top=4)),
     "compare": ({"businesses": ", ".join(BUSINESSES)}, sql(f"""

@@ -42,12 +42,14 @@ WITH d AS (SELECT documents.doc_id,
     CASE WHEN quality=1 THEN 5 ELSE documents.doc_id%6 END AS rating
   FROM documents LEFT JOIN labels ON labels.doc_id=documents.doc_id),
 c AS (SELECT doc_id, rating, t IS NOT NULL AS has_text,
-    {", ".join(f"coalesce(regexp_matches(t, {quoted(p)}), false) AS {flag}" for flag, p in RULES.items())} FROM d),
+    {", ".join(f"coalesce(regexp_matches(t, {quoted(p)}), false) AS {flag}" for flag, p in RULES.items())},
+    {", ".join(f"len(regexp_extract_all(t, {quoted(p)})) AS n_{flag}" for flag, p in RULES.items())} FROM d),
 n AS (SELECT *, {" OR ".join(f for f in RULES if f != "cat_experience_digitale")} AS neg, cat_experience_digitale AS pos FROM c),
 s AS (SELECT *, CASE WHEN neg AND NOT pos THEN 'Négatif' WHEN pos AND NOT neg THEN 'Positif' WHEN rating>=4 THEN 'Positif'
     WHEN rating IN (1,2) THEN 'Négatif' ELSE 'Neutre' END AS sentiment,
-  list_filter([{", ".join(f"CASE WHEN {flag} THEN {quoted(CATEGORY_COLUMNS[flag])} END" for flag in RULES)}],
-    lambda x: x IS NOT NULL)[1:3] AS found FROM n),
+  list_transform(list_sort(list_filter([{", ".join(
+    f"CASE WHEN {flag} THEN (-n_{flag}, {i}, {quoted(CATEGORY_COLUMNS[flag])}) END" for i, flag in enumerate(RULES))}],
+    lambda x: x IS NOT NULL)), lambda x: x[3])[1:3] AS found FROM n),
 l AS (SELECT doc_id, has_text, sentiment, CASE WHEN len(found)>0 THEN found
     WHEN NOT (neg OR pos) AND sentiment='Neutre' THEN [{quoted(OFF_TOPIC)}]
     WHEN sentiment='Positif' THEN [{quoted(OTHER_POSITIVE)}] WHEN sentiment='Négatif' THEN [{quoted(OTHER_NEGATIVE)}]

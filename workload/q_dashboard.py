@@ -95,9 +95,9 @@ def _(spark, sf):
 
 @query("city_table", sql(f"""
 SELECT city, count(*) AS reviews, count(DISTINCT business) AS businesses, avg(rating) AS avg_rating,
-       {PCT_POS} AS pct_positive FROM rs GROUP BY city ORDER BY reviews DESC, city LIMIT 20"""))
+       {PCT_POS} AS pct_positive FROM rs GROUP BY city ORDER BY reviews DESC, city LIMIT 30"""))
 def _(spark, sf):
-    return d.city_table(b.prepared(spark, sf), ROLES, top=20)
+    return d.city_table(b.prepared(spark, sf), ROLES)
 
 
 MATRIX = f"""
@@ -110,14 +110,17 @@ def _(spark, sf):
     return d.business_city_matrix(b.prepared(spark, sf), ROLES)
 
 
+ALL_CITIES = tuple(f"NATION_{i}" for i in range(25))
+
+
 @query("business_city_matrix_wide", sql("""
 SELECT business, """ + ", ".join(
     f"CASE WHEN count(CASE WHEN city='{c}' THEN 1 END)>=3 THEN "
-    + r(f"avg(CASE WHEN city='{c}' THEN rating END)") + f" END AS {c}" for c in ("NATION_3", "NATION_10"))
+    + r(f"avg(CASE WHEN city='{c}' THEN rating END)") + f" END AS {c}" for c in ALL_CITIES)
     + " FROM reviews GROUP BY business"))
 def _(spark, sf):
-    matrix = d.business_city_matrix(b.prepared(spark, sf), ROLES, cities=25)
-    return d.pivot_matrix(matrix, ("NATION_3", "NATION_10"))
+    matrix = d.business_city_matrix(b.prepared(spark, sf), ROLES, cities=len(ALL_CITIES))
+    return d.pivot_matrix(matrix, ALL_CITIES)
 
 
 @query("monthly_by_business", sql("""
@@ -137,6 +140,18 @@ def _(spark, sf):
     return d.sentiment_evolution(b.prepared(spark, sf), ROLES)
 
 
+@query("sentiment_evolution_other_labels", sql("""
+, t AS (SELECT review_date_parsed, CASE WHEN id%11=0 THEN 'Inconnu' WHEN id%13=0 THEN 'Error' ELSE sentiment END AS sentiment FROM rs),
+m AS (SELECT CAST(date_trunc('month', review_date_parsed) AS DATE) AS month, sentiment, count(*) AS n
+      FROM t WHERE sentiment IS NOT NULL GROUP BY 1, 2)
+SELECT a.month, s.sentiment, 100e0*coalesce(m.n,0)/sum(coalesce(m.n,0)) OVER (PARTITION BY a.month) AS percentage
+FROM (SELECT DISTINCT month FROM m) a CROSS JOIN (SELECT DISTINCT sentiment FROM m) s
+LEFT JOIN m ON m.month=a.month AND m.sentiment=s.sentiment"""))
+def _(spark, sf):
+    label = F.when(F.col("id") % 11 == 0, "Inconnu").when(F.col("id") % 13 == 0, "Error").otherwise(F.col("sentiment"))
+    return d.sentiment_evolution(b.prepared(spark, sf).withColumn("sentiment", label), ROLES)
+
+
 def _mapped(spark, sf):
     """Places with a rating; those with a negative balance have no coordinates."""
     located = F.col("potential") >= 0
@@ -267,3 +282,12 @@ def rollup_union():
 @query("rollup_table", rollup_union())
 def _(spark, sf):
     return rollup_table(_labelled(spark, sf))
+
+
+@query("rollup_table_without_business", sql(ROLLUP_CTE + " UNION ALL ".join(
+    f"SELECT '{name}' AS rollup, " + ", ".join(
+        k if k in keys else f"CAST(NULL AS {'DATE' if k == 'month' else 'VARCHAR'}) AS {k}" for k in ("city", "region", "month"))
+    + f", {ROLLUP_MEASURES} FROM lab GROUP BY {', '.join(k for k in keys if k != 'business_id')}"
+    for name, keys in ROLLUPS.items() if keys != ("business_id",))))
+def _(spark, sf):
+    return rollup_table(_labelled(spark, sf).drop("business"))

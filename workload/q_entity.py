@@ -1,7 +1,7 @@
 """Regions from coordinates, place resolution, deduplication."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from vocalake.operators.dedupe import dedupe_first
 from vocalake.operators.entity import attach_place_metadata, consolidate_places, resolve_ids
@@ -105,7 +105,7 @@ def _(spark, sf):
 # ------------------------------------------------------------------------------ gazetteer
 
 def gazetteer(spark, sf):
-    """Customers of a nation as gazetteer entries of one city; suppliers' nations as towns."""
+    """Customers of a nation as gazetteer entries of one city, with their order in the file."""
     key = F.col("place_id").cast("long")
     rows = b.places(spark, sf).select(
         F.concat(F.lit("Ville "), "city").alias("name"),
@@ -115,7 +115,7 @@ def gazetteer(spark, sf):
                  F.concat(F.lit("É"), "city").alias("city")).alias("address"),
         F.when(key % 2 == 0, F.create_map(F.lit("name:fr"), F.col("city"), F.lit("alt"), F.concat(F.lit("Le  "), "city")))
         .alias("other_names"), key.alias("order"))
-    return rows.orderBy("order").drop("order").to(GAZETTEER)
+    return rows.to(T.StructType([*GAZETTEER, T.StructField("order", T.LongType())]))
 
 
 _ELIGIBLE = f"{_KEY}%5<>0 AND {_KEY}%7<>0"
@@ -128,7 +128,7 @@ _CANONICAL = f"CASE WHEN {_KEY}%2=0 THEN city ELSE 'Ville '||city END"
          WHEN {_KEY}*1000%900001>=50000 THEN '13z' ELSE '14z' END) AS value FROM places WHERE {_ELIGIBLE})
 SELECT key, arg_max(value, k) AS value FROM e GROUP BY key"""))
 def _(spark, sf):
-    return city_centers(gazetteer(spark, sf))
+    return city_centers(gazetteer(spark, sf), F.col("order"))
 
 
 @query("city_aliases", sql(f"""
@@ -138,7 +138,7 @@ a AS (SELECT k, value, lower('Ville '||city) AS key FROM e UNION ALL SELECT k, v
       UNION ALL SELECT k, value, lower('Le '||city) FROM e WHERE k%2=0)
 SELECT key, arg_max(value, k) AS value FROM a GROUP BY key"""))
 def _(spark, sf):
-    return city_aliases(gazetteer(spark, sf))
+    return city_aliases(gazetteer(spark, sf), F.col("order"))
 
 
 @query("city_list", sql(f"SELECT DISTINCT CASE WHEN {_KEY}%2=0 THEN city ELSE 'Ville' END AS city FROM places"))
@@ -330,6 +330,20 @@ def _(spark, sf):
     return resolve_city(rows, aliases)
 
 
+@query("resolve_city_arabic", sql("SELECT id, CASE WHEN id%2=0 THEN city ELSE 'آسفي '||city||' x' END AS city FROM reviews"))
+def _(spark, sf):
+    """Alias and name fold alike outside Latin letters too: the madda of the first letter is dropped."""
+    names = b.table(spark, sf, "nation").select("n_name", F.concat(F.lit("آسفي "), "n_name").alias("arabic"))
+    entries = names.select(
+        F.col("arabic").alias("name"), F.lit("city").alias("type"), F.array(F.lit(-9.2), F.lit(32.3)).alias("location"),
+        F.struct(F.lit("ma").alias("country_code")).alias("address"),
+        F.create_map(F.lit("name:fr"), F.col("n_name")).alias("other_names"))
+    aliases = city_aliases(entries.to(GAZETTEER), F.col("name"))
+    rows = b.reviews(spark, sf).select(
+        "id", F.concat(F.lit("آسفي "), "city", F.when(F.col("id") % 2 == 0, "").otherwise(" x")).alias("city"))
+    return resolve_city(rows, aliases)
+
+
 @query("search_grid", sql(
     "SELECT b.business, c.city FROM (SELECT DISTINCT city FROM places) c CROSS JOIN (VALUES "
     + ", ".join(f"({quoted(x)})" for x in BUSINESSES) + ") b(business)"))
@@ -365,6 +379,6 @@ def _(spark, sf):
         "l_orderkey", "l_linenumber",
         F.when(part % 3 == 0, 0).when(part % 50 == 1, None).otherwise((F.col("l_suppkey") % 7).cast("int")).alias("key"))
     names = b.table(spark, sf, "region").select(F.col("r_regionkey").alias("key"), "r_name")
-    hot = hot_keys(lines, ["key"], min_rows=1000)
-    joined = salted_join(lines, names, ["key"], hot, salt_by=["l_orderkey", "l_linenumber"], fan=16)
+    hot = hot_keys(lines, ["key"], rows_per_salt=1000)
+    joined = salted_join(lines, names, ["key"], hot, salt_by=["l_orderkey", "l_linenumber"])
     return joined.select("l_orderkey", "l_linenumber", "r_name")

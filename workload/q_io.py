@@ -13,6 +13,7 @@ from vocalake.schemas import REVIEW_ITEM
 from vocalake.sinks import writers as w
 from vocalake.sources import documents as docs, tabular
 from vocalake.sources.regions import read_regions
+from vocalake.taxonomy import CATEGORY_COLUMNS, FLAG_COLUMNS
 
 from . import roles as b
 from .q_catalogue import FULL
@@ -59,6 +60,40 @@ def _(spark, sf):
         F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("text_md5"))
 
 
+@query("read_reviews_mixed_encodings", """
+SELECT doc_id, md5(text) AS text_md5 FROM documents
+UNION ALL SELECT p_partkey, md5('Très «bien» à 5 €, '||p_name) FROM part""")
+def _(spark, sf):
+    """A folder of files in UTF-8 and Windows-1252: each file is read in its own encoding."""
+    path = f"{b.scratch(spark)}/mixed"
+    w.export_csv(b.documents(spark, sf).select("doc_id", "text"), path)
+    windows = F.concat(F.lit("Très «bien» à 5 \x80, "), "p_name")
+    b.table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), windows.alias("text")).write.mode("append").option(
+        "encoding", "ISO-8859-1").option("escape", '"').csv(path, header=True)
+    return tabular.read_reviews(spark, path).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("text_md5"))
+
+
+@query("read_reviews_replacement_char", "SELECT doc_id, md5('é'||chr(65533)||text) AS text_md5 FROM documents")
+def _(spark, sf):
+    """Valid UTF-8 stays UTF-8 even if it holds replacement characters of its own."""
+    path = f"{b.scratch(spark)}/replaced"
+    w.export_csv(b.documents(spark, sf).select("doc_id", F.concat(F.lit("é\ufffd"), "text").alias("text")), path)
+    return tabular.read_reviews(spark, path).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("text_md5"))
+
+
+@query("read_wide_semicolon", sql("SELECT review_id, " + ", ".join(FLAG_COLUMNS) + " FROM flags"))
+def _(spark, sf):
+    """Category names hold commas, in a file separated by semicolons."""
+    path = f"{b.scratch(spark)}/wide"
+    b.flags(spark, sf).select("review_id", *[F.col(c).alias(label) for c, label in CATEGORY_COLUMNS.items()]).write.csv(
+        path, header=True, sep=";", quoteAll=True, escape='"')
+    return tabular.read_reviews(spark, path, multi_line=False).select(
+        F.col("review_id").cast("long").alias("review_id"),
+        *[F.col(f"`{label}`").cast("int").alias(c) for c, label in CATEGORY_COLUMNS.items()])
+
+
 @query("export_parquet", sql(FULL))
 def _(spark, sf):
     path = f"{b.scratch(spark)}/full.parquet"
@@ -67,16 +102,15 @@ def _(spark, sf):
 
 
 @query("export_csv_wide", sql("""
-SELECT c.review_id, sentiment, coalesce(cat_frais_abusifs,0) AS fees, coalesce(cat_autre_negatif,0) AS other_negative
+SELECT c.review_id, sentiment, rationale, model_version, """ + ", ".join(f"coalesce({c},0) AS {c}" for c in FLAG_COLUMNS) + """
 FROM classifications c LEFT JOIN flags f ON f.review_id=c.review_id"""))
 def _(spark, sf):
     base = f"{b.scratch(spark)}/wide"
     w.export(b.labelled(spark, sf), f"{base}.csv")
     back = tabular.read_table(spark, base)
-    fees, other = detect_column(back, ["Frais bancaires jugés abusifs ou non justifiés (perception de déséquilibre prix/service)"]), "Autre (négatif)"
     return back.select(
-        F.col("review_id").cast("long").alias("review_id"), "sentiment", F.col(f"`{fees}`").cast("int").alias("fees"),
-        F.col(f"`{other}`").cast("int").alias("other_negative"))
+        F.col("review_id").cast("long").alias("review_id"), "sentiment", "rationale", "model_version",
+        *[F.col(f"`{label}`").cast("int").alias(c) for c, label in CATEGORY_COLUMNS.items()])
 
 
 @query("flatten_reviews_csv", sql(f"SELECT _place_id, _city, _business, title, date, text, author FROM ({FLAT})"))
@@ -88,11 +122,12 @@ def _(spark, sf):
 
 @query("latest_snapshot", sql("SELECT city, CAST(count(*) AS VARCHAR) AS reviews FROM reviews GROUP BY city"))
 def _(spark, sf):
-    """A snapshot is one file: the reviews per city, after an older one in a weaker folder."""
+    """A snapshot is one file: the reviews per city, after an empty one and an older folder."""
     base = b.scratch(spark)
     rows = b.reviews(spark, sf).groupBy("city").agg(F.count(F.lit(1)).alias("reviews"))
     rows.filter("reviews < 0").write.csv(f"{base}/older", header=True)
-    rows.coalesce(1).write.csv(f"{base}/current", header=True)
+    rows.filter("reviews < 0").coalesce(1).write.csv(f"{base}/current", header=True)
+    rows.coalesce(1).write.mode("append").csv(f"{base}/current", header=True)
     newest = tabular.latest_snapshot(spark, [f"{base}/missing", f"{base}/current", f"{base}/older"])
     return tabular.read_csv(spark, newest)
 
@@ -243,7 +278,7 @@ SELECT count(DISTINCT CASE WHEN {KEY}%2=0 THEN city ELSE 'Ville '||city END) AS
 WHERE {KEY}%5<>0 AND {KEY}%7<>0"""))
 def _(spark, sf):
     base = b.scratch(spark)
-    gazetteer(spark, sf).write.json(f"{base}/gazetteer")
+    gazetteer(spark, sf).orderBy("order").write.json(f"{base}/gazetteer")
     centers, _ = docs.load_centers(spark, f"{base}/none", f"{base}/none", f"{base}/gazetteer")
     return centers.agg(F.count_distinct("key").alias("cities"))
 

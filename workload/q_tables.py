@@ -10,7 +10,7 @@ from vocalake.operators.columns import complete
 from vocalake.operators.ids import assign_ids
 from vocalake.operators.validate import check_constraints, validate_reviews
 from vocalake.plans.migration import import_csv, run_migration, split_classified
-from vocalake.plans.store import load_table, sql as store_sql
+from vocalake.plans.store import append_rows, load_table, rejected_rows, sql as store_sql
 from vocalake.schemas import CLASSIFICATIONS, PLACES, PROCESSING_RUNS, REVIEW_CATEGORIES, REVIEWS
 from vocalake.sinks.writers import export_csv
 from vocalake.streaming.incremental import incremental
@@ -227,6 +227,24 @@ def _(spark, sf):
     return check_constraints(_dirty_reviews(spark, sf), "reviews")[1]
 
 
+@query("store_rejects_bad_rows", sql(DIRTY + """
+, good AS (SELECT * FROM dirty WHERE place_id IS NOT NULL AND (rating IS NULL OR rating BETWEEN 0 AND 5)),
+again AS (SELECT g.id FROM good g WHERE g.id%2=0)
+SELECT id, 'stored' AS outcome, count(*) AS rows FROM good GROUP BY id
+UNION ALL SELECT id, 'rejected', count(*) FROM (
+  SELECT id FROM dirty WHERE place_id IS NULL OR (rating IS NOT NULL AND rating NOT BETWEEN 0 AND 5)
+  UNION ALL SELECT id FROM again) GROUP BY id"""))
+def _(spark, sf):
+    """Rows that break a constraint are turned down, and so are those whose id is stored already."""
+    base = b.scratch(spark)
+    rows = _dirty_reviews(spark, sf)
+    append_rows(rows, base, "reviews")
+    append_rows(load_table(spark, base, "reviews").filter(F.col("id") % 2 == 0), base, "reviews")
+    outcomes = load_table(spark, base, "reviews").select("id", F.lit("stored").alias("outcome")).unionByName(
+        rejected_rows(spark, base, "reviews").select("id", F.lit("rejected").alias("outcome")))
+    return outcomes.groupBy("id", "outcome").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("validate_reviews", sql(DIRTY + """
 , v AS (SELECT id, CASE WHEN place_id IS NULL THEN 'missing snippet'
   WHEN rating IS NOT NULL AND rating NOT BETWEEN 1 AND 5 THEN 'invalid rating' END AS reason FROM dirty)
@@ -243,7 +261,7 @@ def flat_classified(spark, sf):
     reviews = b.reviews(spark, sf)
     labels = b.classifications(spark, sf).select(F.col("review_id").alias("id"), "sentiment", "rationale")
     flags = b.flags(spark, sf).select(F.col("review_id").alias("id"), *[
-        F.col(c).cast("string").alias(CATEGORY_COLUMNS[c]) for c in FLAG_COLUMNS[:5]])
+        F.col(c).cast("string").alias(CATEGORY_COLUMNS[c]) for c in FLAG_COLUMNS])
     rows = reviews.join(labels, "id").join(flags, "id", "left").withColumnRenamed("id", "line")
     home = b.places(spark, sf).select("place_id", "latitude", "longitude", "potential")
     return rows.join(home, "place_id").select(
@@ -253,7 +271,7 @@ def flat_classified(spark, sf):
         F.when(F.col("line") % 6 != 0, F.col("author")).alias("review_name"),
         F.when(F.col("line") % 8 != 0, F.col("rating").cast("double")).alias("rating"), "review_date",
         F.col("review_date_parsed").cast("string").alias("month"), "sentiment", "rationale", "line",
-        *[F.col(f"`{CATEGORY_COLUMNS[c]}`") for c in FLAG_COLUMNS[:5]])
+        *[F.col(f"`{CATEGORY_COLUMNS[c]}`") for c in FLAG_COLUMNS])
 
 
 CLASSIFIED = """
@@ -279,7 +297,7 @@ PARTS = {
          "confidence_threshold")),
     "review_categories": (
         "SELECT id AS review_id, " + ", ".join(
-            f"coalesce({c},0) AS {c}" if i < 5 else f"0 AS {c}" for i, c in enumerate(FLAG_COLUMNS)) + " FROM num",
+            f"coalesce({c},0) AS {c}" for c in FLAG_COLUMNS) + " FROM num",
         ("review_id", *FLAG_COLUMNS)),
 }
 
