@@ -144,10 +144,12 @@ def train(rows: list[tuple[str, str]]) -> Model:
             counts[language].update(dict(zip(found.tolist(), n.tolist())))
             written[language] += np.bincount(script, ends - starts, len(SCRIPT_NAMES))
     languages = sorted(counts)
+    if not languages:
+        return Model([], np.empty(0, np.uint64), np.empty((1, 0)), np.empty((len(SCRIPT_NAMES), 0), bool))
     kept = sorted({t for language in languages for t, _ in counts[language].most_common(MAX_GRAMS)})
-    table = np.array([[counts[g][t] for g in languages] for t in [*kept, None]], float).reshape(-1, len(languages))
-    scores = np.log((table + 0.5) / (table + 0.5).sum(0)) if languages else table
-    writes = np.array([written[g] >= MIN_SCRIPT_SHARE * written[g].sum() for g in languages]).reshape(-1, len(SCRIPT_NAMES))
+    table = np.array([[counts[g][t] for g in languages] for t in [*kept, None]], float)
+    scores = np.log((table + 0.5) / (table + 0.5).sum(0))
+    writes = np.array([written[g] >= MIN_SCRIPT_SHARE * written[g].sum() for g in languages])
     return Model(languages, np.array(kept, np.uint64), scores, writes.T)
 
 

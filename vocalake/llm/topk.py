@@ -41,7 +41,8 @@ def whole_numbers(vectors: DataFrame, id_column: str, vector_column: str, scale:
 
 def matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy().astype(float).reshape(rows, -1)
+    values = flat.flatten().to_numpy().astype(float)
+    return values.reshape(rows, len(values) // max(1, rows))
 
 
 def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
