@@ -195,7 +195,9 @@ def near_components(
             may_link(F.col("a_n"), F.col("a_sketch"), F.col("b_n"), F.col("b_sketch"), percent)
         ).select("a", "b")
 
-    hubs = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key").alias("order"), "id")).alias("hub"))
+    hubs = stored(
+        members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key").alias("order"), "id")).alias("hub"))
+    )
     to_hub = members.join(hubs, "key").filter("id <> hub.id").select(
         F.col("hub.id").alias("a"), F.col("id").alias("b")
     ).distinct()
@@ -206,9 +208,9 @@ def near_components(
         "key", "id", F.coalesce("component", "id").alias("component")
     )
     shares = placed.groupBy("key", "component").agg(F.count("*").alias("members"))
-    mixed_keys = shares.groupBy("key").agg(
+    mixed_keys = stored(shares.groupBy("key").agg(
         F.max_by("component", F.struct("members", "component")).alias("main"), F.count("*").alias("components")
-    ).filter("components > 1").select("key", "main")
+    ).filter("components > 1").select("key", "main"))
     open_members = stored(placed.join(mixed_keys, "key").join(traits, "id"))
     stray = open_members.filter("component <> main").select(
         "key", *[F.col(c).alias(f"stray_{c}") for c in ("id", "component", "n", "sketch")]
