@@ -46,6 +46,9 @@ def test_ratings(spark, raw, expected):
     ("2024-03-05", "2024-03-05 00:00:00"), ("05/03/2024", "2024-03-05 00:00:00"), ("5-3-2024", "2024-03-05 00:00:00"),
     ("05.03.2024 14:30", "2024-03-05 14:30:00"), ("2024-03-05T01:02:03", "2024-03-05 01:02:03"), ("2024-03", "2024-03-01 00:00:00"),
     ("31/02/2024", None), ("soon", None), ("12:30", None), (None, None),
+    ("09/11/23", "2023-11-09 00:00:00"), ("9.11.71", "1971-11-09 00:00:00"), ("2023/11/9", "2023-11-09 00:00:00"),
+    ("9 Nov 2023", "2023-11-09 00:00:00"), ("09 november 2023", "2023-11-09 00:00:00"), ("9-NOV-2023", "2023-11-09 00:00:00"),
+    ("09/11/23 07:08", "2023-11-09 07:08:00"), ("9 xyz 2023", None),
 ])
 def test_dayfirst(spark, raw, expected):
     assert one(spark, raw, lambda c: dates.parse_date_dayfirst(c).cast("string")) == expected
@@ -151,3 +154,14 @@ def test_search_queries(spark):
                        "CIH near Fes Morocco"]
     assert one(spark, "CIH", lambda c: text.search_queries(c, F.lit("Fes"))) == [
         "CIH Fes", "CIH Fes Morocco", "CIH near Fes Morocco"]
+
+
+def test_fold_ascii_equals_the_exact_form_for_all_letters(spark):
+    """Every letter up to U+FFFF, alone between two others."""
+    import unicodedata
+
+    letters = [chr(c) for c in range(0x10000) if unicodedata.category(chr(c)).startswith("L")]
+    rows = spark.createDataFrame([(f"a{c}b",) for c in letters], "t string")
+    native, exact = text.fold_ascii(F.col("t")), text.fold_ascii(F.col("t"), exact=True)
+    wrong = rows.select("t", native.alias("n"), exact.alias("e")).filter("n <> e").collect()
+    assert not wrong, wrong[:10]

@@ -55,13 +55,23 @@ def days_ago(days: int, today: date) -> Column:
 
 
 def parse_date_dayfirst(col: Column) -> Column:
-    """Lenient timestamp: ISO first, then day-first forms; everything else null."""
+    """Lenient timestamp: ISO first, then day-first forms; everything else null.
+
+    Separators may be dash, dot or slash in either order, years may have two digits (69 to 99 mean
+    the last century) and months may be English names or their first three letters.
+    """
     text = F.btrim(col.cast("string"))
-    numeric = F.regexp_replace(text, r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4})", "$1/$2/$3")
+    text = F.regexp_replace(text, r"^(\d{4})[./](\d{1,2})[./](\d{1,2})", "$1-$2-$3")
+    named = F.regexp_replace(text, r"^(\d{1,2})[ .-]+([A-Za-z]{3})[a-z]*[ .,-]+(\d{4})", "$1 $2 $3")
+    day, month, rest = r"^(\d{1,2})[./-]", r"(\d{1,2})[./-]", r"(?!\d)"
+    numeric = F.regexp_replace(text, rf"{day}{month}(69|[789]\d){rest}", "$1/$2/19$3")
+    numeric = F.regexp_replace(numeric, rf"{day}{month}(\d{{2}}){rest}", "$1/$2/20$3")
+    numeric = F.regexp_replace(numeric, rf"{day}{month}(\d{{4}})", "$1/$2/$3")
     return F.coalesce(
         F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("timestamp")),
         F.when(text.rlike(r"^\d{4}-\d{2}$"), F.concat(text, F.lit("-01")).try_cast("timestamp")),
         F.try_to_timestamp(numeric, F.lit("d/M/yyyy")),
         F.try_to_timestamp(numeric, F.lit("d/M/yyyy HH:mm")),
         F.try_to_timestamp(numeric, F.lit("d/M/yyyy HH:mm:ss")),
+        F.try_to_timestamp(F.initcap(named), F.lit("d MMM yyyy")),
     )

@@ -15,9 +15,13 @@ WHITESPACE = "".join(
      0x205F, 0x3000]
 )
 def _latin_fold_table() -> tuple[str, str]:
-    """Letters of the Latin blocks whose compatibility form is one ASCII character plus marks."""
+    """Characters of the Latin blocks, and letters of any block, whose compatibility form is one
+    ASCII character plus marks."""
     source, target = [], []
-    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F)]:
+    latin = {*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F)}
+    for code in range(0xA0, 0x10000):
+        if code not in latin and not unicodedata.category(chr(code)).startswith("L"):
+            continue
         ascii_part = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if ord(c) < 128)
         if len(ascii_part) == 1:
             source.append(chr(code))
@@ -25,7 +29,26 @@ def _latin_fold_table() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
+def _expanding_fold_table() -> dict[str, str]:
+    """Characters whose compatibility form has several ASCII characters, such as ligatures.
+
+    All letters, and the signs of the Latin-1, punctuation, letter-like and number blocks.
+    """
+    table = {}
+    for code in range(0xA0, 0x10000):
+        char = chr(code)
+        if 0xD800 <= code < 0xE000 or not (code < 0x2190 or unicodedata.category(char).startswith("L")):
+            continue
+        # As in the exact form, the lower case comes before the decomposition.
+        lowered = char.lower()
+        ascii_part = "".join(c for c in unicodedata.normalize("NFKD", lowered) if ord(c) < 128)
+        if len(ascii_part) > 1 and lowered == char:
+            table[char] = ascii_part
+    return table
+
+
 _FOLD_FROM, _FOLD_TO = _latin_fold_table()
+_EXPANDING = _expanding_fold_table()
 
 
 def strip(col: Column) -> Column:
@@ -71,12 +94,18 @@ def fold_latin(col: Column) -> Column:
 def fold_ascii(col: Column, exact: bool = False) -> Column:
     """Lower, trim, strip accents and drop what is not ASCII; null becomes "".
 
-    The native form covers the Latin blocks; ``exact`` decomposes every script in Arrow batches.
+    The native form covers the Latin blocks, ligatures and letter-like signs; ``exact`` decomposes
+    every script in Arrow batches.
     """
     text = F.coalesce(col.cast("string"), F.lit(""))
     if exact:
         return _fold_ascii_exact(text)
-    return F.regexp_replace(fold_latin(strip(F.lower(text))), r"[^\x00-\x7f]", "")
+    lowered = strip(F.lower(text))
+    expanded = lowered
+    for char, letters in _EXPANDING.items():
+        expanded = F.replace(expanded, F.lit(char), F.lit(letters))
+    lowered = F.when(lowered.rlike(f"[{''.join(_EXPANDING)}]"), expanded).otherwise(lowered)
+    return F.regexp_replace(fold_latin(lowered), r"[^\x00-\x7f]", "")
 
 
 def fold_marks(col: Column, exact: bool = False) -> Column:

@@ -317,7 +317,7 @@ def v_temporal_stats(reviews: DataFrame, classifications: DataFrame) -> DataFram
         "month", "business", F.col("n").alias("review_count"),
         ratio(F.col("stars"), F.col("rated")).alias("avg_rating"), F.col("pos").alias("positive_count"),
         F.col("neg").alias("negative_count"),
-    ).orderBy(F.asc_nulls_last("month"), F.asc_nulls_last("business"))
+    )
 
 
 def table_stats(tables: dict[str, DataFrame | None]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.classify import Scorer, classify, classify_by_rules
 from ..operators.geo import add_region, region_by_city
 from ..operators.normalize import normalize_reviews
+from ..session import configure
 from ..sinks.writers import export_csv, read_latest, widen, write_run
 
 STAGES = ("transform", "classify", "export")
@@ -37,6 +38,7 @@ def run_pipeline(
     Every stage writes a dated run and the next one reads it back, which both cuts the lineage
     and lets a later run skip a stage whose output is already stored.
     """
+    configure(spark)
     if "transform" not in skip:
         if reviews is None:
             raise ValueError("the transform stage needs reviews")

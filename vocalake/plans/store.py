@@ -18,6 +18,7 @@ from ..operators.columns import complete
 from ..operators.joins import reviews_full
 from ..operators.validate import check_constraints
 from ..schemas import TABLES, UNIQUE_KEYS
+from ..session import configure
 from . import catalogue
 
 MAIN = "main"
@@ -129,7 +130,8 @@ def rejected_rows(spark: SparkSession, base: str, table: str) -> DataFrame:
 
 
 def create_tables(spark: SparkSession, base: str) -> None:
-    """Create missing tables as empty typed Parquet."""
+    """Create missing tables as empty typed Parquet; the session gets the settings the jobs rely on."""
+    configure(spark)
     for table, schema in TABLES.items():
         if not _commits(spark, base, table):
             _write(spark.createDataFrame([], schema), base, table, 0, MAIN, 0, None, replace=False)

@@ -15,7 +15,7 @@ STREAM = "stream"
 
 def incremental(new: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key has not been processed yet."""
-    return new.join(done.select(key).distinct(), key, "left_anti")
+    return new.join(done.select(key), key, "left_anti")
 
 
 def stream_new_files(

@@ -222,14 +222,15 @@ def _(spark, sf):
 
 
 @query("dates_dayfirst", """
-SELECT event_id, CASE WHEN event_id%5=4 THEN NULL ELSE CAST(ts AS DATE) END AS day,
-       CAST(CASE WHEN event_id%5=4 THEN NULL ELSE year(ts) END AS INTEGER) AS year FROM events""")
+SELECT event_id, CASE WHEN event_id%9=4 THEN NULL ELSE CAST(ts AS DATE) END AS day,
+       CAST(CASE WHEN event_id%9=4 THEN NULL ELSE year(ts) END AS INTEGER) AS year FROM events""")
 def _(spark, sf):
-    part, ts = F.col("event_id") % 5, F.col("ts")
+    part, ts = F.col("event_id") % 9, F.col("ts")
     written = (
         F.when(part == 0, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).when(part == 1, F.date_format(ts, "dd/MM/yyyy"))
         .when(part == 2, F.date_format(ts, "d-M-yyyy HH:mm")).when(part == 3, F.date_format(ts, "yyyy-MM-dd"))
-        .otherwise("soon"))
+        .when(part == 4, "soon").when(part == 5, F.date_format(ts, "dd/MM/yy")).when(part == 6, F.date_format(ts, "d MMM yyyy"))
+        .when(part == 7, F.date_format(ts, "yyyy/M/d")).otherwise(F.date_format(ts, "dd MMMM yyyy")))
     parsed = dates.parse_date_dayfirst(written)
     return b.table(spark, sf, "events").select(
         "event_id", parsed.cast("date").alias("day"), F.year(parsed).alias("year"))
