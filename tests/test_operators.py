@@ -11,7 +11,7 @@ from vocalake.operators import columns, mutate
 from vocalake.operators.classify import classify, classify_by_rules
 from vocalake.operators.dedupe import dedupe_first
 from vocalake.operators.entity import resolve_ids
-from vocalake.operators.geo import add_region, region_by_city
+from vocalake.operators.geo import add_region, region_by_city, region_by_point
 from vocalake.operators.ids import assign_ids
 from vocalake.operators.joins import hot_keys, salted_join, with_sentiment
 from vocalake.operators.normalize import normalize_reviews
@@ -23,7 +23,7 @@ from vocalake.schemas import PLACES, REVIEWS
 from vocalake.session import ensure_checkpoint_dir
 from vocalake.sinks import writers
 from vocalake.sources import documents, tabular
-from vocalake.sources.regions import read_regions
+from vocalake.sources.regions import describe_regions, read_regions
 from vocalake.streaming.incremental import review_appender
 from vocalake.taxonomy import CATEGORIES
 
@@ -147,11 +147,33 @@ def test_normalize_accepts_other_names(spark):
 # ------------------------------------------------------------------------------ regions
 
 def test_region_by_city(spark):
-    rows = spark.createDataFrame([("RABAT",), ("Unknown City",), (None,), ("Fès",)], "city string")
-    assert [r.region for r in region_by_city(rows).collect()] == ["Rabat-Salé-Kénitra", None, None, "Fès-Meknès"]
+    rows = spark.createDataFrame([("Oujda ",), ("Atlantis",), (None,), ("Fès",)], "city string")
+    assert [r.region for r in region_by_city(rows).collect()] == ["L'Oriental", None, None, "Fès-Meknès"]
     assert region_by_city(rows, fold=False).collect()[3].region is None
 
 
+def test_hot_cell_and_nearest_against_all_centres(spark):
+    """Most points in one cell; each gets the region a search over all centres and polygons gives."""
+    import math
+
+    boxes = [(i, f"r{i}", -16.5 + (i * 37 % 29) / 2, 21.3 + (i * 53 % 27) / 2) for i in range(60)]
+    regions = describe_regions(spark.createDataFrame(
+        [(i, n, [(x, y), (x + .3, y), (x + .3, y + .3), (x, y + .3), (x, y)]) for i, n, x, y in boxes],
+        "region_order int, region string, ring array<struct<x: double, y: double>>"))
+    points = [(i, 30.0 + (i % 97) / 100, -9.0 + (i % 89) / 100) if i % 10 else (i, 21 + i * 7 % 15 + .37, -17 + i * 11 % 16 + .21) for i in range(900)]
+    points += [(1000 + i, None, 5.0) for i in range(50)]
+    got = {r.id: r.region for r in region_by_point(
+        spark.createDataFrame(points, "id int, lat double, lng double"), regions).collect()}
+    assert len(got) == len(points)
+    for i, lat, lng in points:
+        if lat is None:
+            assert got[i] is None
+            continue
+        inside = [n for _, n, x, y in boxes if x < lng < x + .3 and y < lat < y + .3]
+        nearest = min((round(math.hypot(lng - x - .15, lat - y - .15), 9), o, n) for o, n, x, y in boxes)[2]
+        assert got[i] == (inside[0] if inside else nearest)
+
+
 def test_add_region_two_polygons(spark, tmp_path):
     def feature(name, x0, x1):
         ring = [[x0, 33.0], [x1, 33.0], [x1, 34.0], [x0, 34.0], [x0, 33.0]]
@@ -346,9 +368,9 @@ def test_checkpoint_folder(spark, monkeypatch):
 
 def test_locations_file(spark, tmp_path):
     path = tmp_path / "banks.csv"
-    path.write_bytes("﻿_place_id,_bank,_city\n a ,Banque d'État,Café-City\n,Test™ & Co.,Rabat\nb,Test™ & Co.,Rabat\n".encode())
+    path.write_bytes("﻿_place_id,_bank,_city\n a ,Crédit de l'Île,Aïn-Ville\n,Öko® + Söhne,Rabat\nb,Öko® + Söhne,Rabat\n".encode())
     rows = tabular.read_locations(spark, str(path)).select("_place_id", "_business", "_city").collect()
-    assert [tuple(r) for r in rows] == [("a", "Banque d'État", "Café-City"), ("b", "Test™ & Co.", "Rabat")]
+    assert [tuple(r) for r in rows] == [("a", "Crédit de l'Île", "Aïn-Ville"), ("b", "Öko® + Söhne", "Rabat")]
     assert tabular.read_locations(spark, str(path), cities=["rabat"]).count() == 1
     path.write_text("_place_id,_bank,_city\n")
     empty = tabular.read_locations(spark, str(path))

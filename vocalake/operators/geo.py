@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.geometry import contains_point, in_bounds
 from ..functions.numbers import planar_distance, to_number, zoom_for_population
 from ..functions.text import first_truthy, fold_latin, fold_marks, format_center, strip
-from ..taxonomy import CITY_REGIONS, REGION_ALIASES
+from ..taxonomy import CITY_REGIONS, LAT_RANGE, LNG_RANGE, REGION_ALIASES
 from .columns import first_present
 from .dedupe import dedupe_last
 
@@ -33,6 +33,10 @@ def _canonical_region(name: Column) -> Column:
     return out
 
 
+def _row_hash(df: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(f"`{n}`") for n, kind in df.dtypes if "map<" not in kind and kind != "variant"])
+
+
 def _cell(degrees: Column) -> Column:
     return F.floor(degrees / CELL_DEGREES)
 
@@ -47,9 +51,30 @@ def region_cells(regions: DataFrame) -> DataFrame:
     return cells.groupBy("cell_x", "cell_y").agg(F.sort_array(F.collect_list(candidate)).alias("candidates"))
 
 
-def _region_centers(regions: DataFrame) -> Column:
-    """All centroids as one array, from a scalar subquery."""
-    return regions.agg(F.collect_list(F.struct("region_order", "region", "center")).alias("c")).scalar()
+def center_cells(regions: DataFrame) -> DataFrame:
+    """One row per grid cell with the centroids that can be nearest to some point of the cell.
+
+    A centroid is left out if it is farther from the whole cell than another one is at most. Only
+    regions and cells meet here; the number of cells is fixed by the bounds of valid coordinates.
+    """
+    def cells(bounds):
+        return F.explode(F.sequence(*[F.lit(int(v // CELL_DEGREES)).cast("long") for v in bounds]))
+
+    grid = regions.select("region_order", "region", "center", cells(LNG_RANGE).alias("cell_x")).withColumn(
+        "cell_y", cells(LAT_RANGE))
+
+    def gaps(axis, cell):
+        low = F.col(cell) * CELL_DEGREES
+        place = F.col("center")[axis]
+        inside = F.greatest(low - place, place - low - CELL_DEGREES, F.lit(0.0))
+        return inside, F.greatest(F.abs(place - low), F.abs(place - low - CELL_DEGREES))
+
+    (near_x, far_x), (near_y, far_y) = gaps("x", "cell_x"), gaps("y", "cell_y")
+    grid = grid.withColumns({"_near": F.hypot(near_x, near_y), "_far": F.hypot(far_x, far_y)})
+    least = grid.groupBy("cell_x", "cell_y").agg((F.min("_far") + 1e-9).alias("_least"))
+    possible = grid.join(least, ["cell_x", "cell_y"]).filter("_near <= _least")
+    return possible.groupBy("cell_x", "cell_y").agg(
+        F.collect_list(F.struct("region_order", "region", "center")).alias("centers"))
 
 
 def _nearest(centers: Column, lat: Column, lng: Column) -> Column:
@@ -66,15 +91,21 @@ def region_by_point(
     """Add ``region``: the first polygon that contains the point, else the nearest centroid.
 
     Points meet polygons through an equi-join on a one-degree grid cell; a cell carries its
-    few candidate polygons as an array, so no point is ever duplicated or regrouped. Rows
-    with missing or out-of-bounds coordinates get null.
+    few candidate polygons and nearest centroids as arrays, so no point is ever duplicated or
+    regrouped. The cells are few hundred rows, broadcast while they are small; otherwise the
+    adaptive planner splits a hot cell. Rows with missing or out-of-bounds coordinates get null;
+    their join key is a hash that meets no cell, so they are spread.
     """
     lat, lng = F.col("_lat"), F.col("_lng")
     usable = F.coalesce(in_bounds(lat, lng), F.lit(False))
     points = df.withColumns({"_lat": to_number(F.col(lat_col)), "_lng": to_number(F.col(lng_col))}).withColumns({
-        "cell_x": F.when(usable, _cell(lng)), "cell_y": F.when(usable, _cell(lat)),
+        "cell_x": F.when(usable, _cell(lng)).otherwise(F.shiftright(_row_hash(df), 1)),
+        "cell_y": F.when(usable, _cell(lat)),
     })
-    located = points.join(region_cells(regions), ["cell_x", "cell_y"], "left")
+    cells = region_cells(regions)
+    if nearest:
+        cells = center_cells(regions).join(cells, ["cell_x", "cell_y"], "left")
+    located = points.join(cells, ["cell_x", "cell_y"], "left")
     inside = F.filter(
         F.col("candidates"),
         lambda c: lng.between(c["min_x"], c["max_x"]) & lat.between(c["min_y"], c["max_y"])
@@ -82,8 +113,7 @@ def region_by_point(
     )
     region = F.get(inside, 0)["region"]
     if nearest:
-        located = located.withColumn("_centers", _region_centers(regions))
-        region = F.coalesce(region, _nearest(F.col("_centers"), lat, lng))
+        region = F.coalesce(region, _nearest(F.col("centers"), lat, lng))
     kept = [c for c in df.columns if c != "region"]
     return located.select(*kept, F.when(usable, _canonical_region(region)).alias("region"))
 

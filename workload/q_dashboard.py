@@ -191,7 +191,7 @@ def _(spark, sf):
 
 
 # Nation index -> a city name with and without accents, capitals and blanks, or an unknown one.
-CITY_NAMES = ("Casablanca", " RABAT ", "MaRrAkEcH", "Fès", "Tétouan", "Unknown City", "El Jadida")
+CITY_NAMES = ("Nador", " KÉNITRA ", "oUjDa", "Meknès", "Khénifra", "Atlantis", "Béni Mellal")
 CITY_LIST = "[" + ", ".join(quoted(c) for c in CITY_NAMES) + "]"
 
 
@@ -205,9 +205,9 @@ def named_city(spark, sf):
 NAMED_CITIES = f"""
 , named AS (SELECT place_id, ({CITY_LIST})[CAST(place_id AS BIGINT)%{len(CITY_NAMES)}+1] AS city FROM places),
 regioned AS (SELECT place_id, city, CASE strip_accents(lower(trim(city)))
-  WHEN 'casablanca' THEN 'Casablanca-Settat' WHEN 'rabat' THEN 'Rabat-Salé-Kénitra'
-  WHEN 'marrakech' THEN 'Marrakech-Safi' WHEN 'fes' THEN 'Fès-Meknès'
-  WHEN 'tetouan' THEN 'Tanger-Tétouan-Al Hoceïma' WHEN 'el jadida' THEN 'Casablanca-Settat' END AS region FROM named)"""
+  WHEN 'nador' THEN 'L''Oriental' WHEN 'kenitra' THEN 'Rabat-Salé-Kénitra' WHEN 'oujda' THEN 'L''Oriental'
+  WHEN 'meknes' THEN 'Fès-Meknès' WHEN 'khenifra' THEN 'Béni Mellal-Khénifra'
+  WHEN 'beni mellal' THEN 'Béni Mellal-Khénifra' END AS region FROM named)"""
 
 
 @query("region_by_city", sql(NAMED_CITIES + "SELECT place_id, city, region FROM regioned"))

@@ -1,6 +1,9 @@
 """Regions from coordinates, place resolution, deduplication."""
 from __future__ import annotations
 
+import json
+import os
+
 from pyspark.sql import functions as F, types as T
 
 from vocalake.operators.dedupe import dedupe_first
@@ -8,37 +11,26 @@ from vocalake.operators.entity import attach_place_metadata, consolidate_places,
 from vocalake.operators.geo import add_region, city_aliases, city_centers, region_by_point
 from vocalake.operators.joins import hot_keys, resolve_city, salted_join, search_grid, union_all
 from vocalake.schemas import GAZETTEER
-from vocalake.sources.documents import city_list, parse_place_payloads, parse_review_payloads
+from vocalake.sources.documents import (
+    city_list, parse_place_payloads, parse_review_payloads, read_stored_lookup, write_lookup,
+)
 from vocalake.sources.regions import RING, describe_regions
 
 from . import roles as b
 from .registry import query
 from .roles import BUSINESSES, quoted, sql
 
-# Region -> lower-left corner of its 0.6 x 0.6 degree rectangle (longitude, latitude).
-REGION_CORNERS = {
-    "Casablanca-Settat": (-7.89, 33.27),
-    "Rabat-Salé-Kénitra": (-7.14, 33.72),
-    "Fès-Meknès": (-5.3, 33.74),
-    "Tanger-Tétouan-Al Hoceïma": (-5.75, 34.87),
-    "Béni Mellal-Khénifra": (-6.67, 32.04),
-    "Marrakech-Safi": (-8.3, 31.33),
-    "Drâa-Tafilalet": (-5.8, 30.7),
-    "Souss-Massa": (-9.9, 30.12),
-    "Guelmim-Oued Noun": (-10.36, 28.68),
-    "Laâyoune-Sakia El Hamra": (-13.5, 26.82),
-    "Dakhla-Oued Ed-Dahab": (-14.8, 22.6),
-    "Oriental": (-3.2, 34.38),
-}
+# The region polygons, rectangles in file order.
+with open(os.path.join(os.path.dirname(__file__), "regions.geojson"), encoding="utf-8") as _file:
+    POLYGONS = [(f["properties"]["name"], f["geometry"]["coordinates"][0]) for f in json.load(_file)["features"]]
 RECTANGLES = [
-    (i, name, x, y, round(x + 0.6, 2), round(y + 0.6, 2)) for i, (name, (x, y)) in enumerate(REGION_CORNERS.items())
+    (i, name, min(x for x, _ in ring), min(y for _, y in ring), max(x for x, _ in ring), max(y for _, y in ring))
+    for i, (name, ring) in enumerate(POLYGONS)
 ]
 
 
 def regions(spark):
-    rows = [
-        (i, name, [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]) for i, name, x0, y0, x1, y1 in RECTANGLES
-    ]
+    rows = [(i, name, [tuple(point) for point in ring]) for i, (name, ring) in enumerate(POLYGONS)]
     return describe_regions(spark.createDataFrame(rows, f"region_order int, region string, ring {RING}"))
 
 
@@ -236,23 +228,42 @@ f AS (SELECT ck, min(k) AS first_k, arg_min(own,k) AS first_own FROM j
       WHERE cached IS NULL AND own IS NOT NULL AND ck IS NOT NULL GROUP BY ck)"""
 
 
-def _resolved(spark, sf):
+def _resolvable(spark, sf):
     k = F.col("place_id").cast("long")
     rows = b.places(spark, sf).select(
         k.alias("k"),
         F.when(k % 3 == 0, F.concat(F.lit("ChIJ"), "place_id")).when(k % 3 == 1, F.concat(F.lit("x"), "place_id"))
         .alias("place_id"),
         F.when(k % 5 != 0, F.concat(F.lit("n"), (k % 400).cast("string"))).otherwise("").alias("data_id"))
-    supplier = F.col("s_suppkey").cast("string")
-    cache = b.table(spark, sf, "supplier").select(
-        F.concat(F.lit("n"), supplier).alias("key"), F.concat(F.lit("ChIJsup"), supplier).alias("value"))
     n = F.col("n")
     answers = b.places(spark, sf).select((k % 400).alias("n")).distinct().filter(n % 2 == 1).select(
         F.concat(F.lit("n"), n.cast("string")).alias("key"),
         F.when(n % 3 == 0, F.concat(F.lit("ChIJapi"), n.cast("string"))).alias("value"), (n % 3 == 1).alias("failed"))
+    return rows, answers
+
+
+def _resolved(spark, sf):
+    rows, answers = _resolvable(spark, sf)
+    supplier = F.col("s_suppkey").cast("string")
+    cache = b.table(spark, sf, "supplier").select(
+        F.concat(F.lit("n"), supplier).alias("key"), F.concat(F.lit("ChIJsup"), supplier).alias("value"))
     return resolve_ids(rows, cache, ["k"], answers)
 
 
+@query("resolve_ids_second_run", sql(RESOLVABLE + """
+SELECT k, pid AS place_id, coalesce(cached, first_own, own) AS canonical_place_id,
+  CASE WHEN coalesce(cached, first_own) IS NOT NULL THEN 'cache' WHEN k%3=0 THEN 'already_canonical'
+       WHEN failed THEN 'error' ELSE 'unresolved' END AS resolve_status
+FROM j LEFT JOIN f ON f.ck=j.ck"""))
+def _(spark, sf):
+    """What the first run found is stored and serves the second run from the cache."""
+    path = f"{b.scratch(spark)}/ids"
+    write_lookup(_resolved(spark, sf)[1], path)
+    rows, answers = _resolvable(spark, sf)
+    return resolve_ids(rows, read_stored_lookup(spark, path), ["k"], answers)[0].select(
+        "k", "place_id", "canonical_place_id", "resolve_status")
+
+
 @query("resolve_ids", sql(RESOLVABLE + """
 SELECT k, coalesce(pid, NULL) AS place_id,
   CASE WHEN cached IS NOT NULL THEN cached WHEN first_k<k THEN first_own ELSE own END AS canonical_place_id,
