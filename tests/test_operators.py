@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from vocalake.operators import columns, mutate
-from vocalake.operators.classify import classify, classify_by_rules
+from vocalake.operators.classify import _answers, classify, classify_by_rules
 from vocalake.operators.dedupe import dedupe_first
 from vocalake.operators.entity import resolve_ids
 from vocalake.operators.geo import add_region, region_by_city, region_by_point
@@ -467,6 +467,27 @@ def test_scorer_failure_marks_only_its_row(spark):
             assert got[i][0] == "Positif" and CATEGORIES[0] in got[i][1]
 
 
+def test_scorer_sees_rows_at_most_twice():
+    batch = pd.DataFrame({"text": ["boom" if i % 50 == 0 else "bien" for i in range(1000)], "rating": 5})
+    seen = []
+
+    def counting(rows):
+        seen.append(len(rows))
+        return fussy_scorer(rows)
+
+    answers = _answers(counting, batch)
+    assert sum(seen) == 2 * len(batch) and (answers["sentiment"] == "Error").sum() == 20
+
+    def reporting(rows):
+        seen.append(len(rows))
+        return fussy_scorer(rows.assign(text="bien")).assign(error=rows["text"].eq("boom").to_numpy())
+
+    seen.clear()
+    answers = _answers(reporting, batch)
+    assert seen == [len(batch)] and (answers["sentiment"] == "Error").sum() == 20
+    assert answers["categories"].isna().sum() == 20
+
+
 def test_rules(spark):
     rows = spark.createDataFrame(
         [("Trop de frais et une longue file d'attente", 1), ("Application fluide !", None), ("Correct", 3), ("Bravo", 5), ("", 5)],

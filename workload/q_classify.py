@@ -67,16 +67,14 @@ def _(spark, sf):
 
 
 def rating_scorer(batch: pd.DataFrame) -> pd.DataFrame:
-    """A scorer that reads the rating, proposes one weak label and fails on rating 0."""
-    if (batch["rating"] == 0).any():
-        raise ValueError("unrated review")
+    """A scorer that reads the rating, proposes one weak label and reports rating 0 as an error."""
     sentiments = batch["rating"].map(lambda r: "Positif" if r >= 4 else "Négatif" if r <= 2 else "Neutre")
     return pd.DataFrame({
         "sentiment": sentiments,
         "categories": [
             [{"label": CATEGORIES[int(r)], "confidence": 0.9 if r != 2 else 0.4}, {"label": "unknown", "confidence": 1.0}]
             for r in batch["rating"]],
-        "language": "fr", "rationale": batch["text"].str.len().astype(str),
+        "language": "fr", "rationale": batch["text"].str.len().astype(str), "error": batch["rating"] == 0,
     })
 
 
