@@ -299,10 +299,20 @@ def test_store_ignores_what_was_not_committed(spark, tmp_path):
     base = str(tmp_path / "store")
     rows = columns.complete(spark.createDataFrame([(1, "p"), (2, "q")], "id long, place_id string"), REVIEWS)
     store.append_rows(rows, base, "reviews")
-    rows.limit(1).write.parquet(f"{base}/reviews/data/unfinished")
+    rows.limit(1).write.parquet(f"{base}/reviews/data/attempt=unfinished")
     assert store.load_table(spark, base, "reviews").count() == 2
 
 
+def test_store_reads_only_the_wanted_months(spark, tmp_path):
+    base = str(tmp_path / "store")
+    rows = spark.createDataFrame([(1, "p", "2024-01-31"), (2, "p", "2024-03-01"), (3, "q", None)], "id long, place_id string, d string")
+    store.append_rows(rows.withColumn("review_date_parsed", F.to_date("d")), base, "reviews")
+    recent = store.load_table(spark, base, "reviews", since=date(2024, 2, 10))
+    assert [r.id for r in recent.collect()] == [2] and store.load_table(spark, base, "reviews").count() == 3
+    assert "PartitionFilters: [isnotnull(review_month" in recent._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
 def test_store_keeps_rejects_apart(spark, tmp_path):
     base = str(tmp_path / "store")
     reviews = spark.createDataFrame(

@@ -3,9 +3,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
+def _rest(df: DataFrame, keys: Sequence[str]) -> Column:
+    """The other columns as a struct; category names hold dots, so all are quoted."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in keys])
+
+
+def _unpacked(grouped: DataFrame, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    return grouped.select([F.col(c) if c in keys else F.col("_row").getField(c).alias(c) for c in names])
+
 
 def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row per key in the given order; null keys count as equal.
@@ -13,20 +21,14 @@ def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     An aggregate rather than a window: each map task already reduces a key to one row, so a
     key that holds most of the data sends one row per task through the shuffle.
     """
-    rest = [c for c in df.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return df.groupBy(*keys).agg(first).select(
-        [F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns]
-    )
+    first = F.min_by(_rest(df, keys), F.struct(*order)).alias("_row")
+    return _unpacked(df.groupBy(*keys).agg(first), df.columns, keys)
 
 
 def dedupe_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row per key in the given order."""
-    rest = [c for c in df.columns if c not in keys]
-    last = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return df.groupBy(*keys).agg(last).select(
-        [F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns]
-    )
+    last = F.max_by(_rest(df, keys), F.struct(*order)).alias("_row")
+    return _unpacked(df.groupBy(*keys).agg(last), df.columns, keys)
 
 
 def pick_strategy(df: DataFrame, keys: Sequence[str] = ("business", "city"), rank: str = "strategy") -> DataFrame:

@@ -1,6 +1,6 @@
 """The stored tables: data and commits below ``<base>/<table>``.
 
-Rows go to ``data/<attempt>``, a new folder for every write, and count once a commit names that
+Rows go to ``data/attempt=<id>``, a new folder for every write, and count once a commit names that
 folder: ``commits/version=<n>/writer=<w>/batch=<m>`` holds it. A rewrite commits the next version
 and an insert a new batch of its writer, so no job overwrites what it reads, a failed or unfinished
 job leaves no trace in the table, and repeating a batch replaces that batch only. Rows that break a
@@ -9,10 +9,11 @@ constraint are kept in ``rejects/<attempt>`` instead.
 from __future__ import annotations
 
 import uuid
+from datetime import date
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..operators.columns import complete
 from ..operators.joins import reviews_full
@@ -23,6 +24,10 @@ from . import catalogue
 
 MAIN = "main"
 COMMITS = "attempt string, version long, writer string, batch long"
+# Reviews lie in one folder per month of their date, so a query over recent months lists only those.
+MONTH = "review_month"
+DATED = {"reviews": "review_date_parsed"}
+FOLDERS = (T.StructField("attempt", T.StringType()), T.StructField(MONTH, T.StringType()))
 
 
 def _commits(spark: SparkSession, base: str, table: str) -> list[tuple[int, str, int, str]]:
@@ -37,18 +42,35 @@ def _commits(spark: SparkSession, base: str, table: str) -> list[tuple[int, str,
     return sorted((r.version, r.writer, r.batch, r.attempt) for r in rows.filter(F.col("version") == newest).collect())
 
 
+def _read(spark: SparkSession, table: str, base: str, *paths: str) -> DataFrame:
+    return spark.read.schema(T.StructType([*TABLES[table], *FOLDERS])).option("basePath", base).parquet(*paths)
+
+
 def load_table(
-    spark: SparkSession, base: str, table: str, writer: str | None = None, before_batch: int = 0
+    spark: SparkSession, base: str, table: str, writer: str | None = None, before_batch: int = 0,
+    since: date | None = None,
 ) -> DataFrame:
     """Rows of the current version; with ``writer``, without that writer's batches from
-    ``before_batch`` on. Only committed folders are read."""
+    ``before_batch`` on; with ``since``, only reviews dated from that day's month on. Only
+    committed folders, and of those only the wanted months, are read."""
     paths = [
-        f"{base}/{table}/data/{attempt}" for _, w, batch, attempt in _commits(spark, base, table)
+        f"{base}/{table}/data/attempt={attempt}" for _, w, batch, attempt in _commits(spark, base, table)
         if writer is None or w != writer or batch < before_batch
     ]
     if not paths:
         return spark.createDataFrame([], TABLES[table])
-    return spark.read.schema(TABLES[table]).parquet(*paths)
+    rows = _read(spark, table, f"{base}/{table}/data", *paths)
+    if since is not None and table in DATED:
+        rows = rows.filter(F.col(MONTH) >= f"{since:%Y-%m}")
+    return rows.select(*TABLES[table].names)
+
+
+def _put(df: DataFrame, table: str, path: str) -> None:
+    if table in DATED:
+        month = F.date_format(DATED[table], "yyyy-MM")
+        df.withColumn(MONTH, month).hint("rebalance", MONTH).write.partitionBy(MONTH).parquet(path)
+    else:
+        df.write.parquet(path)
 
 
 def _first_of_key(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -84,13 +106,14 @@ def _write(
     """Write the rows, check what was written, keep rejects aside, then commit."""
     spark = df.sparkSession
     attempt = uuid.uuid4().hex
-    path = f"{base}/{table}/data/{attempt}"
-    complete(df, TABLES[table]).write.parquet(path)
-    good, bad = _accepted(spark.read.schema(TABLES[table]).parquet(path), table, stored)
+    data = f"{base}/{table}/data"
+    path = f"{data}/attempt={attempt}"
+    _put(complete(df, TABLES[table]), table, path)
+    good, bad = _accepted(_read(spark, table, data, path).select(*TABLES[table].names), table, stored)
     bad.write.parquet(f"{base}/{table}/rejects/{attempt}")
     if not spark.read.schema(TABLES[table]).parquet(f"{base}/{table}/rejects/{attempt}").isEmpty():
         attempt = f"{attempt}-checked"
-        good.write.parquet(f"{base}/{table}/data/{attempt}")
+        _put(good, table, f"{data}/attempt={attempt}")
     commit = f"{base}/{table}/commits/version={version}/writer={writer}/batch={batch}"
     spark.createDataFrame([(attempt,)], "attempt string").coalesce(1).write.mode(
         "overwrite" if replace else "errorifexists").parquet(commit)

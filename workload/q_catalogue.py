@@ -1,6 +1,8 @@
 """Catalogue queries: statistics, rankings, trends, categories, positions."""
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from vocalake.operators.joins import integrity_report, keep_existing, reviews_full, unclassified
@@ -8,7 +10,7 @@ from vocalake.operators.filters import distinct_sorted, filter_in, filter_review
 from vocalake.operators.ranking import with_group_share
 from vocalake.plans import catalogue as c
 from vocalake.plans.named import run_query
-from vocalake.plans.store import register_frames
+from vocalake.plans.store import append_rows, load_table, register_frames
 from vocalake.taxonomy import (
     CATEGORY_COLUMNS, NEGATIVE_FLAGS, POSITIVE_FLAGS,
 )
@@ -140,6 +142,17 @@ def _(spark, sf):
     return c.recent_reviews(*rc(spark, sf), TODAY, 30)
 
 
+@query("recent_reviews_stored", _recent_sql(90))
+def _(spark, sf):
+    """The same over a store, whose reviews lie in folders by month: older months are not read."""
+    base = b.scratch(spark)
+    reviews, labels = rc(spark, sf)
+    append_rows(reviews, base, "reviews")
+    append_rows(labels, base, "classifications")
+    stored = load_table(spark, base, "reviews", since=TODAY - timedelta(days=90))
+    return c.recent_reviews(stored, load_table(spark, base, "classifications"), TODAY, 90)
+
+
 @query("recent_reviews_filtered", _recent_sql(90, f"AND business='{BUSINESS}' AND sentiment='Négatif'"))
 def _(spark, sf):
     return c.recent_reviews(*rc(spark, sf), TODAY, 90, BUSINESS, "Négatif")
