@@ -33,7 +33,7 @@ def assign_ids(df: DataFrame, order: Sequence[str], after: int | Column = 0, nam
     numbered = placed.join(F.broadcast(offsets), "_part")
     return numbered.select(
         (base + F.col("_offset") + F.col("_position") + 1).cast("long").alias(name),
-        *[c for c in df.columns if c != name],
+        *[F.col(f"`{c}`") for c in df.columns if c != name],
     )
 
 
