@@ -1,23 +1,21 @@
-"""Byte-level BPE as column expressions: ranked merges folded over words, ids back to bytes."""
+"""Byte-level BPE: ranked merges folded over the bytes of distinct words, and ids back to bytes."""
 from __future__ import annotations
 
-import math
+import heapq
 import uuid
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
-import xxhash
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tokens import read_ranks
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
-FREQUENT_WORDS = 131_072
-LONGEST_FREQUENT = 64
-BINS_PER_DOUBLING = 8
-PER_BUCKET = 8
-NO_RANK = 2_147_483_647
+CACHE = 300_000
+DOCS_AT_ONCE = 500
 
 
 def java_pattern(pattern: str) -> str:
@@ -25,120 +23,93 @@ def java_pattern(pattern: str) -> str:
     return pattern.replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}")
 
 
-def literal(spark: SparkSession, value: object, kind: str) -> Column:
-    """``value`` as one constant of a plan: a session variable, which the optimizer turns into a literal."""
-    name = f"llm_{uuid.uuid4().hex}"
-    row = spark.createDataFrame([(value,)], f"value {kind}")
-    spark.sql(f"DECLARE VARIABLE {name} {kind}")
-    spark.sql(f"SET VAR {name} = (SELECT value FROM {{row}})", row=row)
-    return F.expr(name)
-
-
-def literal_map(spark: SparkSession, entries: dict[str, str]) -> Callable[[Column], Column]:
-    """A lookup expression over a literal map, cut by key hash into buckets that are searched in turn."""
-    count = 1 << max(0, math.ceil(math.log2(max(1, len(entries) / PER_BUCKET))))
-    buckets: list[dict[str, str]] = [{} for _ in range(count)]
-    for key, value in entries.items():
-        buckets[xxhash.xxh64_intdigest(key.encode(), 42) % count][key] = value
-    maps = literal(spark, buckets, "array<map<string,string>>")
-
-    def look_up(key: Column) -> Column:
-        return F.element_at(F.get(maps, F.pmod(F.xxhash64(key), F.lit(count)).cast("int")), key)
-
-    return look_up
-
-
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one word: its own rank, or those of its parts after all merges.
 
-def merged_ids(word: Column, rank_of) -> Column:
-    """Ids of one word, joined by commas: the rank of the whole word, or of its parts after all merges.
-
-    The fold starts from single bytes (in hex) and in each step joins the leftmost pair whose
-    concatenation has the lowest rank; only the ranks beside the joined pair are looked up anew.
-    """
-    def rank(piece: Column) -> Column:
-        return F.coalesce(rank_of(piece).cast("int"), F.lit(NO_RANK))
-
-    def step(state: Column, _: Column) -> Column:
-        parts, ranks = state["parts"], state["ranks"]
-
-        def joined(at: Column) -> Column:
-            piece = F.concat(F.get(parts, at - 1), F.get(parts, at))
-            beside = F.concat(
-                F.when(at > 1, F.array(F.concat(F.get(parts, at - 2), piece))).otherwise(F.array().cast("array<string>")),
-                F.when(at + 1 < F.size(parts), F.array(F.concat(piece, F.get(parts, at + 1)))).otherwise(
-                    F.array().cast("array<string>")),
-            )
-            return F.struct(
-                F.concat(F.slice(parts, F.lit(1), at - 1), F.array(piece), F.slice(parts, at + 2, F.size(parts))).alias("parts"),
-                F.concat(
-                    F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), F.transform(beside, rank),
-                    F.slice(ranks, at + 2, F.size(parts)),
-                ).alias("ranks"),
-            )
-
-        def chosen(low: Column) -> Column:
-            return F.when(F.coalesce(low, F.lit(NO_RANK)) == NO_RANK, state).otherwise(
-                let(F.array_position(ranks, low).cast("int"), joined))
-
-        return let(F.array_min(ranks), chosen)
-
-    def folded(parts: Column) -> Column:
-        pairs = F.transform(
-            F.slice(parts, F.lit(2), F.size(parts)), lambda piece, i: rank(F.concat(F.get(parts, i), piece)))
-        return F.aggregate(
-            F.slice(parts, F.lit(2), F.size(parts)), F.struct(parts.alias("parts"), pairs.alias("ranks")), step,
-            lambda state: F.array_join(F.transform(state["parts"], rank_of), ","),
-        )
-
-    spelled = F.hex(word)
-    return F.coalesce(rank_of(spelled), let(F.regexp_extract_all(spelled, F.lit(".."), F.lit(0)), folded))
-
-
-def frequent_words(words: DataFrame, limit: int) -> DataFrame:
-    """Those of the column ``word`` in the highest classes of frequency that hold at most ``limit`` words.
-
-    Classes are an eighth of a doubling of the count, so their histogram is a few hundred rows.
+    From single bytes on, the leftmost pair of neighbours whose concatenation has the lowest rank is
+    joined until no pair has a rank. Pairs wait in a heap, so a word of n bytes takes n log n steps.
     """
-    counted = words.filter(F.length("word") <= LONGEST_FREQUENT).groupBy("word").agg(F.count("*").alias("n"))
-    counted = counted.withColumn("class", F.floor(F.log2("n") * BINS_PER_DOUBLING))
-    sizes = {r["class"]: r["count"] for r in counted.groupBy("class").count().collect()}
-    total, lowest = 0, None
-    for own in sorted(sizes, reverse=True):
-        total += sizes[own]
-        if total > limit:
-            break
-        lowest = own
-    return counted.filter(F.lit(False) if lowest is None else F.col("class") >= lowest).select("word")
+    if word in ranks:
+        return [ranks[word]]
+    size = len(word)
+    end = list(range(1, size + 1))
+    before = list(range(-1, size - 1))
+    pairs = [(ranks[word[i:i + 2]], i, i + 1, i + 2) for i in range(size - 1) if word[i:i + 2] in ranks]
+    heapq.heapify(pairs)
+    while pairs:
+        _, start, middle, stop = heapq.heappop(pairs)
+        if end[start] != middle or end[middle] != stop:
+            continue
+        end[start], end[middle] = stop, 0
+        if stop < size:
+            before[stop] = start
+            if (rank := ranks.get(word[start:end[stop]])) is not None:
+                heapq.heappush(pairs, (rank, start, stop, end[stop]))
+        if start and (rank := ranks.get(word[before[start]:stop])) is not None:
+            heapq.heappush(pairs, (rank, before[start], start, stop))
+    ids, at = [], 0
+    while at < size:
+        ids.append(ranks[word[at:end[at]]])
+        at = end[at]
+    return ids
+
+
+def encode_words(words: pa.ListArray, known: dict[str, list[int]], ranks: dict[bytes, int]) -> pa.ListArray:
+    """Ids of each document from its list of words; every distinct word is merged once."""
+    bounds = words.offsets.to_numpy() - words.offsets[0].as_py()
+    distinct = words.flatten().dictionary_encode()
+    spelled = []
+    for word in distinct.dictionary.to_pylist():
+        if (ids := known.get(word)) is None:
+            ids = known[word] = merged(word.encode(), ranks)
+        spelled.append(ids)
+    sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
+    flat = np.fromiter((i for ids in spelled for i in ids), np.int32, int(sizes.sum()))
+    place = distinct.indices.to_numpy()
+    counts = sizes[place] if len(place) else np.zeros(0, np.int64)
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    starts = (np.cumsum(sizes) - sizes)[place] if len(place) else counts
+    ids = flat[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], counts)]
+    return pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(ids, pa.int32()))
 
 
 def encode(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", ranks_path: str | None = None,
-    pattern: str = public_tokenizers.PATTERN, frequent: int = FREQUENT_WORDS,
+    pattern: str = public_tokenizers.PATTERN,
 ) -> DataFrame:
     """``id, ids``: token ids of each whole text, without special tokens.
 
-    Texts are split by ``pattern`` and each match is encoded by itself. Distinct words that are frequent
-    in all texts, at most ``frequent`` of them, are folded once and become a literal map; every other
-    word is folded where it stands, by the same expression. No text is shuffled. Null and empty texts
-    have no ids; repeated rows are encoded each; other columns are ignored; an empty table gives no rows.
+    Spark splits each text by ``pattern``; every match is encoded by itself. Tasks merge each distinct
+    word of their documents once and spread the ids over its places. No text is shuffled. Null and empty
+    texts have no ids; repeated rows are encoded each; other columns are ignored; an empty table gives no
+    rows.
     """
     ranks = read_ranks(ranks_path or public_tokenizers.path(RANK_FILE))
-    rank_of = literal_map(docs.sparkSession, {piece.hex().upper(): str(rank) for piece, rank in ranks.items()})
-    rows = docs.select(
-        F.col(id_column).alias("id"),
-        F.regexp_extract_all(F.coalesce(F.col(text_column), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0)).alias("words"),
-    )
-    top = frequent_words(rows.select(F.explode("words").alias("word")), frequent)
-    spelled = top.select("word", merged_ids(F.col("word"), rank_of).alias("ids")).collect()
-    known = literal_map(docs.sparkSession, {r["word"]: r["ids"] for r in spelled})
-    joined = F.array_join(F.transform("words", lambda w: F.coalesce(known(w), merged_ids(w, rank_of))), ",")
-    return rows.select("id", joined.alias("joined")).select(
-        "id", F.when(F.col("joined") == "", F.array().cast("array<int>")).otherwise(
-            F.split("joined", ",").cast("array<int>")).alias("ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[int]] = {}
+        for batch in batches:
+            for lo in range(0, batch.num_rows, DOCS_AT_ONCE):
+                some = batch.slice(lo, DOCS_AT_ONCE)
+                if len(known) > CACHE:
+                    known.clear()
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), encode_words(some.column(1), known, ranks)], ["id", "ids"]
+                )
+
+    words = F.regexp_extract_all(
+        F.coalesce(F.col(text_column), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
+    rows = docs.select(F.col(id_column).alias("id"), words.alias("words"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>")
+
+
+def literal(spark: SparkSession, value: object, kind: str) -> Column:
+    """``value`` as one constant of a plan: a session variable, which the optimizer turns into a literal."""
+    name = f"llm_{uuid.uuid4().hex}"
+    row = spark.createDataFrame([(value,)], f"value {kind}")
+    spark.sql(f"DECLARE VARIABLE {name} {kind}")
+    spark.sql(f"SET VAR {name} = (SELECT value FROM {{row}})", row=row)
+    return F.expr(name)
 
 
 def decode(spark: SparkSession, ids: Column, ranks_path: str | None = None) -> Column:
