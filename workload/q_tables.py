@@ -6,7 +6,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from vocalake.operators import mutate as m
-from vocalake.operators.columns import complete
+from vocalake.operators.columns import complete, keep_valid
 from vocalake.operators.ids import assign_ids
 from vocalake.operators.validate import check_constraints, validate_reviews
 from vocalake.plans.migration import import_csv, run_migration, split_classified
@@ -215,6 +215,17 @@ DIRTY = """
                    CASE WHEN id%7<>0 THEN rating+CAST(id%4 AS INTEGER) END AS rating FROM reviews)"""
 
 
+@query("keep_valid_columns", sql("""
+SELECT id, place_id, CASE WHEN id%5<>0 THEN rating END AS rating, review_date_parsed FROM reviews"""))
+def _(spark, sf):
+    """Columns the table knows, in its types; what cannot be read in its type becomes null."""
+    raw = b.reviews(spark, sf).select(
+        F.col("id").cast("string"), F.lit("x").alias("stray"), "place_id",
+        F.when(F.col("id") % 5 != 0, F.col("rating").cast("string")).otherwise("five").alias("rating"),
+        F.col("review_date_parsed").cast("string"))
+    return keep_valid(raw, REVIEWS)
+
+
 @query("constraints_kept", sql(DIRTY + """
 SELECT * FROM dirty WHERE place_id IS NOT NULL AND (rating IS NULL OR rating BETWEEN 0 AND 5)"""))
 def _(spark, sf):
