@@ -35,6 +35,14 @@ def _(spark, sf):
     return b.documents(spark, sf).select("doc_id", F.md5(text.normalize_whitespace(spaced)).alias("text_md5"))
 
 
+@query("normalize_whitespace_exact", f"""
+SELECT doc_id, md5('fin 1⁄2 kg '||trim(regexp_replace(text, '{SPACE_CLASS}+', ' ', 'g'))) AS text_md5 FROM documents""")
+def _(spark, sf):
+    """Compatibility characters are composed as well: a ligature, a fraction, a unit."""
+    odd = F.concat(F.lit("\u00a0ﬁn ½ ㎏\u3000"), "text")
+    return b.documents(spark, sf).select("doc_id", F.md5(text.normalize_whitespace(odd, exact=True)).alias("text_md5"))
+
+
 FOLDED = f"regexp_replace(strip_accents(regexp_replace(lower(text), {STRIP}, '', 'g')), '[^\\x00-\\x7F]', '', 'g')"
 
 

@@ -101,6 +101,13 @@ def _(spark, sf):
     return merged.select("id", "place_id", "author", "text", "rating")
 
 
+@query("inserted_review_ids", sql(NEW_REVIEWS + "SELECT id, place_id, author, text FROM fresh"))
+def _(spark, sf):
+    """The rows an insert adds, with the ids they get."""
+    fresh = m.new_reviews(stored_reviews(spark, sf), raw_reviews(spark, sf), NOW, ["line"])
+    return fresh.select("id", "place_id", "author", "text")
+
+
 @query("assign_ids", """
 SELECT event_id, 1000+row_number() OVER (ORDER BY user_id, ts, event_id) AS id FROM events""")
 def _(spark, sf):
