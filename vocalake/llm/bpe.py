@@ -1,8 +1,8 @@
 """Byte-level BPE: ranked merges folded over the bytes of distinct words, and ids back to bytes."""
 from __future__ import annotations
 
+import hashlib
 import heapq
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,10 +104,13 @@ def encode(
 
 
 def literal(spark: SparkSession, value: object, kind: str) -> Column:
-    """``value`` as one constant of a plan: a session variable, which the optimizer turns into a literal."""
-    name = f"llm_{uuid.uuid4().hex}"
+    """``value`` as one constant of a plan: a session variable, which the optimizer turns into a literal.
+
+    Equal values share one variable of the session.
+    """
+    name = f"llm_{hashlib.md5(repr(value).encode()).hexdigest()}"
     row = spark.createDataFrame([(value,)], f"value {kind}")
-    spark.sql(f"DECLARE VARIABLE {name} {kind}")
+    spark.sql(f"DECLARE OR REPLACE VARIABLE {name} {kind}")
     spark.sql(f"SET VAR {name} = (SELECT value FROM {{row}})", row=row)
     return F.expr(name)
 
