@@ -5,7 +5,7 @@ from datetime import date
 
 from pyspark.sql import functions as F, types as T
 
-from vocalake.operators.columns import conform, detect_column, normalize_column_names
+from vocalake.operators.columns import conform, normalize_column_names
 from vocalake.operators.joins import reviews_full, with_sentiment
 from vocalake.plans.dashboard import collection_stats
 from vocalake.plans.rollups import rollup_table

@@ -326,7 +326,8 @@ def _(spark, sf):
     return wide.select("review_id", *[F.col(f"`{c}`") for c in CATEGORIES])
 
 
-@query("flags_from_wide", sql("SELECT review_id, " + ", ".join(FLAG_COLUMNS) + " FROM flags WHERE review_id IN (SELECT id FROM reviews WHERE rating>2)"))
+@query("flags_from_wide", sql(
+    "SELECT review_id, " + ", ".join(FLAG_COLUMNS) + " FROM flags WHERE review_id IN (SELECT id FROM reviews WHERE rating>2)"))
 def _(spark, sf):
     wide = b.flags(spark, sf).select("review_id", *[
         F.when(F.col(c) == 1, "1.0").alias(CATEGORY_COLUMNS[c]) for c in FLAG_COLUMNS])
