@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, fold_of
 
-SAMPLE_PER_LABEL = 1_000
+SAMPLE_PER_LABEL = 600
 MAX_FEATURES = 4_096
 MIN_CONTEXTS = 3
 MIN_ASSOCIATION = 15.0
@@ -27,10 +27,13 @@ WORD = re.compile(r"[^\W_]+")
 SPANS = "array<struct<start:long,end:long,probability:double>>"
 
 
+PREFIXES = range(3, 8)
+
+
 def features(word: str) -> list[str]:
     """The word itself and its proper prefixes of three to seven letters, lower-cased."""
     word = word.lower()
-    return ["=" + word] + [word[:k] for k in range(3, min(8, len(word)))]
+    return ["=" + word] + [word[:k] for k in PREFIXES if k < len(word)]
 
 
 @dataclass
@@ -90,24 +93,36 @@ def choose_features(toxic: list[list[str]], clean: list[list[str]]) -> dict[str,
     Each distinct context (a word with its neighbours) counts once per class, so copies of a document
     add nothing. A feature needs MIN_CONTEXTS toxic contexts and a likelihood ratio of MIN_ASSOCIATION.
     """
-    def counted(documents: list[list[str]], wanted: Counter | None) -> tuple[Counter, int]:
+    def contexts_of(documents: list[list[str]]) -> tuple[Counter, int]:
+        """Distinct contexts of each lower-cased word, and of all words."""
         seen: set[int] = set()
         counts: Counter = Counter()
         for words in documents:
             for context in zip(["", *words], words, [*words[1:], ""]):
-                key = hash(context)
-                if key in seen:
-                    continue
-                seen.add(key)
-                counts.update(f for f in features(context[1]) if wanted is None or f in wanted)
+                if (key := hash(context)) not in seen:
+                    seen.add(key)
+                    counts[context[1].lower()] += 1
         return counts, len(seen)
 
-    bad, n_bad = counted(toxic, None)
-    bad = Counter({f: n for f, n in bad.items() if n >= MIN_CONTEXTS})
-    good, n_good = counted(clean, bad)
+    def of_length(words: Counter, k: int, least: int) -> dict[str, int]:
+        """Contexts of the features of one kind, whole words (0) or prefixes, that have ``least``."""
+        counts: Counter = Counter()
+        for word, n in words.items():
+            if not k:
+                counts["=" + word] += n
+            elif k < len(word):
+                counts[word[:k]] += n
+        return {f: n for f, n in counts.items() if n >= least}
+
+    (bad_words, n_bad), (good_words, n_good) = contexts_of(toxic), contexts_of(clean)
+    bad, good = {}, {}
+    for k in (0, *PREFIXES):  # one kind at a time, which bounds the memory
+        kind = of_length(bad_words, k, MIN_CONTEXTS)
+        bad.update(kind)
+        good.update((f, n) for f, n in of_length(good_words, k, 1).items() if f in kind)
     found = {}
     for feature, a in bad.items():
-        b = good[feature]
+        b = good.get(feature, 0)
         share = n_bad / max(1, n_bad + n_good)
         expected_a, expected_b = (a + b) * share, (a + b) * (1 - share)
         ratio = 2 * (a * math.log(a / expected_a) + (b * math.log(b / expected_b) if b else 0.0))
