@@ -10,7 +10,7 @@ WINDOW = 3
 def window_keys(lines: Column, window: int = WINDOW) -> Column:
     """128-bit keys of all windows, in order; null where every line of a window is blank."""
     def key(start: Column) -> Column:
-        passage = F.array_join(F.slice(lines, start + 1, window), "\n")
+        passage = F.array_join(F.array(*[F.get(lines, start + i) for i in range(window)]), "\n")
         return F.when(F.length(F.btrim(passage, F.lit(" \t\r\n\f\x0b"))) > 0, F.unhex(F.md5(passage)))
 
     return F.when(
