@@ -233,7 +233,9 @@ def test_secret_query_against_brute_force(spark, data, texts):
 
 def test_base_spans_of_made_up_texts():
     rng = random.Random(2)
-    words = ["token", "TOKEN", "ToKen", "api_key", "apikey", "password", "=", ":", " ", '"', "'", "AKIA", "AKIAAKIA", "0123456789abcdef", "ab", "Ab1", "é", "K", "ſecret", "secret=", "==", "/+"]
+    words = [
+        "token", "TOKEN", "ToKen", "api_key", "apikey", "password", "=", ":", " ", '"', "'", "AKIA", "AKIAAKIA",
+        "0123456789abcdef", "ab", "Ab1", "é", "K", "ſecret", "secret=", "==", "/+"]
     for _ in range(3000):
         text = "".join(rng.choice(words) for _ in range(rng.randrange(0, 14)))
         assert [s for s in secrets.scan(text) if s[0] in secrets.BASE_KINDS] == brute_base(text)
