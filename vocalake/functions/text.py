@@ -51,6 +51,21 @@ _FOLD_FROM, _FOLD_TO = _latin_fold_table()
 _EXPANDING = _expanding_fold_table()
 
 
+def _covering_class(gap: int = 8) -> str:
+    """Ranges that hold every character whose lower case expands, and some more."""
+    codes = [c for c in range(0xA0, 0x10000) if not 0xD800 <= c < 0xE000 and chr(c).lower() in _EXPANDING]
+    ranges = []
+    for code in codes:
+        if ranges and code - ranges[-1][1] <= gap:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "".join(f"\\u{low:04x}-\\u{high:04x}" for low, high in ranges)
+
+
+_EXPANDING_CLASS = _covering_class()
+
+
 def strip(col: Column) -> Column:
     """Trim every Unicode white-space character, not only the blank."""
     return F.btrim(col, F.lit(WHITESPACE))
@@ -91,6 +106,10 @@ def fold_latin(col: Column) -> Column:
     return F.translate(col, _FOLD_FROM, _FOLD_TO)
 
 
+def _ascii_only(text: Column) -> Column:
+    return F.regexp_replace(fold_latin(text), r"[^\x00-\x7f]", "")
+
+
 def fold_ascii(col: Column, exact: bool = False) -> Column:
     """Lower, trim, strip accents and drop what is not ASCII; null becomes "".
 
@@ -104,8 +123,9 @@ def fold_ascii(col: Column, exact: bool = False) -> Column:
     expanded = lowered
     for char, letters in _EXPANDING.items():
         expanded = F.replace(expanded, F.lit(char), F.lit(letters))
-    lowered = F.when(lowered.rlike(f"[{''.join(_EXPANDING)}]"), expanded).otherwise(lowered)
-    return F.regexp_replace(fold_latin(lowered), r"[^\x00-\x7f]", "")
+    # The rare texts with such characters take the long way; the test reads the text as it is.
+    expanding = (F.octet_length(text) != F.char_length(text)) & text.rlike(f"[{_EXPANDING_CLASS}]")
+    return F.when(expanding, _ascii_only(expanded)).otherwise(_ascii_only(lowered))
 
 
 def fold_marks(col: Column, exact: bool = False) -> Column:
