@@ -11,6 +11,9 @@ from vocalake.llm.near_dedup import near_components
 from vocalake.llm.packing import pack, token_pieces
 from vocalake.llm.secrets import mask_secrets
 
+#: Similarity of word shingles from which the pipeline takes documents for near copies; op8's own is 85.
+NEAR_PERCENT = 80
+
 
 def with_text(docs: DataFrame, text) -> DataFrame:
     """``docs`` with the text replaced and its length counted anew."""
@@ -31,7 +34,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each near-duplicate component."""
-    kept = near_components(docs).filter("kept").select(F.col("id").alias("kept_id")).distinct()
+    kept = near_components(docs, percent=NEAR_PERCENT).filter("kept").select(F.col("id").alias("kept_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 

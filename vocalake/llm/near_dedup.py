@@ -1,7 +1,9 @@
 """Near-duplicate components by banded MinHash, odd sketches and confirmation on full shingle sets."""
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,17 +15,29 @@ from .common import stored
 from .components import connected
 
 SHINGLE = 5
-BANDS = 20
 ROWS = 4
+MISS = 4e-7
 SAMPLE = 1_024
 SKETCH_BITS = 2_048
 PERCENT = 85
 CACHE = 200_000
 SHINGLES_AT_ONCE = 50_000
 
-# Odd 64-bit multipliers: one to mix bits, and one per MinHash row.
+# An odd 64-bit multiplier to mix bits.
 MIX = np.uint64(0x9E3779B97F4A7C15)
-ROW_FACTORS = np.random.default_rng(20_240_601).integers(1, 2 ** 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_count(percent: int) -> int:
+    """The fewest bands of ROWS rows that a pair of exactly ``percent`` misses with a probability of MISS or less."""
+    miss = 1 - (percent / 100) ** ROWS
+    return math.ceil(math.log(MISS) / math.log(miss)) if miss > 0 else 1
+
+
+@lru_cache
+def row_factors(bands: int) -> np.ndarray:
+    """Odd 64-bit multipliers, one per MinHash row; more bands only add to them."""
+    draws = np.random.default_rng(20_240_601).integers(1, 2 ** 63, bands * ROWS, np.uint64)
+    return draws * np.uint64(2) + np.uint64(1)
 
 
 class WordHashes(dict):
@@ -60,13 +74,14 @@ def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.unique(mixed(value))
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
+def band_keys(shingles: np.ndarray, bands: int) -> np.ndarray:
     """One key per band of MinHash rows; equal rows give equal keys, and bands never share a key."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    factors = row_factors(bands)
+    least = np.full(bands * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for lo in range(0, len(shingles), SHINGLES_AT_ONCE):
-        least = np.minimum(least, (shingles[lo:lo + SHINGLES_AT_ONCE, None] * ROW_FACTORS).min(0))
-    rows = least.reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+        least = np.minimum(least, (shingles[lo:lo + SHINGLES_AT_ONCE, None] * factors).min(0))
+    rows = least.reshape(bands, ROWS)
+    key = np.arange(1, bands + 1, dtype=np.uint64)
     for i in range(ROWS):
         key = mixed(key) + rows[:, i]
     return mixed(key).view(np.int64)
@@ -91,8 +106,10 @@ def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
-def signatures(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def signatures(docs: DataFrame, id_column: str, text_column: str, percent: int) -> DataFrame:
     """``id, n, digest, bands, sketch`` of each document; no bands and no sketch for empty sets."""
+    count = band_count(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         none = np.empty(0, np.int64)
@@ -102,7 +119,7 @@ def signatures(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
                 found = shingle_set(value.as_py(), hashes)
                 sizes.append(len(found))
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
-                bands.append(band_keys(found) if len(found) else none)
+                bands.append(band_keys(found, count) if len(found) else none)
                 sketches.append(odd_sketch(found) if len(found) else none)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
@@ -167,14 +184,15 @@ def near_components(
     still hold several components, every member outside the largest one is compared with all members of
     other components. That leaves no candidate between components unseen, while members of one component
     are not paired again. Odd sketches rule candidates out before full sets are fetched; each link is
-    confirmed on full sets. A pair of exactly 85 % shares no band with a probability below 10^-6.
+    confirmed on full sets. The bands follow from ``percent`` (20 at 85, 28 at 80): a pair of exactly
+    that similarity shares no band with a probability below 10^-6.
 
     The smallest id reachable names the component and is kept. Null and empty texts have no shingles, link
     with nothing and are their own component. Rows without an id get a null component and are kept; rows
     that repeat an id are one node and get the same component. Other columns are ignored; an empty table
     gives no rows.
     """
-    signed = stored(signatures(docs, id_column, text_column))
+    signed = stored(signatures(docs, id_column, text_column, percent))
     solid = signed.filter("n > 0 AND id IS NOT NULL")
     classes = stored(solid.groupBy("digest", "n").agg(F.min("id").alias("class_id")))
     heads = stored(
