@@ -45,6 +45,22 @@ def test_few_and_no_candidates(spark):
     assert topk.top_k(table(spark, []), F.col("vec_id") % 7 == 0).count() == 0
 
 
+def test_query_ids_repeated_more_than_k_times(spark):
+    rng = np.random.default_rng(3)
+    near = [(i, [float(np.float32(x)) for x in 4 + rng.normal(0, 0.3, 4)]) for i in range(1, 40)]
+    far = [(i, [float(np.float32(x)) for x in -4 + rng.normal(0, 0.3, 4)]) for i in range(51, 90)]
+    for twins in ([(50, [4.0] * 4)] * 6, [(50, [4.0] * 4)] * 40, [(50, [40.0] * 4)] * 9):
+        rows = near + far + twins
+        got = topk.top_k(table(spark, rows), F.col("vec_id") == 50, k=5, pivots=4, block_rows=20)
+        assert sorted(map(tuple, got.collect())) == brute(rows, lambda i: i == 50, 5)
+
+
+def test_cells_that_hold_only_repeated_ids_are_visited(spark):
+    rows = [(1, [9.0, 0.0]), (1, [0.0, 9.0]), (2, [9.0, 0.0]), (3, [9.0, 0.5]), (50, [0.0, 1.0])]
+    got = topk.top_k(table(spark, rows), F.col("vec_id") == 50, k=1, pivots=3)
+    assert sorted(map(tuple, got.collect())) == brute(rows, lambda i: i == 50, 1)
+
+
 def test_large_components_stay_exact(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 1, 3) * 50_000]) for i in range(60)]

@@ -76,7 +76,8 @@ def reach(queries: np.ndarray, pivots: np.ndarray, radius: np.ndarray, nearest:
     """Least score of a place among the k best, and upper bounds of the scores in each cell, by query.
 
     By Cauchy-Schwarz a vector at distance r from its pivot scores within |q| r of the pivot's score.
-    ``nearest`` holds each cell's smallest distances; k + 1 lower bounds from them cover the query itself.
+    ``nearest`` holds each cell's smallest distances, one row per id over all cells; so of k + 1 lower bounds
+    at most one is the query's own.
     """
     at_pivot = queries @ pivots.T
     norm = np.sqrt((queries ** 2).sum(1))[:, None]
@@ -147,7 +148,7 @@ def top_k(
 
     ``is_query`` is a condition on the id column; candidates are all rows of another id. Vectors and
     queries are grouped by their nearest of a bounded number of pivots. Summaries of the cells (size,
-    radius, smallest distances) bound each query's scores from below and above, and a query is sent only
+    radius, smallest distances of distinct ids) bound each query's scores from below and above, and a query is sent only
     to cells that can hold one of its k best. Cells and query groups are cut into blocks of bounded size
     by a hash, so a hot cell is many tasks; each block of data meets each chunk of queries that needs it
     in one local product, and the blocks' winners are ranked by query.
@@ -163,15 +164,16 @@ def top_k(
     kind = rows.schema["id"].dataType.simpleString()
     data = stored(with_cells(rows, centres))
     place = F.row_number().over(Window.partitionBy("cell", "part").orderBy("distance"))
-    spread = data.select("cell", "distance", F.pmod(F.xxhash64("id"), F.lit(PARTS)).alias("part"))
+    once = data.groupBy("id").agg(F.min(F.struct("distance", "cell")).alias("row")).select("id", "row.*")
+    spread = once.select("cell", "distance", F.pmod(F.xxhash64("id"), F.lit(PARTS)).alias("part"))
     near = spread.withColumn("place", place).filter(F.col("place") <= k + 1).groupBy("cell").agg(
         F.slice(F.array_sort(F.collect_list("distance")), 1, k + 1).alias("near")
     )
     sizes_of = data.groupBy("cell").agg(F.count("*").alias("n"), F.max("distance").alias("radius"))
-    summary = sizes_of.join(near, "cell").collect()
+    summary = sizes_of.join(near, "cell", "left").collect()
     cells = {r["cell"]: r for r in summary}
     radius = np.array([cells[j]["radius"] if j in cells else -np.inf for j in range(len(centres))])
-    nearest = [np.array(cells[j]["near"] if j in cells else []) for j in range(len(centres))]
+    nearest = [np.array((cells[j]["near"] or []) if j in cells else []) for j in range(len(centres))]
     blocks = {j: math.ceil(r["n"] / block_rows) for j, r in cells.items()}
 
     asked = data.withColumnRenamed("id", id_column).filter(is_query).withColumnRenamed(id_column, "id").dropDuplicates(["id"])
