@@ -26,7 +26,7 @@ def expected(spark, data):
     rejected = docs.count() - len(rows)
     cleaned = brute_lines([t for _, t in rows])
     rows = [(rows[i][0], text) for i, _, _, text in cleaned]
-    kept = [c[3] for c in brute_components([t for _, t in rows])]
+    kept = [c[3] for c in brute_components([t for _, t in rows], corpus_pipeline.NEAR_PERCENT)]
     rows = [row for row, stays in zip(rows, kept) if stays]
     rows = [(i, secrets.masked(t, secrets.scan(t))) for i, t in rows]
     encoding, _ = load_encoding(public_tokenizers.path(tokens.RANK_FILE))
@@ -70,6 +70,6 @@ def test_stages_on_awkward_and_empty_documents(spark, data):
 
 def test_entry_point_lists_the_queries():
     names = __spark_entry__.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert [name for name in names if name.startswith(f"op{n}_")], n
     assert "pipeline" in names and corpus_pipeline.ORACLE_SQL is None

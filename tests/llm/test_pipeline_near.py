@@ -1,15 +1,12 @@
 """The pipeline's near copies: documents whose word shingles agree to 80 % or more."""
 import random
-import zlib
+import subprocess
+import sys
 
-import numpy as np
-import public_tokenizers
-
-import __spark_entry__
 import corpus_pipeline
 from helpers import docs_of, near_texts
-from test_dedup import brute_components, brute_lines
-from vocalake.llm import near_dedup, secrets, tokens, toxicity
+from test_dedup import brute_components
+from vocalake.llm import near_dedup
 
 
 def test_stage_drops_copies_between_80_and_85_percent(spark, data):
@@ -34,19 +31,12 @@ def test_bands_follow_from_the_similarity():
     assert (near_dedup.row_factors(28)[:80] == near_dedup.row_factors(20)).all()
 
 
-def test_pipeline_equals_plain_python_at_80_percent(spark, data):
-    docs = spark.read.parquet(f"{data}/documents.parquet")
-    field = toxicity.train_on(docs, spark.read.parquet(f"{data}/labels.parquet"))
-    table = field.potentials()
-    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
-    rows = [(i, t) for i, t in rows if field.score(field.evidence(toxicity.WORD.findall(t), table)[0]) < toxicity.REJECT]
-    rows = [(rows[i][0], text) for i, _, _, text in brute_lines([t for _, t in rows])]
-    rows = [row for row, c in zip(rows, brute_components([t for _, t in rows], 80)) if c[3]]
-    encoding, _ = tokens.load_encoding(public_tokenizers.path(tokens.RANK_FILE))
-    pieces = []
-    for i, t in rows:
-        ids = np.array(encoding.encode_ordinary(secrets.masked(t, secrets.scan(t))) + [0], "<u4")
-        cuts = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)] if len(ids) > 2048 else [0, len(ids)]
-        pieces += [(i, p, a, b - a, zlib.crc32(ids[a:b].tobytes())) for p, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-    found = __spark_entry__.queries()["pipeline"](spark, data).collect()
-    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found) == sorted(pieces)
+def test_workers_need_no_copy_of_the_package():
+    """Whatever a task calls travels by value, so nothing in it may be pickled by its name."""
+    from pyspark import cloudpickle
+
+    factors = near_dedup.row_factors(near_dedup.band_count(80))
+    payload = cloudpickle.dumps(lambda text: near_dedup.band_keys(near_dedup.shingle_set(text, near_dedup.WordHashes()), factors))
+    code = "import pickle, sys; f = pickle.loads(sys.stdin.buffer.read()); print(len(f('a b c d e f')), 'vocalake' in sys.modules)"
+    ran = subprocess.run([sys.executable, "-c", code], input=payload, capture_output=True, cwd="/")
+    assert ran.stdout.split() == [b"28", b"False"], ran.stderr.decode()

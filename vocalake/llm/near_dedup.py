@@ -3,7 +3,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,6 @@ def band_count(percent: int) -> int:
     return math.ceil(math.log(MISS) / math.log(miss)) if miss > 0 else 1
 
 
-@lru_cache
 def row_factors(bands: int) -> np.ndarray:
     """Odd 64-bit multipliers, one per MinHash row; more bands only add to them."""
     draws = np.random.default_rng(20_240_601).integers(1, 2 ** 63, bands * ROWS, np.uint64)
@@ -74,10 +72,10 @@ def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.unique(mixed(value))
 
 
-def band_keys(shingles: np.ndarray, bands: int) -> np.ndarray:
+def band_keys(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """One key per band of MinHash rows; equal rows give equal keys, and bands never share a key."""
-    factors = row_factors(bands)
-    least = np.full(bands * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    bands = len(factors) // ROWS
+    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
     for lo in range(0, len(shingles), SHINGLES_AT_ONCE):
         least = np.minimum(least, (shingles[lo:lo + SHINGLES_AT_ONCE, None] * factors).min(0))
     rows = least.reshape(bands, ROWS)
@@ -108,7 +106,7 @@ def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
 
 def signatures(docs: DataFrame, id_column: str, text_column: str, percent: int) -> DataFrame:
     """``id, n, digest, bands, sketch`` of each document; no bands and no sketch for empty sets."""
-    count = band_count(percent)
+    factors = row_factors(band_count(percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -119,7 +117,7 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, percent: int)
                 found = shingle_set(value.as_py(), hashes)
                 sizes.append(len(found))
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
-                bands.append(band_keys(found, count) if len(found) else none)
+                bands.append(band_keys(found, factors) if len(found) else none)
                 sketches.append(odd_sketch(found) if len(found) else none)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
@@ -184,7 +182,7 @@ def near_components(
     still hold several components, every member outside the largest one is compared with all members of
     other components. That leaves no candidate between components unseen, while members of one component
     are not paired again. Odd sketches rule candidates out before full sets are fetched; each link is
-    confirmed on full sets. The bands follow from ``percent`` (20 at 85, 28 at 80): a pair of exactly
+    confirmed on full sets of 64-bit shingle hashes. The bands follow from ``percent`` (20 at 85, 28 at 80): a pair of exactly
     that similarity shares no band with a probability below 10^-6.
 
     The smallest id reachable names the component and is kept. Null and empty texts have no shingles, link
@@ -213,9 +211,7 @@ def near_components(
             may_link(F.col("a_n"), F.col("a_sketch"), F.col("b_n"), F.col("b_sketch"), percent)
         ).select("a", "b")
 
-    hubs = stored(
-        members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key").alias("order"), "id")).alias("hub"))
-    )
+    hubs = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key").alias("order"), "id")).alias("hub"))
     to_hub = members.join(hubs, "key").filter("id <> hub.id").select(
         F.col("hub.id").alias("a"), F.col("id").alias("b")
     ).distinct()
@@ -226,9 +222,9 @@ def near_components(
         "key", "id", F.coalesce("component", "id").alias("component")
     )
     shares = placed.groupBy("key", "component").agg(F.count("*").alias("members"))
-    mixed_keys = stored(shares.groupBy("key").agg(
+    mixed_keys = shares.groupBy("key").agg(
         F.max_by("component", F.struct("members", "component")).alias("main"), F.count("*").alias("components")
-    ).filter("components > 1").select("key", "main"))
+    ).filter("components > 1").select("key", "main")
     open_members = stored(placed.join(mixed_keys, "key").join(traits, "id"))
     stray = open_members.filter("component <> main").select(
         "key", *[F.col(c).alias(f"stray_{c}") for c in ("id", "component", "n", "sketch")]
