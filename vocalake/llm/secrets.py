@@ -25,7 +25,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 SIGNED = re.compile(r"(?<![\w.-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*", re.ASCII)
 ENCODED = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}={0,2}")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
+URL_ENCODED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{32,}={0,2}")
+# The first letters of a sequence with a long length, and of the magic word of key files.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:MI|b3BlbnNzaC1rZXktdjE)(?=[A-Za-z0-9+/_-]{30})")
+CHUNK = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+BREAK = re.compile(r"(?:\r?\n|(?:\\r)?\\n)[ \t]*")
+HEADER = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}?PRIVATE KEY)-----")
+LARGEST_KEY = 16_384
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 SSH_MAGIC = b"openssh-key-v1\0"
 
@@ -61,7 +67,8 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
 def is_der_key(data: bytes) -> bool:
     """Whether ``data`` is one sequence in the layout of a private key.
 
-    That is version, algorithm, octets; version and eight integers; or version, octets and tagged parts.
+    That is version, algorithm, octets; version and eight integers; version and five integers, the first
+    a prime of 512 bits or more; or version, octets and tagged parts.
     """
     outer = der_items(data)
     if not outer or len(outer) != 1 or outer[0][0] != 0x30:
@@ -75,6 +82,8 @@ def is_der_key(data: bytes) -> bool:
         return bool(algorithm) and algorithm[0][0] == 0x06
     if tags[1] == 0x04:
         return all(tag in (0xA0, 0xA1) for tag in tags[2:]) and all(der_items(part) for _, part in items[2:])
+    if len(tags) == 6 and set(tags) == {0x02}:
+        return len(items[1][1]) >= 64 and 16 <= len(items[2][1]) <= 65 and all(part for _, part in items)
     return len(tags) >= 9 and set(tags[:9]) == {0x02} and all(part for _, part in items[:9])
 
 
@@ -93,6 +102,76 @@ def is_ssh_key(data: bytes) -> bool:
     return at + 4 <= len(data) and int.from_bytes(data[at:at + 4], "big") >= 1
 
 
+def key_size(data: bytes) -> int | None:
+    """Bytes of the key at the start of ``data`` by its own lengths, or None where it names no length."""
+    if data.startswith(SSH_MAGIC):
+        at = len(SSH_MAGIC)
+        fields = 3
+        while fields and at + 4 <= len(data):
+            at += 4 + int.from_bytes(data[at:at + 4], "big")
+            fields -= 1
+        fields = int.from_bytes(data[at:at + 4], "big") + 1
+        at += 4
+        while 0 < fields <= 16 and at + 4 <= len(data):
+            at += 4 + int.from_bytes(data[at:at + 4], "big")
+            fields -= 1
+        return None if fields else at
+    if len(data) < 4 or data[0] != 0x30 or data[1] not in (0x81, 0x82):
+        return None
+    width = data[1] & 0x7F
+    return 2 + width + int.from_bytes(data[2:2 + width], "big")
+
+
+def wrapped_key(text: str, start: int) -> tuple[str, int] | None:
+    """Kind and end of a key whose base64 begins at ``start`` and runs on over line breaks.
+
+    The key's own lengths tell how many letters belong to it, so what follows does not matter. At most
+    LARGEST_KEY bytes are read.
+    """
+    letters, ends, at, count = [], [], start, 0
+    while count * 3 < LARGEST_KEY * 4 and (chunk := CHUNK.match(text, at)):
+        letters.append(chunk[0].rstrip("="))
+        ends.append((count, chunk.start()))
+        count += len(letters[-1])
+        gap = None if chunk[0].endswith("=") else BREAK.match(text, chunk.end())
+        if not gap:
+            break
+        at = gap.end()
+    if len(letters) < 2:
+        return None
+    joined = "".join(letters)
+    size = key_size(unbase64(joined[:len(joined) - len(joined) % 4]))
+    if size is None or size > LARGEST_KEY or (needed := -(-size * 4 // 3)) > len(joined):
+        return None
+    kind = key_kind(unbase64(joined[:needed]))
+    if not kind:
+        return None
+    before, place = next(pair for pair in reversed(ends) if pair[0] < needed)
+    end = place + needed - before
+    while text[end:end + 1] == "=":
+        end += 1
+    return kind, end
+
+
+def armoured_keys(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of armoured blocks whose body is a private key.
+
+    Line breaks may be escaped as in JSON. A block ends at the next five dashes, which must be its own
+    footer; so every letter is looked at once, however many headers stay open.
+    """
+    for header in HEADER.finditer(text):
+        footer = f"-----END {header[1]}-----"
+        close = text.find("-----", header.end())
+        if close < 0:
+            return
+        if not text.startswith(footer, close):
+            continue
+        body = text[header.end():close].replace("\\r", "").replace("\\n", "\n")
+        data = unbase64("".join(line.strip() for line in body.splitlines() if ":" not in line))
+        if key_kind(data) or ("ENCRYPTED" in header[1] or "ENCRYPTED" in body) and len(data) >= 32:
+            yield header.start(), close + len(footer)
+
+
 def is_signed_token(text: str) -> bool:
     """Whether header and claims are JSON objects and the header names its algorithm."""
     header, claims, _ = text.split(".")
@@ -119,18 +198,18 @@ def scan(text: str) -> list[tuple[str, int, int]]:
         spans += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
     spans += [("hex", *m.span()) for m in HEX.finditer(text)]
     spans += [("jwt", *m.span()) for m in SIGNED.finditer(text) if is_signed_token(m[0])]
-    for m in ENCODED.finditer(text):
-        if kind := key_kind(unbase64(m[0])):
-            spans.append((kind, *m.span()))
+    for pattern in (ENCODED, URL_ENCODED):
+        for m in pattern.finditer(text):
+            if kind := key_kind(unbase64(m[0])):
+                spans.append((kind, *m.span()))
+    for m in WRAPPED.finditer(text):
+        if found := wrapped_key(text, m.start()):
+            spans.append((found[0], m.start(), found[1]))
     for m in HEX_KEY.finditer(text):
         if kind := key_kind(bytes.fromhex(m[0])):
             spans.append((kind, *m.span()))
     if "-----BEGIN " in text:
-        for m in ARMOUR.finditer(text):
-            body = [line.strip() for line in m[2].splitlines() if ":" not in line]
-            data = unbase64("".join(body))
-            if key_kind(data) or "ENCRYPTED" in m[0] and len(data) >= 32:
-                spans.append(("pem", *m.span()))
+        spans += [("pem", *span) for span in armoured_keys(text)]
     return sorted(set(spans), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -148,9 +227,10 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """One row per input row: ``id`` and ``spans`` (kind, start, end in code points, end exclusive).
 
     Base kinds are the leftmost non-overlapping matches of three patterns. Added kinds are reported only
-    after their structure is confirmed: signed tokens whose header and claims are JSON, base64 or hex
-    runs that decode to a private key with consistent nested lengths, key files with length-prefixed
-    fields, armoured key blocks. Spans are ordered by start, then by kind as in KINDS.
+    after their structure is confirmed: signed tokens whose header and claims are JSON; base64, base64url
+    or hex runs that decode to a private key with consistent nested lengths, base64 also over line breaks;
+    key files with length-prefixed fields; armoured key blocks, with real or escaped line breaks. Spans
+    are ordered by start, then by kind as in KINDS.
 
     Null and empty texts have no spans; whole texts are scanned at any length; repeated rows are scanned
     each; other columns are ignored; an empty table gives no rows.
@@ -168,7 +248,11 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def mask_secrets(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """The input rows with every span of ``find_secrets`` in the text replaced by MASK, all columns kept."""
+    """The input rows with every span of ``find_secrets`` in the text replaced by MASK, all columns kept.
+
+    Null and empty texts stay as they are, repeated rows are masked alike, whole texts of any length are
+    scanned, an empty table gives no rows.
+    """
     place = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -291,7 +291,11 @@ def score_toxicity(docs: DataFrame, field: Field, id_column: str = "doc_id", tex
 
 
 def without_toxic(docs: DataFrame, field: Field, text_column: str = "text", reject: float = REJECT) -> DataFrame:
-    """The input rows, all columns kept, whose text scores below ``reject``."""
+    """The input rows, all columns kept, whose text scores below ``reject``.
+
+    Null and empty texts have the score of no evidence, repeated rows go or stay together, an empty
+    table gives no rows.
+    """
     place = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
