@@ -1,4 +1,5 @@
 """Operators on small fixtures: null rules, skew, failures, idempotence, plan shapes."""
+import json
 import sys
 from datetime import date, datetime
 
@@ -196,6 +197,41 @@ def test_add_region_two_polygons(spark, tmp_path):
         add_region(spark.createDataFrame([], "city string"), regions)
 
 
+def test_regions_of_several_parts_with_holes(spark, tmp_path):
+    def box(x0, y0, x1, y1):
+        return [[x0, y0, 9.0], [x1, y0, 9.0], [x1, y1, 9.0], [x0, y1, 9.0], [x0, y0, 9.0]]
+
+    shapes = {
+        "Parts": {"type": "MultiPolygon", "coordinates": [
+            [box(-8, 30, -7, 31), box(-7.75, 30.25, -7.25, 30.75)], [box(-7.6, 30.4, -7.4, 30.6)], [box(-3, 34, -2.5, 34.5)]]},
+        "Holed": {"type": "Polygon", "coordinates": [box(-6, 30, -5, 31), box(-5.9, 30.1, -5.4, 30.6)[::-1]]},
+        "Open": {"type": "Polygon", "coordinates": [box(-4, 30, -3, 31)[:-1]]},
+        "Mixed": {"type": "GeometryCollection", "geometries": [
+            {"type": "Point", "coordinates": [-10, 25]}, {"type": "Polygon", "coordinates": [box(-10, 24, -9, 25)]}]},
+        "Point": {"type": "Point", "coordinates": [-9, 22]}, "Empty": {"type": "MultiPolygon", "coordinates": []},
+        "Bad": {"type": "Polygon", "coordinates": [[[-9, 22], [-8, 22]]]}, "None": None,
+    }
+    features = [{"type": "Feature", "properties": {"name": n}, "geometry": g} for n, g in shapes.items()]
+    path = tmp_path / "parts.geojson"
+    path.write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    regions = read_regions(spark, str(path))
+    found = {r.region: (r.region_order, round(r.center.x, 9), round(r.center.y, 9)) for r in regions.collect()}
+    areas = [(1.0, -7.5, 30.5), (-.25, -7.5, 30.5), (.04, -7.5, 30.5), (.25, -2.75, 34.25)]
+    total = sum(a for a, _, _ in areas)
+    assert found == {
+        "Parts": (0, *(round(sum(a[0] * a[i] for a in areas) / total, 9) for i in (1, 2))),
+        "Holed": (1, round((-5.5 + .25 * 5.65) / .75, 9), round((30.5 - .25 * 30.35) / .75, 9)),
+        "Open": (2, -3.5, 30.5), "Mixed": (3, -9.5, 24.5),
+    }
+    points = [
+        (1, 30.1, -7.9, "Parts"), (2, 30.3, -7.7, None), (3, 30.5, -7.5, "Parts"), (4, 34.2, -2.8, "Parts"), (5, 30.3, -5.6, None),
+        (6, 30.8, -5.2, "Holed"), (7, 30.1, -5.65, None), (8, 30.5, -3.5, "Open"), (9, 24.5, -9.5, "Mixed"), (10, 30.5, -6.5, None),
+    ]
+    rows = spark.createDataFrame([p[:3] for p in points], "id int, lat double, lng double")
+    got = {r.id: r.region for r in region_by_point(rows, regions, nearest=False).collect()}
+    assert got == {p[0]: p[3] for p in points}
+
+
 # ------------------------------------------------------------------------------ rollups
 
 def test_rollups(spark):

@@ -1,4 +1,7 @@
-"""Planar geometry over a ring column: array<struct<x, y>>, first point repeated at the end."""
+"""Planar geometry over rings: array<struct<x, y>>, first point repeated at the end.
+
+A region is an array of rings, each with a mark that tells holes from outer rings.
+"""
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
@@ -26,26 +29,37 @@ def bounding_box(ring: Column) -> dict[str, Column]:
     }
 
 
+def closed(ring: Column) -> Column:
+    """The ring with its first point repeated at the end, unless it is already."""
+    first = F.get(ring, 0)
+    return F.when(first == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.array(first)))
+
+
+def all_edges(rings: Column) -> Column:
+    return F.flatten(F.transform(rings, lambda r: edges(r["points"])))
+
+
 def _cross(e: Column) -> Column:
     return e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]
 
 
-def centroid(ring: Column) -> Column:
-    """Area centroid by the shoelace sums."""
-    sums = F.aggregate(
-        edges(ring),
-        F.struct(F.lit(0.0).alias("area"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")),
+def centroid(rings: Column) -> Column:
+    """Area centroid by the shoelace sums of all rings; holes count negatively, whichever way a ring winds."""
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("area", "x", "y")])
+    sums = F.transform(rings, lambda r: F.aggregate(
+        edges(r["points"]), zero,
         lambda s, e: F.struct(
             (s["area"] + _cross(e)).alias("area"),
             (s["x"] + (e["a"]["x"] + e["b"]["x"]) * _cross(e)).alias("x"),
             (s["y"] + (e["a"]["y"] + e["b"]["y"]) * _cross(e)).alias("y"),
         ),
-        lambda s: F.struct(
-            (s["x"] / F.nullif(s["area"] * 3, F.lit(0.0))).alias("x"),
-            (s["y"] / F.nullif(s["area"] * 3, F.lit(0.0))).alias("y"),
-        ),
+        lambda s: F.struct(s["area"], s["x"], s["y"], F.when(r["hole"], -F.signum(s["area"])).otherwise(F.signum(s["area"])).alias("sign")),
+    ))
+    return F.aggregate(
+        sums, zero,
+        lambda t, s: F.struct(*[(t[n] + s["sign"] * s[n]).alias(n) for n in ("area", "x", "y")]),
+        lambda t: F.struct(*[(t[n] / F.nullif(t["area"] * 3, F.lit(0.0))).alias(n) for n in ("x", "y")]),
     )
-    return sums
 
 
 def _crosses_ray(e: Column, x: Column, y: Column) -> Column:
@@ -65,8 +79,7 @@ def _on_edge(e: Column, x: Column, y: Column) -> Column:
     )
 
 
-def contains_point(ring: Column, x: Column, y: Column) -> Column:
-    """Strict interior test: odd number of ray crossings and not on the boundary."""
-    sides = edges(ring)
+def contains_point(sides: Column, x: Column, y: Column) -> Column:
+    """Strict interior test over the edges of all rings: an odd number of crossings, not on a boundary."""
     crossings = F.size(F.filter(sides, lambda e: _crosses_ray(e, x, y)))
     return (crossings % 2 == 1) & ~F.exists(sides, lambda e: _on_edge(e, x, y))

@@ -42,12 +42,17 @@ def _cell(degrees: Column) -> Column:
 
 
 def region_cells(regions: DataFrame) -> DataFrame:
-    """One row per grid cell a polygon's bounding box touches, with the cell's polygons in file order."""
+    """One row per grid cell that the box of an outer ring touches, with the cell's regions in file order."""
     def span(low, high):
-        return F.explode(F.sequence(_cell(F.col(low)), _cell(F.col(high))))
-
-    cells = regions.withColumn("cell_x", span("min_x", "max_x")).withColumn("cell_y", span("min_y", "max_y"))
-    candidate = F.struct("region_order", "region", "ring", "min_x", "max_x", "min_y", "max_y")
+        return F.sequence(_cell(low), _cell(high))
+
+    touched = F.array_distinct(F.flatten(F.transform("boxes", lambda box: F.flatten(F.transform(
+        span(box["min_x"], box["max_x"]),
+        lambda x: F.transform(span(box["min_y"], box["max_y"]), lambda y: F.struct(x.alias("x"), y.alias("y"))),
+    )))))
+    cells = regions.withColumn("cell", F.explode(touched)).withColumns({
+        "cell_x": F.col("cell")["x"], "cell_y": F.col("cell")["y"]})
+    candidate = F.struct("region_order", "region", "edges", "min_x", "max_x", "min_y", "max_y")
     return cells.groupBy("cell_x", "cell_y").agg(F.sort_array(F.collect_list(candidate)).alias("candidates"))
 
 
@@ -88,7 +93,9 @@ def _nearest(centers: Column, lat: Column, lng: Column) -> Column:
 def region_by_point(
     df: DataFrame, regions: DataFrame, lat_col: str = "lat", lng_col: str = "lng", nearest: bool = True
 ) -> DataFrame:
-    """Add ``region``: the first polygon that contains the point, else the nearest centroid.
+    """Add ``region``: the first region that contains the point, else the nearest centroid.
+
+    A point inside a hole lies outside; any part of a multi-part region counts.
 
     Points meet polygons through an equi-join on a one-degree grid cell; a cell carries its
     few candidate polygons and nearest centroids as arrays, so no point is ever duplicated or
@@ -109,7 +116,7 @@ def region_by_point(
     inside = F.filter(
         F.col("candidates"),
         lambda c: lng.between(c["min_x"], c["max_x"]) & lat.between(c["min_y"], c["max_y"])
-        & contains_point(c["ring"], lng, lat),
+        & contains_point(c["edges"], lng, lat),
     )
     region = F.get(inside, 0)["region"]
     if nearest:

@@ -14,7 +14,7 @@ from vocalake.schemas import GAZETTEER
 from vocalake.sources.documents import (
     city_list, parse_place_payloads, parse_review_payloads, read_stored_lookup, write_lookup,
 )
-from vocalake.sources.regions import RING, describe_regions
+from vocalake.sources.regions import RING, describe_regions, read_regions
 
 from . import roles as b
 from .registry import query
@@ -94,6 +94,64 @@ def _(spark, sf):
     return add_region(dense_points(spark, sf), regions(spark)).select("place_id", "region")
 
 
+def _square(x0, y0, x1, y1, clockwise=False):
+    ring = [[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]]
+    return ring[::-1] if clockwise else ring
+
+
+# Every region gets a hole off its centre, every second one also a part to the east of it.
+PARTS = [
+    (i, name, (x0, y0, x1, y1), tuple(round(v, 2) for v in (x0 + 0.1, y0 + 0.1, x0 + 0.3, y0 + 0.4)),
+     tuple(round(v, 2) for v in (x1 + 0.06, y0 + 0.1, x1 + 0.18, y1 - 0.1)) if i % 2 == 0 else None)
+    for i, name, x0, y0, x1, y1 in RECTANGLES
+]
+
+
+def _feature(i, name, outer, hole, part):
+    first = [_square(*outer, clockwise=i % 3 == 0), _square(*hole, clockwise=i % 4 == 0)]
+    if part is None:
+        geometry = {"type": "Polygon", "coordinates": first}
+    elif i % 4 == 0:
+        geometry = {"type": "MultiPolygon", "coordinates": [first, [_square(*part)]]}
+    else:
+        geometry = {"type": "GeometryCollection", "geometries": [
+            {"type": "Polygon", "coordinates": first}, {"type": "Polygon", "coordinates": [_square(*part)]}]}
+    return {"type": "Feature", "properties": {"name": name}, "geometry": geometry}
+
+
+def _part_rows():
+    def box(corners):
+        return ",".join("NULL" if corners is None else f"{v}::DOUBLE" for v in corners or (0, 0, 0, 0))
+
+    return ", ".join(f"({i},{quoted(name)},{box(outer)},{box(hole)},{box(part)})" for i, name, outer, hole, part in PARTS)
+
+
+@query("region_parts_and_holes", sql(f"""
+, regs(o, name, x0, y0, x1, y1, hx0, hy0, hx1, hy1, px0, py0, px1, py1) AS (VALUES {_part_rows()}),
+weighed AS (
+  SELECT *, (x1-x0)*(y1-y0) AS a, (hx1-hx0)*(hy1-hy0) AS h, coalesce((px1-px0)*(py1-py0), 0) AS p FROM regs),
+centered AS (
+  SELECT *, ((x0+x1)/2*a-(hx0+hx1)/2*h+coalesce((px0+px1)/2, 0)*p)/(a-h+p) AS cx,
+         ((y0+y1)/2*a-(hy0+hy1)/2*h+coalesce((py0+py1)/2, 0)*p)/(a-h+p) AS cy FROM weighed),
+pts AS ({DENSE}),
+ok AS (SELECT * FROM pts WHERE lng BETWEEN -17 AND -1 AND lat BETWEEN 21 AND 36),
+hit AS (
+  SELECT id, arg_min(name, o) AS name FROM ok JOIN regs
+  ON (lng>x0 AND lng<x1 AND lat>y0 AND lat<y1 AND NOT (lng>=hx0 AND lng<=hx1 AND lat>=hy0 AND lat<=hy1))
+     OR (lng>px0 AND lng<px1 AND lat>py0 AND lat<py1) GROUP BY id),
+near AS (SELECT id, arg_min(name, (sqrt(pow(lng-cx,2)+pow(lat-cy,2)), o)) AS name FROM ok CROSS JOIN centered GROUP BY id)
+SELECT p.id AS place_id, CASE h.name WHEN 'Oriental' THEN 'L''Oriental' ELSE h.name END AS inside,
+       CASE coalesce(h.name, n.name) WHEN 'Oriental' THEN 'L''Oriental' ELSE coalesce(h.name, n.name) END AS region
+FROM pts p LEFT JOIN hit h ON h.id=p.id LEFT JOIN near n ON n.id=p.id"""))
+def _(spark, sf):
+    path = f"{b.scratch(spark)}/parts"
+    collection = {"type": "FeatureCollection", "features": [_feature(*row) for row in PARTS]}
+    spark.createDataFrame([(json.dumps(collection),)], "value string").coalesce(1).write.text(path)
+    found = read_regions(spark, path)
+    inside = region_by_point(dense_points(spark, sf), found, nearest=False).withColumnRenamed("region", "inside")
+    return region_by_point(inside, found).select("place_id", "inside", "region")
+
+
 # ------------------------------------------------------------------------------ gazetteer
 
 def gazetteer(spark, sf):
