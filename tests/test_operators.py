@@ -8,7 +8,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from vocalake.operators import columns, mutate
+from vocalake.operators import columns, dedupe, mutate, sketches
 from vocalake.operators.classify import _answers, classify, classify_by_rules
 from vocalake.operators.dedupe import dedupe_first
 from vocalake.operators.entity import resolve_ids
@@ -556,3 +556,89 @@ def test_unreadable_ratings_count_as_zero(spark):
 def test_classify_keeps_original_columns(spark):
     rows = spark.createDataFrame([(1, "bien", 5, "kept")], "id int, text string, rating int, extra string")
     assert classify(rows, fussy_scorer).columns[:4] == ["id", "text", "rating", "extra"]
+
+
+# ------------------------------------------------------------------------------ keys by digest, lazy ids
+
+def test_inserts_read_only_digests_and_ids_of_the_store(spark, tmp_path):
+    base = str(tmp_path / "store")
+    store.create_tables(spark, base)
+    raw = spark.createDataFrame([("p", "a", f"text {i}", i) for i in range(40)] + [("p", None, "text 1", 90)],
+                                "place_id string, author string, text string, line int")
+    store.append_rows(mutate.new_reviews(store.load_table(spark, base, "reviews", keyed=True), raw, NOW, ["line"]), base, "reviews")
+    assert "key_digest" not in store.load_table(spark, base, "reviews").columns
+    more = spark.createDataFrame([("p", "a", f"text {i}", i) for i in range(30, 50)] + [("p", None, "text 1", 91)], raw.schema)
+    fresh = mutate.new_reviews(store.load_table(spark, base, "reviews", keyed=True), more, NOW, ["line"])
+    plan = plan_of(fresh)
+    scans = [line for line in plan.splitlines() if "ReadSchema" in line]
+    assert scans and all("text" not in line.split("ReadSchema")[1] for line in scans)
+    # Ids follow the batch's own order, known rows included; a null in the key never conflicts.
+    assert {(r.id, r.text, r.author) for r in fresh.collect()} == {
+        *((41 + i - 29, f"text {i}", "a") for i in range(40, 50)), (62, "text 1", None)}
+
+
+def test_key_digest_tells_nulls_and_borders_apart(spark):
+    rows = spark.createDataFrame(
+        [(None, ""), ("", None), ("", ""), ("a", "bc"), ("ab", "c"), ("-", ""), ("1:a", ""), (None, None)], "a string, b string")
+    assert rows.select(dedupe.key_digest("a", "b")).distinct().count() == 8
+
+
+def test_dedupe_by_digest_keeps_long_keys_out_of_exchanges(spark, tmp_path):
+    rng = [(i, "x" * (i % 5), None if i % 3 else "l", i * 7919 % 1000) for i in range(1000)]
+    path = str(tmp_path / "rows")
+    spark.createDataFrame(rng, "v long, t string, l string, o long").write.parquet(path)
+    rows = spark.read.parquet(path)
+    late = dedupe_first(rows, ["t", "l"], ["o"], total=True)
+    plan = plan_of(late)
+    assert "SortAggregate" not in plan and "hashpartitioning(t" not in plan
+    assert sorted(map(str, late.collect())) == sorted(map(str, dedupe_first(rows, ["t", "l"], ["o"]).collect()))
+    two = dedupe_first(rows, ["t", "l"], ["l", "o"], total=True)
+    assert sorted(map(str, two.collect())) == sorted(map(str, dedupe_first(rows, ["t", "l"], ["l", "o"]).collect()))
+
+
+def test_ids_are_lazy_and_follow_any_order(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    def refused(*_, **__):
+        raise AssertionError("no checkpoint while a plan is built")
+
+    monkeypatch.setattr(Classic, "checkpoint", refused)
+    monkeypatch.setattr(Classic, "localCheckpoint", refused)
+    rows = spark.range(0, 3000, 1, 5).select(
+        F.when(F.col("id") % 7 > 0, F.concat(F.lit("k"), (F.col("id") * 31 % 50).cast("string"))).alias("name"),
+        F.timestamp_seconds(F.col("id") * 7919 % 3001).alias("at"), F.struct((F.col("id") % 4).alias("p"), "id").alias("place"))
+    for order in (["name", "at"], ["at"], ["place"], ["name", "place"]):
+        got = assign_ids(rows, order, after=5)
+        expected = rows.coalesce(1).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id() + 6)
+        columns_ = ["id", *rows.columns]
+        assert sorted(map(str, got.select(*columns_).collect())) == sorted(map(str, expected.select(*columns_).collect()))
+        assert sorted(map(str, got.collect())) == sorted(map(str, got.collect()))
+    assert assign_ids(rows.limit(0), ["at"]).count() == 0
+
+
+def test_latest_run_is_found_by_folder_names(spark, tmp_path):
+    base = str(tmp_path / "runs")
+    with pytest.raises(FileNotFoundError):
+        writers.read_latest(spark, base)
+    for day in (1, 2):
+        writers.write_run(spark.range(day), base, date(2024, 5, day))
+    (tmp_path / "runs" / "run_date=20240503" / "_temporary").mkdir(parents=True)
+    newest = writers.read_latest(spark, base)
+    assert newest.count() == 2
+    assert all("run_date=20240502" in f for f in newest.inputFiles()) and "Aggregate" not in plan_of(newest)
+
+
+def test_sketches_unite_without_counting_again(spark):
+    rows = spark.range(20_000).select((F.col("id") % 5).alias("a"), (F.col("id") % 3).alias("b"), (F.col("id") % 7_000).alias("v"))
+    rows = rows.unionByName(spark.createDataFrame([(9, 9, None)], rows.schema))
+    cells = sketches.distinct_sketches(rows, ["a", "b"], ["v"])
+    assert abs(sketches.estimated(sketches.unite(cells, [])).head().v - 7_000) < 210
+    per_a = {r.a: r.v for r in sketches.estimated(sketches.unite(cells, ["a"])).collect()}
+    exact = {r.a: r.n for r in rows.groupBy("a").agg(F.count_distinct("v").alias("n")).collect()}
+    assert per_a.keys() == exact.keys() and all(abs(per_a[a] - n) <= 0.03 * n for a, n in exact.items())
+
+
+def test_missing_folders_are_skipped_but_other_errors_are_not(spark, tmp_path):
+    assert tabular.latest_snapshot(spark, [str(tmp_path / "none")]) is None
+    with pytest.raises(Exception):
+        tabular.latest_snapshot(spark, ["nosuchscheme://x/y"])

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import first_truthy, is_canonical_place_id, place_key
-from ..session import ensure_checkpoint_dir
 from .columns import first_present
 from .dedupe import dedupe_first, pick_strategy
 from .filters import brand_filter
@@ -109,8 +108,5 @@ def consolidate_places(
     hits = dedupe_first(hits, ["business", "city", "_local_key"], order)
     overall = place_key(F.col("place_id"), F.col("data_id"), F.col("name"), F.col("address"))
     hits = dedupe_first(hits.withColumn("_key_all", overall), ["_key_all"], order)
-    # Both results and two joins read the unique hits: pin them once in the shared folder.
-    ensure_checkpoint_dir(hits.sparkSession)
-    hits = hits.checkpoint()
     out, extended = resolve_ids(hits, cache, order, resolved)
     return out.select(*PLACE_COLUMNS), extended

@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.categories import parse_categories, short_flags
 from ..schemas import (
-    CLASSIFICATION_UPDATE_COLUMNS, CLASSIFICATIONS, PLACE_UPDATE_COLUMNS, PLACES, PROCESSING_RUNS,
+    CLASSIFICATION_UPDATE_COLUMNS, CLASSIFICATIONS, KEY_DIGEST, PLACE_UPDATE_COLUMNS, PLACES, PROCESSING_RUNS,
     REVIEW_CATEGORIES, REVIEW_KEY, REVIEWS,
 )
 from ..taxonomy import CATEGORY_COLUMNS, COMPLETED, FAILED, IN_PROGRESS
 from .columns import complete, conform, with_defaults
-from .dedupe import dedupe_first, dedupe_last
+from .dedupe import dedupe_first, dedupe_last, first_order, key_digest, same_row
 from .ids import assign_ids, max_id
 from .joins import keep_existing
 
@@ -81,7 +81,13 @@ def insert_places(target: DataFrame, df: DataFrame, now: datetime, order: Sequen
 
 
 def new_reviews(target: DataFrame, df: DataFrame, now: datetime, order: Sequence[str]) -> DataFrame:
-    """Rows to append to ``reviews``: renamed, defaulted, deduplicated, numbered, conflicts removed."""
+    """Rows to append to ``reviews``: renamed, defaulted, deduplicated, numbered, conflicts removed.
+
+    The natural key holds the text, so it is compared by its digest: the batch shrinks to digest and
+    order (which must be total), these are numbered, the digests that the target knows go, and only then
+    the whole rows join in. A target read with its stored digests (``store.load_table(keyed=True)``) is
+    scanned for those and its ids alone. A key with a null is never known.
+    """
     rows = with_defaults(conform(df, "reviews"), "reviews", now)
     for name in REVIEW_KEY:
         if name not in rows.columns:
@@ -90,13 +96,20 @@ def new_reviews(target: DataFrame, df: DataFrame, now: datetime, order: Sequence
     shaped = rows.select(
         *[F.col(f.name).try_cast(f.dataType).alias(f.name) if f.name in rows.columns
           else F.lit(None).cast(f.dataType).alias(f.name) for f in REVIEWS.fields if f.name != "id"], *extra)
-    unique = dedupe_first(shaped, REVIEW_KEY, order)
-    numbered = assign_ids(unique, order, after=max_id(target))
-    return without_known(numbered, target, REVIEW_KEY).select(*REVIEWS.names)
+    has_null = reduce(or_, [F.col(k).isNull() for k in REVIEW_KEY])
+    keyed = shaped.withColumns({KEY_DIGEST: key_digest(*REVIEW_KEY), "_whole": ~has_null})
+    winners = first_order(keyed, [KEY_DIGEST, "_whole"], order)
+    numbered = assign_ids(winners, order, after=max_id(target))
+    digest = F.col(KEY_DIGEST) if KEY_DIGEST in target.columns else key_digest(*REVIEW_KEY)
+    wanted = winners.filter("_whole").select(KEY_DIGEST)
+    known = target.select(digest.alias(KEY_DIGEST)).join(wanted, KEY_DIGEST, "left_semi").distinct()
+    fresh = numbered.join(known.withColumn("_whole", F.lit(True)), [KEY_DIGEST, "_whole"], "left_anti")
+    return keyed.join(fresh, same_row(keyed, fresh, KEY_DIGEST, order)).select(
+        fresh["id"], *[keyed[n] for n in REVIEWS.names if n != "id"])
 
 
 def insert_reviews(target: DataFrame, df: DataFrame, now: datetime, order: Sequence[str]) -> DataFrame:
-    return target.unionByName(new_reviews(target, df, now, order))
+    return target.select(*REVIEWS.names).unionByName(new_reviews(target, df, now, order))
 
 
 def upsert_classifications(

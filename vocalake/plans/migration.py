@@ -1,17 +1,18 @@
 """Import of flat files into the stored tables."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.columns import complete, conform, file_order, with_defaults
-from ..operators.dedupe import dedupe_first
+from ..operators.dedupe import dedupe_first, key_digest
 from ..operators.filters import require
 from ..operators.ids import assign_ids, max_id
 from ..operators.mutate import flags_from_wide, insert_places, new_reviews, start_run, update_run, without_known
-from ..schemas import CLASSIFICATIONS, DEFAULTS, PLACES, REVIEW_CATEGORIES, REVIEW_KEY, REVIEWS
+from ..schemas import CLASSIFICATIONS, DEFAULTS, KEY_DIGEST, PLACES, REVIEW_CATEGORIES, REVIEW_KEY, REVIEWS
 from ..sources.tabular import read_reviews
 from ..taxonomy import CATEGORIES, COMPLETED, FAILED
 from . import catalogue, store
@@ -47,7 +48,7 @@ def _unique_reviews(df: DataFrame, now: datetime, order: Sequence[str]) -> DataF
     })
     if "created_at" not in rows.columns:
         rows = rows.withColumn("created_at", F.lit(now).cast("timestamp"))
-    return dedupe_first(rows, REVIEW_KEY, order)
+    return dedupe_first(rows, REVIEW_KEY, order, total=True)
 
 
 def split_classified(
@@ -57,18 +58,27 @@ def split_classified(
     stored_reviews: DataFrame | None = None,
     after_classification: int | Column = 0,
     run_id: int | None = None,
+    staging: str | None = None,
 ) -> dict[str, DataFrame]:
     """Places, reviews, classifications and flags of a flat classified file, ready to append.
 
     Reviews are deduplicated and rows already stored removed before ids are given, and the
     labels travel in the same row, so every classification points at the review it came with.
+    Stored reviews are known by the digest of their key. With ``staging`` the numbered rows are
+    written there once instead of being worked out again for each of the tables.
     """
     unique = _unique_reviews(df, now, order)
     after_review: int | Column = 0
     if stored_reviews is not None:
-        unique = without_known(unique, stored_reviews, REVIEW_KEY)
+        stored = F.col(KEY_DIGEST) if KEY_DIGEST in stored_reviews.columns else key_digest(*REVIEW_KEY)
+        unique = without_known(
+            unique.withColumn(KEY_DIGEST, key_digest(*REVIEW_KEY)), stored_reviews.select(stored.alias(KEY_DIGEST)), [KEY_DIGEST],
+        ).drop(KEY_DIGEST)
         after_review = max_id(stored_reviews)
     numbered = assign_ids(unique.drop("id"), order, after=after_review)
+    if staging:
+        numbered.write.mode("overwrite").parquet(staging)
+        numbered = df.sparkSession.read.schema(numbered.schema).parquet(staging)
     reviews = complete(numbered, REVIEWS)
 
     labels = with_defaults(
@@ -100,7 +110,7 @@ def import_csv(spark: SparkSession, path: str, kind: str, base: str, now: dateti
         shaped = insert_places(target.limit(0), rows, now, [ROW])
         store.append_rows(without_known(shaped, target, ["place_id"]), base, "places")
     elif kind == "reviews":
-        target = store.load_table(spark, base, "reviews")
+        target = store.load_table(spark, base, "reviews", keyed=True)
         store.append_rows(new_reviews(target, rows, now, [ROW]), base, "reviews")
     else:
         _append_classified(spark, rows, base, now, None)
@@ -108,8 +118,9 @@ def import_csv(spark: SparkSession, path: str, kind: str, base: str, now: dateti
 
 def _append_classified(spark: SparkSession, rows: DataFrame, base: str, now: datetime, run_id: int | None) -> None:
     parts = split_classified(
-        rows, now, [ROW], store.load_table(spark, base, "reviews"),
-        max_id(store.load_table(spark, base, "classifications")), run_id)
+        rows, now, [ROW], store.load_table(spark, base, "reviews", keyed=True),
+        max_id(store.load_table(spark, base, "classifications")), run_id,
+        staging=f"{base}/staging/numbered-{uuid.uuid4().hex}")
     places = without_known(parts.pop("places"), store.load_table(spark, base, "places"), ["place_id"])
     store.append_rows(places, base, "places")
     # Reviews go last: until they are stored, a repeated run gives the same rows the same ids,

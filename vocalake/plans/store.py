@@ -16,9 +16,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..operators.columns import complete
+from ..operators.dedupe import key_digest
 from ..operators.joins import reviews_full
 from ..operators.validate import check_constraints
-from ..schemas import TABLES, UNIQUE_KEYS
+from ..schemas import KEY_DIGEST, REVIEW_KEY, TABLES, UNIQUE_KEYS
 from ..session import configure
 from . import catalogue
 
@@ -28,6 +29,7 @@ COMMITS = "attempt string, version long, writer string, batch long"
 MONTH = "review_month"
 DATED = {"reviews": "review_date_parsed"}
 FOLDERS = (T.StructField("attempt", T.StringType()), T.StructField(MONTH, T.StringType()))
+DIGESTED = {"reviews": REVIEW_KEY}
 
 
 def _commits(spark: SparkSession, base: str, table: str) -> list[tuple[int, str, int, str]]:
@@ -43,29 +45,34 @@ def _commits(spark: SparkSession, base: str, table: str) -> list[tuple[int, str,
 
 
 def _read(spark: SparkSession, table: str, base: str, *paths: str) -> DataFrame:
-    return spark.read.schema(T.StructType([*TABLES[table], *FOLDERS])).option("basePath", base).parquet(*paths)
+    digest = [T.StructField(KEY_DIGEST, T.BinaryType())] if table in DIGESTED else []
+    return spark.read.schema(T.StructType([*TABLES[table], *digest, *FOLDERS])).option("basePath", base).parquet(*paths)
 
 
 def load_table(
     spark: SparkSession, base: str, table: str, writer: str | None = None, before_batch: int = 0,
-    since: date | None = None,
+    since: date | None = None, keyed: bool = False,
 ) -> DataFrame:
     """Rows of the current version; with ``writer``, without that writer's batches from
-    ``before_batch`` on; with ``since``, only reviews dated from that day's month on. Only
-    committed folders, and of those only the wanted months, are read."""
+    ``before_batch`` on; with ``since``, only reviews dated from that day's month on; with
+    ``keyed``, with the stored digest of a review's key. Only committed folders, and of those
+    only the wanted months, are read."""
     paths = [
         f"{base}/{table}/data/attempt={attempt}" for _, w, batch, attempt in _commits(spark, base, table)
         if writer is None or w != writer or batch < before_batch
     ]
+    digest = [KEY_DIGEST] if keyed and table in DIGESTED else []
     if not paths:
-        return spark.createDataFrame([], TABLES[table])
+        return spark.createDataFrame([], T.StructType([*TABLES[table], *[T.StructField(d, T.BinaryType()) for d in digest]]))
     rows = _read(spark, table, f"{base}/{table}/data", *paths)
     if since is not None and table in DATED:
         rows = rows.filter(F.col(MONTH) >= f"{since:%Y-%m}")
-    return rows.select(*TABLES[table].names)
+    return rows.select(*TABLES[table].names, *digest)
 
 
 def _put(df: DataFrame, table: str, path: str) -> None:
+    if table in DIGESTED:
+        df = df.withColumn(KEY_DIGEST, key_digest(*DIGESTED[table]))
     if table in DATED:
         month = F.date_format(DATED[table], "yyyy-MM")
         df.withColumn(MONTH, month).hint("rebalance", MONTH).write.partitionBy(MONTH).parquet(path)

@@ -58,6 +58,8 @@ CLASSIFICATION_UPDATE_COLUMNS = (
     "sentiment", "categories_json", "rationale", "model_version", "processing_run_id",
 )
 REVIEW_KEY = ("place_id", "author", "text")
+# Digest of the key, which the store keeps beside a review so that inserts need not read its text.
+KEY_DIGEST = "key_digest"
 
 # Source column -> table column, one map per kind of input.
 RENAMES = {

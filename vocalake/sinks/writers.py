@@ -84,11 +84,30 @@ def write_run(df: DataFrame, base: str, run_date: date) -> str:
     return path
 
 
+def run_folders(spark: SparkSession, base: str) -> list[str]:
+    """Paths of the dated runs that hold data, oldest first, by listing ``base`` and the newest folders."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    names = sorted(
+        s.getPath().getName() for s in files.listStatus(path) if s.isDirectory() and s.getPath().getName().startswith("run_date="))
+
+    def holds_data(name: str) -> bool:
+        inside = files.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}"))
+        return any(not s.getPath().getName().startswith(("_", ".")) for s in inside)
+
+    while names and not holds_data(names[-1]):
+        names.pop()
+    return [f"{base}/{name}" for name in names]
+
+
 def read_latest(spark: SparkSession, base: str) -> DataFrame:
-    """The newest run; only the partition listing is read to find it."""
-    runs = spark.read.parquet(base)
-    newest = runs.select("run_date").distinct().agg(F.max("run_date").alias("d")).head().d
-    return runs.filter(F.col("run_date") == F.lit(newest)).drop("run_date")
+    """The newest run; folder names tell which, so no other run is read or listed inside."""
+    folders = run_folders(spark, base)
+    if not folders:
+        raise FileNotFoundError(f"no run below {base}")
+    return spark.read.parquet(folders[-1])
 
 
 def split_failures(df: DataFrame, status: str = "status", failed: str = "failed") -> tuple[DataFrame, DataFrame]:

@@ -118,7 +118,9 @@ def latest_snapshot(spark: SparkSession, dirs: Sequence[str], glob: str = "*.csv
     for directory in dirs:
         try:
             files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(directory)
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             continue
         newest = files.agg(F.max_by("path", "modificationTime").alias("path")).head().path
         if newest:

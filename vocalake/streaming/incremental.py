@@ -53,8 +53,9 @@ def review_appender(spark: SparkSession, base: str, now: datetime, order: list[s
     so one that is replayed after a failure writes the same rows to the same place.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        earlier = store.load_table(spark, base, "reviews", writer=STREAM, before_batch=batch_id)
-        rows = new_reviews(earlier, batch.withColumn("_row", F.monotonically_increasing_id()), now, order)
+        earlier = store.load_table(spark, base, "reviews", writer=STREAM, before_batch=batch_id, keyed=True)
+        # The place in the batch breaks ties, so that the order is total.
+        rows = new_reviews(earlier, batch.withColumn("_row", F.monotonically_increasing_id()), now, [*order, "_row"])
         store.append_rows(rows, base, "reviews", writer=STREAM, batch=batch_id)
 
     return handle

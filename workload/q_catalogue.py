@@ -5,9 +5,10 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from vocalake.operators.joins import integrity_report, keep_existing, reviews_full, unclassified
+from vocalake.operators.joins import integrity_report, keep_existing, reviews_full, unclassified, union_all
 from vocalake.operators.filters import distinct_sorted, filter_in, filter_reviews, get_place
 from vocalake.operators.ranking import with_group_share
+from vocalake.operators.sketches import distinct_sketches, estimated, unite
 from vocalake.plans import catalogue as c
 from vocalake.plans.named import run_query
 from vocalake.plans.store import append_rows, load_table, register_frames
@@ -470,3 +471,30 @@ def _(spark, sf):
         WHERE f.sentiment IS NOT NULL GROUP BY v.city, v.place_count""")
 
 
+
+
+# ------------------------------------------------------------------------------ sketches
+
+@query("approx_distinct_counts", sql("""
+, c AS (SELECT 'business' AS level, business AS name, count(DISTINCT place_id) AS places, count(DISTINCT id) AS ids
+        FROM reviews GROUP BY business
+        UNION ALL SELECT 'city', city, count(DISTINCT place_id), count(DISTINCT id) FROM reviews GROUP BY city
+        UNION ALL SELECT 'all', '', count(DISTINCT place_id), count(DISTINCT id) FROM reviews)
+SELECT level, name, places, ids, true AS places_close, true AS ids_close FROM c"""))
+def _(spark, sf):
+    """Sketches of the (business, city) cells united per business, per city and for all: within 3 % of the exact counts."""
+    reviews = b.reviews(spark, sf)
+    cells = distinct_sketches(reviews, ["business", "city"], ["place_id", "id"])
+    exact = [F.count_distinct("place_id").alias("places"), F.count_distinct("id").alias("ids")]
+
+    def level(name, key):
+        keys = [key] if key else []
+        label = F.col(key) if key else F.lit("")
+        near = estimated(unite(cells, keys)).select(label.alias("name"), "place_id", "id")
+        counted = reviews.groupBy(*keys).agg(*exact).select(label.alias("name"), "places", "ids")
+        return counted.join(near, "name").select(
+            F.lit(name).alias("level"), "name", "places", "ids",
+            (F.abs(F.col("place_id") - F.col("places")) <= 0.03 * F.col("places")).alias("places_close"),
+            (F.abs(F.col("id") - F.col("ids")) <= 0.03 * F.col("ids")).alias("ids_close"))
+
+    return union_all(level("business", "business"), level("city", "city"), level("all", None))

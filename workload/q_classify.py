@@ -9,9 +9,10 @@ from vocalake.operators.classify import RULES, classify, classify_by_rules
 from vocalake.plans import store
 from vocalake.plans.pipeline import run_pipeline
 from vocalake.streaming.incremental import append_stream, process_available, stream_new_files, upsert_stream
-from vocalake.taxonomy import CATEGORIES, CATEGORY_COLUMNS, OFF_TOPIC, OTHER_NEGATIVE, OTHER_POSITIVE
+from vocalake.taxonomy import CATEGORIES, CATEGORY_COLUMNS, OFF_TOPIC, OTHER_NEGATIVE, OTHER_POSITIVE, REGION_ALIASES
 
 from . import roles as b
+from .q_entity import CENTER_LISTS, RECTANGLES, regions
 from .q_tables import raw_reviews
 from .registry import query
 from .roles import NOW, quoted, sql
@@ -95,22 +96,31 @@ def _(spark, sf):
     return done.select("id", "sentiment", label.alias("label"), "language", "rationale")
 
 
+_REGION_LIST = "[" + ", ".join(quoted(REGION_ALIASES.get(r[1], r[1])) for r in RECTANGLES) + "]"
+
+
 @query("staged_run", RULE_SQL + f"""
-SELECT sentiment, count(*) AS reviews, sum(CASE WHEN list_contains(labels, {quoted(CATEGORY_COLUMNS["cat_frais_abusifs"])})
-  THEN 1 ELSE 0 END)::BIGINT AS fees, count(DISTINCT CASE WHEN doc_id%2=0 THEN 'Fès-Meknès' END) AS regions
-FROM (SELECT * FROM l WHERE has_text) GROUP BY sentiment""")
+SELECT doc_id, sentiment, CASE WHEN doc_id%3=0 THEN CASE WHEN doc_id%2=0 THEN 'Fès-Meknès' END
+    ELSE ({_REGION_LIST})[doc_id%{len(RECTANGLES)}+1] END AS region,
+  {", ".join(f"list_contains(labels, {quoted(label)})::INT AS {short}" for short, label in CATEGORY_COLUMNS.items())}
+FROM l WHERE has_text""")
 def _(spark, sf):
+    """All stages, then only their stored results: every document with its region and 17 flags.
+
+    Two thirds of the documents have coordinates inside a polygon, the others a city at most.
+    """
     base = b.scratch(spark)
+    key = F.col("doc_id")
+    slot = (key % len(RECTANGLES) + 1).cast("int")
+    lng, lat = (F.element_at(F.array(*[F.lit(v) for v in values]), slot) for values in CENTER_LISTS)
     raw = cued_documents(spark, sf).filter(F.length(F.trim(F.replace("text", F.lit("\n"), F.lit("")))) > 0).select(
         "doc_id", "text", F.when(F.col("rating") > 0, F.col("rating").cast("string")).alias("rating"),
-        F.lit("il y a 3 mois").alias("date"),
-        F.when(F.col("doc_id") % 2 == 0, "Fès").otherwise("Nowhere").alias("city"))
-    run_pipeline(spark, base, NOW, raw)
+        F.lit("il y a 3 mois").alias("date"), F.when(key % 3 > 0, lat).alias("lat"), F.when(key % 3 > 0, lng).alias("lng"),
+        F.when(key % 2 == 0, "Fès").otherwise("Nowhere").alias("city"))
+    run_pipeline(spark, base, NOW, raw, regions(spark))
     wide = run_pipeline(spark, base, NOW, skip=("transform", "classify", "export"))
-    fees = CATEGORY_COLUMNS["cat_frais_abusifs"]
-    return wide.groupBy("sentiment").agg(
-        F.count(F.lit(1)).alias("reviews"), F.sum(F.col(f"`{fees}`").cast("long")).alias("fees"),
-        F.count_distinct("region").alias("regions"))
+    return wide.select(
+        "doc_id", "sentiment", "region", *[F.col(f"`{label}`").alias(short) for short, label in CATEGORY_COLUMNS.items()])
 
 
 # ------------------------------------------------------------------------------ incremental
@@ -135,17 +145,18 @@ def _(spark, sf):
         F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids"))
 
 
-@query("stream_batches", "SELECT count(*) AS rows FROM events")
+@query("stream_batches", "SELECT event_id, value, event_type FROM events")
 def _(spark, sf):
+    """Every micro-batch is written whole; together they hold each event once."""
     base = b.scratch(spark)
     schema, half = _event_files(spark, sf, base)
 
     def keep(batch, batch_id):
-        batch.agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
 
     stream = stream_new_files(spark, f"{base}/in", schema, max_files=half)
     process_available(stream, f"{base}/checkpoint", keep).awaitTermination()
-    return spark.read.parquet(f"{base}/out").agg(F.sum("n").alias("rows"))
+    return spark.read.parquet(f"{base}/out").select("event_id", "value", "event_type")
 
 
 @query("upsert_stream", sql("""

@@ -66,19 +66,19 @@ def _(spark, sf):
     return rows.select("place_id", "region")
 
 
-_CENTER_LISTS = [[round((r[i] + r[i + 2]) / 2, 2) for r in RECTANGLES] for i in (2, 3)]
+CENTER_LISTS = [[round((r[i] + r[i + 2]) / 2, 2) for r in RECTANGLES] for i in (2, 3)]
 _KEY = "CAST(place_id AS BIGINT)"
 DENSE = f"""
 SELECT place_id AS id, CASE WHEN {_KEY}%10=3 THEN NULL WHEN {_KEY}%10=4 THEN 50e0
-         ELSE round(({_CENTER_LISTS[1]}::DOUBLE[])[{_KEY}%12+1]+({_KEY}%100-50)/100e0,2) END AS lat,
-       round(({_CENTER_LISTS[0]}::DOUBLE[])[{_KEY}%12+1]+({_KEY}%90-45)/100e0,2) AS lng,
+         ELSE round(({CENTER_LISTS[1]}::DOUBLE[])[{_KEY}%12+1]+({_KEY}%100-50)/100e0,2) END AS lat,
+       round(({CENTER_LISTS[0]}::DOUBLE[])[{_KEY}%12+1]+({_KEY}%90-45)/100e0,2) AS lng,
        (['Fès','Nowhere','SAFI'])[{_KEY}%3+1] AS city FROM places"""
 
 
 def dense_points(spark, sf):
     """Points around the region centres; some have text, missing or out-of-bounds latitudes."""
     key = F.col("place_id").cast("long")
-    centers = [F.array(*[F.lit(v) for v in values]) for values in _CENTER_LISTS]
+    centers = [F.array(*[F.lit(v) for v in values]) for values in CENTER_LISTS]
     slot = (key % 12 + 1).cast("int")
     lat = F.round(F.element_at(centers[1], slot) + (key % 100 - 50) / 100.0, 2)
     lng = F.round(F.element_at(centers[0], slot) + (key % 90 - 45) / 100.0, 2)
@@ -172,21 +172,26 @@ _ELIGIBLE = f"{_KEY}%5<>0 AND {_KEY}%7<>0"
 _CANONICAL = f"CASE WHEN {_KEY}%2=0 THEN city ELSE 'Ville '||city END"
 
 
-@query("city_centers", sql(f"""
-, e AS (SELECT {_KEY} AS k, {_CANONICAL} AS key, printf('@%.6f,%.6f,%s', latitude, longitude,
+CENTERS = f"""
+SELECT key, arg_max(value, k) AS value FROM (
+  SELECT {_KEY} AS k, {_CANONICAL} AS key, printf('@%.6f,%.6f,%s', latitude, longitude,
     CASE WHEN {_KEY}*1000%900001>=800000 THEN '11z' WHEN {_KEY}*1000%900001>=200000 THEN '12z'
          WHEN {_KEY}*1000%900001>=50000 THEN '13z' ELSE '14z' END) AS value FROM places WHERE {_ELIGIBLE})
-SELECT key, arg_max(value, k) AS value FROM e GROUP BY key"""))
+GROUP BY key"""
+ALIASES = f"""
+SELECT key, arg_max(value, k) AS value FROM (
+  SELECT {_KEY} AS k, {_CANONICAL} AS value, city,
+    unnest([lower('Ville '||city), lower('E'||city), CASE WHEN {_KEY}%2=0 THEN lower(city) END,
+            CASE WHEN {_KEY}%2=0 THEN lower('Le '||city) END]) AS key FROM places WHERE {_ELIGIBLE})
+WHERE key IS NOT NULL GROUP BY key"""
+
+
+@query("city_centers", sql(CENTERS))
 def _(spark, sf):
     return city_centers(gazetteer(spark, sf), F.col("order"))
 
 
-@query("city_aliases", sql(f"""
-, e AS (SELECT {_KEY} AS k, city, {_CANONICAL} AS value FROM places WHERE {_ELIGIBLE}),
-a AS (SELECT k, value, lower('Ville '||city) AS key FROM e UNION ALL SELECT k, value, lower('E'||city) FROM e
-      UNION ALL SELECT k, value, lower(city) FROM e WHERE k%2=0
-      UNION ALL SELECT k, value, lower('Le '||city) FROM e WHERE k%2=0)
-SELECT key, arg_max(value, k) AS value FROM a GROUP BY key"""))
+@query("city_aliases", sql(ALIASES))
 def _(spark, sf):
     return city_aliases(gazetteer(spark, sf), F.col("order"))
 
@@ -367,7 +372,10 @@ def flat_reviews(spark, sf):
         F.when(F.col("place_id").cast("long") % 2 == 0, F.col("business")).otherwise("").alias("_business"),
         F.concat(F.lit("old "), "business").alias("_bank"), F.col("name").alias("title"),
         F.when(F.col("latitude") > 30, F.col("latitude")).otherwise(0.0).alias("lat"), "latitude",
-        F.col("longitude").alias("lng"), F.explode(F.array(F.lit(1), F.lit(0))).alias("line"))
+        F.col("longitude").alias("lng"), F.concat(F.lit('1, rue "'), "name", F.lit('"')).alias("address"),
+        (F.col("place_id").cast("long") % 50 / 10).alias("reviews_rating"),
+        (F.col("place_id").cast("long") % 97).alias("reviews_count"),
+        F.explode(F.array(F.lit(1), F.lit(0))).alias("line"))
     homes = homes.withColumn("title", F.concat("title", F.lit(" "), F.col("line").cast("string")))
     items = b.reviews(spark, sf).select(
         "id", "place_id", F.col("review_date").alias("date"), "rating", F.col("text").alias("snippet"),
@@ -378,13 +386,15 @@ def flat_reviews(spark, sf):
 FLAT = """
 SELECT r.place_id AS _place_id, p.city AS _city,
   CASE WHEN CAST(p.place_id AS BIGINT)%2=0 THEN p.business ELSE 'old '||p.business END AS _business,
-  p.name||' 0' AS title, latitude AS lat, longitude AS lng, review_date AS date, rating, text, author
+  p.name||' 0' AS title, '1, rue "'||p.name||'"' AS address, latitude AS lat, longitude AS lng,
+  CAST(p.place_id AS BIGINT)%50/10 AS place_rating, CAST(p.place_id AS BIGINT)%97 AS reviews_count,
+  review_date AS date, rating, text, author
 FROM reviews r JOIN places p ON p.place_id=r.place_id WHERE potential>0"""
 
 
 @query("attach_place_metadata", sql(FLAT))
 def _(spark, sf):
-    return flat_reviews(spark, sf).drop("address", "place_rating", "reviews_count")
+    return flat_reviews(spark, sf)
 
 
 @query("resolve_city", sql("""
@@ -425,7 +435,7 @@ SELECT min(doc_id) AS doc_id, lang, md5(text) AS text_md5, arg_min(source, doc_i
 FROM documents GROUP BY lang, text""")
 def _(spark, sf):
     rows = b.documents(spark, sf).select("doc_id", "lang", "text", "source")
-    first = dedupe_first(rows, ["lang", "text"], ["doc_id"])
+    first = dedupe_first(rows, ["lang", "text"], ["doc_id"], total=True)
     return first.select("doc_id", "lang", F.md5("text").alias("text_md5"), "source")
 
 

@@ -18,7 +18,7 @@ from vocalake.taxonomy import CATEGORY_COLUMNS, FLAG_COLUMNS
 from . import roles as b
 from .q_catalogue import FULL
 from .q_dashboard import _labelled, rollup_union
-from .q_entity import FLAT, RECTANGLES, flat_reviews, gazetteer
+from .q_entity import ALIASES, CENTERS, FLAT, RECTANGLES, flat_reviews, gazetteer
 from .registry import query
 from .roles import quoted, sql
 
@@ -113,11 +113,13 @@ def _(spark, sf):
         *[F.col(f"`{label}`").cast("int").alias(c) for c, label in CATEGORY_COLUMNS.items()])
 
 
-@query("flatten_reviews_csv", sql(f"SELECT _place_id, _city, _business, title, date, text, author FROM ({FLAT})"))
+@query("flatten_reviews_csv", sql(FLAT))
 def _(spark, sf):
+    """All thirteen columns through the file and back."""
     path = f"{b.scratch(spark)}/flat"
-    w.export_csv(flat_reviews(spark, sf), path)
-    return tabular.read_csv(spark, path).select("_place_id", "_city", "_business", "title", "date", "text", "author")
+    flat = flat_reviews(spark, sf)
+    w.export_csv(flat, path)
+    return tabular.read_csv(spark, path).select(*[F.col(n).cast(kind).alias(n) for n, kind in flat.dtypes])
 
 
 @query("latest_snapshot", sql("SELECT city, CAST(count(*) AS VARCHAR) AS reviews FROM reviews GROUP BY city"))
@@ -274,13 +276,14 @@ def _(spark, sf):
 
 
 @query("load_centers_from_gazetteer", sql(f"""
-SELECT count(DISTINCT CASE WHEN {KEY}%2=0 THEN city ELSE 'Ville '||city END) AS cities FROM places
-WHERE {KEY}%5<>0 AND {KEY}%7<>0"""))
+SELECT 'center' AS kind, key, value FROM ({CENTERS}) UNION ALL SELECT 'alias', key, value FROM ({ALIASES})"""))
 def _(spark, sf):
+    """No stored lookups: centres and aliases, both whole, are built from the gazetteer file."""
     base = b.scratch(spark)
     gazetteer(spark, sf).orderBy("order").write.json(f"{base}/gazetteer")
-    centers, _ = docs.load_centers(spark, f"{base}/none", f"{base}/none", f"{base}/gazetteer")
-    return centers.agg(F.count_distinct("key").alias("cities"))
+    centers, aliases = docs.load_centers(spark, f"{base}/none", f"{base}/none", f"{base}/gazetteer")
+    return centers.select(F.lit("center").alias("kind"), "key", "value").unionByName(
+        aliases.select(F.lit("alias").alias("kind"), "key", "value"))
 
 
 @query("bucketed_join", sql("""
