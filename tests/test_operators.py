@@ -642,3 +642,47 @@ def test_missing_folders_are_skipped_but_other_errors_are_not(spark, tmp_path):
     assert tabular.latest_snapshot(spark, [str(tmp_path / "none")]) is None
     with pytest.raises(Exception):
         tabular.latest_snapshot(spark, ["nosuchscheme://x/y"])
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("encoding", ["utf-8", "cp1252"])
+def test_csv_with_line_breaks_in_fields_splits(spark, tmp_path, end, encoding):
+    import csv
+    import random
+
+    rng = random.Random(2)
+    pieces = ["a", "é€", '"', ",", "\n", " ", "x" * 40, "\n\n", "12", end]
+    rows = [[str(i), *["q" + "".join(rng.choice(pieces) for _ in range(rng.randrange(9))) + "z" for _ in range(2)]] for i in range(700)]
+    rows[5][1] = "long\n" * 400 + "end"
+    path = tmp_path / "in.csv"
+    with open(path, "w", newline="", encoding=encoding) as file:
+        csv.writer(file, lineterminator=end).writerows([["id", "Avis é", "b"], *rows])
+    text = path.read_text(encoding).rstrip(end) if end == "\n" else path.read_bytes().decode(encoding)
+    path.write_bytes(text.encode(encoding))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+        formats = tabular.file_formats(spark, str(path))
+        assert [tabular._how(f, ",") for f in formats] == ["records"]
+        read = tabular.read_csv(spark, str(path), order="place")
+        assert read.columns == ["id", "Avis é", "b", "place"]
+        assert sorted(map(tuple, read.drop("place").collect())) == sorted(map(tuple, rows))
+        assert [r.id for r in read.orderBy("place").collect()] == [r[0] for r in rows]
+        assert tabular._records(spark, [str(path)], "UTF-8" if encoding == "utf-8" else "ISO-8859-1").select("block").distinct().count() > 5
+        assert spark.read.text(str(path)).rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_csv_forms_choose_how_a_file_is_read(spark, tmp_path):
+    forms = {
+        "lines": 'a,b\n1,"x, ""y"""\n\n2,z\n', "records": 'a,b\n1,"x\n\ny"\n2,""\n', "whole": 'a,b\n1,5" pipe\n2,"x\ny"\n',
+    }
+    expected = {"lines": [("1", 'x, "y"'), ("2", "z")], "records": [("1", "x\n\ny"), ("2", None)], "whole": [("1", '5" pipe'), ("2", "x\ny")]}
+    for how, content in forms.items():
+        (tmp_path / f"{how}.csv").write_text(content)
+        path = str(tmp_path / f"{how}.csv")
+        assert tabular._how(tabular.file_formats(spark, path)[0], ",") == how
+        whole = sorted(map(tuple, tabular.read_csv(spark, path, multi_line=True).collect()))
+        assert sorted(map(tuple, tabular.read_csv(spark, path).collect())) == whole == expected[how]
+    assert tabular.read_csv(spark, str(tmp_path), order="o").select("o").distinct().count() == 6

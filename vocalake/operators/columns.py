@@ -50,7 +50,9 @@ def file_order() -> Column:
     Spark packs the blocks of several files into tasks by size, so the row position alone
     would not follow the files.
     """
-    return F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("n"))
 
 
 def detect_roles(df: DataFrame) -> dict[str, str | None]:

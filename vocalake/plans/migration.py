@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.columns import complete, conform, file_order, with_defaults
+from ..operators.columns import complete, conform, with_defaults
 from ..operators.dedupe import dedupe_first, key_digest
 from ..operators.filters import require
 from ..operators.ids import assign_ids, max_id
@@ -27,7 +27,7 @@ def stage_csv(spark: SparkSession, path: str, base: str, name: str) -> DataFrame
     The import reads its rows several times with different columns; the text is parsed only here.
     """
     staged = f"{base}/staging/{name}"
-    read_reviews(spark, path).withColumn(ROW, file_order()).write.mode("overwrite").parquet(staged)
+    read_reviews(spark, path, order=ROW).write.mode("overwrite").parquet(staged)
     return spark.read.parquet(staged)
 
 

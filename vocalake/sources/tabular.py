@@ -1,16 +1,17 @@
 """CSV and Parquet sources."""
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Sequence
 from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, Window as W, functions as F
 
 from ..functions.text import clean_text
-from ..operators.columns import detect_column
+from ..operators.columns import detect_column, file_order
 from ..operators.filters import filter_in
 
 # Delimiters in order of preference.
@@ -27,6 +28,8 @@ BUSINESS_NAMES = (
     "company", "organization", "brand",
 )
 WINDOWS = "windows-1252"
+_LOOSE = '[^",;\t|]"[^",;\t|\r]'
+CSV_OPTIONS = {"quote": '"', "escape": '"'}
 
 
 def _count_outside_quotes(line: str, delimiter: str) -> int:
@@ -37,7 +40,9 @@ def file_formats(spark: SparkSession, path: str) -> list[Row]:
     """One row per file: its header line, and which encodings its bytes allow.
 
     One pass over the raw lines. UTF-8 is allowed where every line is valid, whatever characters
-    it holds; Windows-1252 where no byte is one that it leaves undefined.
+    it holds; Windows-1252 where no byte is one that it leaves undefined. ``breaks`` tells whether a
+    line holds an odd number of quotes, as any does on which a field with a line break begins; ``loose``
+    whether a quote stands between two characters that neither quote nor delimit.
     """
     latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     lines = spark.read.text(path).select(
@@ -46,39 +51,111 @@ def file_formats(spark: SparkSession, path: str) -> list[Row]:
         F.is_valid_utf8("value").alias("valid"), F.col("value").alias("raw"), latin.alias("latin"))
     files = lines.groupBy("file").agg(
         F.min("valid").alias("utf8"), F.max(F.col("latin").rlike(_UNDEFINED)).alias("undefined"),
-        F.min_by(F.when(F.col("valid"), F.col("raw")).otherwise(F.col("latin")), "place").alias("header"))
+        F.min_by(F.when(F.col("valid"), F.col("raw")).otherwise(F.col("latin")), "place").alias("header"),
+        F.max(F.regexp_count("raw", F.lit('"')) % 2 == 1).alias("breaks"),
+        F.max(F.col("raw").rlike(_LOOSE)).alias("loose"))
     return files.orderBy("file").collect()
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None, order: str | None = None) -> DataFrame:
     """All-string CSV; encoding and delimiter are found for each file.
 
     A file is UTF-8 if its bytes are valid, else Windows-1252 if all its bytes are defined there,
     else Latin-1. The delimiter is the candidate that the header uses most outside quotes. The
     reader knows Latin-1, of which Windows-1252 differs in 27 characters; they are mapped. Files
-    of one format are read together and the formats united by column name. Files with line
-    breaks inside fields need ``multi_line`` (one task per file); switch it off for large
-    single-line files so they split. A byte-order mark needs no option, the reader drops it.
+    of one format are read together and the formats united by column name. A byte-order mark needs
+    no option, it is dropped. ``order`` names a column to add with the place of the row in its file.
+
+    Large files split. Without line breaks inside fields the reader splits them itself; with some,
+    records are put together from lines first (``_records``). Only a file that has both line breaks in
+    fields and loose quotes, or column names twice, is parsed in one task, which ``multi_line`` forces
+    for all files and ``multi_line=False`` for none.
     """
     groups: dict[tuple, list[str]] = {}
     for file in file_formats(spark, path):
         sep = max(DELIMITERS, key=lambda d: _count_outside_quotes(file.header, d))
         encoding = "UTF-8" if file.utf8 else "ISO-8859-1" if file.undefined else WINDOWS
-        groups.setdefault((encoding, sep, file.header), []).append(unquote(file.file))
-    reader = spark.read.options(header="true", quote='"', escape='"', multiLine=multi_line)
+        how = ("whole" if multi_line else "lines") if multi_line is not None else _how(file, sep)
+        groups.setdefault((encoding, sep, file.header, how), []).append(unquote(file.file))
+    reader = spark.read.options(header="true", **CSV_OPTIONS)
     if not groups:
-        return reader.csv(path)
+        empty = reader.csv(path)
+        return empty.withColumn(order, file_order()) if order else empty
     frames = []
-    for (encoding, sep, _), files in groups.items():
+    for (encoding, sep, header, how), files in groups.items():
         latin = "ISO-8859-1" if encoding == WINDOWS else encoding
-        df = reader.option("sep", sep).option("encoding", latin).csv(files)
-        frames.append(_as_windows(df) if encoding == WINDOWS else df)
+        if how == "records":
+            df = _parsed_records(spark, files, latin, sep, header, order)
+        else:
+            df = reader.option("sep", sep).option("encoding", latin).option("multiLine", how == "whole").csv(files)
+            df = df.withColumn(order, file_order()) if order else df
+        frames.append(_as_windows(df, order) if encoding == WINDOWS else df)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def _as_windows(df: DataFrame) -> DataFrame:
+def _names(header: str, sep: str) -> list[str]:
+    return next(csv.reader([header.removeprefix("\ufeff").rstrip("\r")], delimiter=sep), [])
+
+
+def _how(file: Row, sep: str) -> str:
+    """How a file is read: by its lines, by records of several lines, or whole in one task."""
+    if not file.breaks:
+        return "lines"
+    names = _names(file.header, sep)
+    plain = len({n.lower() for n in names}) == len(names) and all(names) and file.header.count('"') % 2 == 0
+    return "records" if plain and not file.loose else "whole"
+
+
+def _records(spark: SparkSession, files: Sequence[str], encoding: str) -> DataFrame:
+    """``file, block, n, record``: lines put together wherever a quoted field runs over their end.
+
+    Blocks are the splits of the files. The parity of the quotes before a block is a sum over the blocks
+    before it, one small row each; a line begins a record where the quotes before it are even. Lines of
+    a record that runs on meet on the place of its first line, also across blocks; all other lines, which
+    are records of their own, are not regrouped.
+    """
+    at = W.partitionBy("file", "block").orderBy("n")
+    line = F.col("value") if encoding == "UTF-8" else F.decode(F.col("value").cast("binary"), encoding)
+    lines = spark.read.option("lineSep", "\n").text(list(files)).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("n"), line.alias("line"))
+    counted = lines.withColumn("quotes", F.regexp_count("line", F.lit('"')))
+    before = counted.withColumn("inside", (F.sum("quotes").over(at) - F.col("quotes")) % 2)
+    earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = counted.groupBy("file", "block").agg(F.sum("quotes").alias("quotes")).select(
+        "file", "block", (F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2).alias("parity"))
+    starts = before.join(blocks, ["file", "block"]).withColumn("first", F.col("inside") == F.col("parity")).select(
+        "file", "block", "n", "line", "first",
+        F.last(F.when(F.col("first"), F.struct("block", "n")), ignorenulls=True).over(at).alias("own"),
+        F.lead("first").over(at).alias("next_first"))
+    last = starts.groupBy("file", "block").agg(F.max("own").alias("last")).select(
+        "file", "block", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    owned = starts.join(last, ["file", "block"]).withColumn("own", F.coalesce("own", "carried"))
+    alone = F.col("first") & F.coalesce("next_first", F.lit(False))
+    joined = owned.filter(~alone).groupBy("file", "own").agg(
+        F.sort_array(F.collect_list(F.struct("block", "n", "line"))).alias("lines")
+    ).select("file", "own.block", "own.n", F.array_join(F.col("lines")["line"], "\n").alias("record"))
+    return owned.filter(alone).select("file", "block", "n", F.col("line").alias("record")).unionByName(joined)
+
+
+def _parsed_records(
+    spark: SparkSession, files: Sequence[str], encoding: str, sep: str, header: str, order: str | None
+) -> DataFrame:
+    names = _names(header, sep)
+    schema = ", ".join(f"c{i} string" for i in range(len(names)))
+    rows = _records(spark, files, encoding)
+    heads = rows.groupBy("file").agg(F.min(F.struct("block", "n")).alias("head"))
+    body = rows.join(heads, "file").filter(F.struct("block", "n") != F.col("head")).filter(F.trim("record") != "")
+    record = F.regexp_replace("record", "\r$", "")
+    parsed = body.select("file", "block", "n", F.from_csv(record, F.lit(schema), {"sep": sep, "multiLine": "true", **CSV_OPTIONS}).alias("v"))
+    place = [F.struct("file", "block", "n").alias(order)] if order else []
+    return parsed.select(*[F.col("v")[f"c{i}"].alias(name) for i, name in enumerate(names)], *place)
+
+
+def _as_windows(df: DataFrame, order: str | None = None) -> DataFrame:
     """Text and column names read as Latin-1, as Windows-1252 means them."""
-    mapped = df.select([F.translate(f"`{c}`", _AS_LATIN1, _AS_WINDOWS).alias(c) for c in df.columns])
+    mapped = df.select([
+        F.col(c) if c == order else F.translate(f"`{c}`", _AS_LATIN1, _AS_WINDOWS).alias(c) for c in df.columns])
     return mapped.toDF(*[c.translate(str.maketrans(_AS_LATIN1, _AS_WINDOWS)) for c in df.columns])
 
 
@@ -90,7 +167,7 @@ def read_locations(
     business_col: str | None = None,
     cities: Sequence[str] | None = None,
     businesses: Sequence[str] | None = None,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Locations with trimmed ``_place_id``, ``_city``, ``_business``; blank place ids are dropped."""
     df = read_csv(spark, path, multi_line)
@@ -108,9 +185,11 @@ def read_locations(
     return df
 
 
-def read_reviews(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_reviews(
+    spark: SparkSession, path: str, multi_line: bool | None = None, order: str | None = None
+) -> DataFrame:
     """Classified reviews: files as UTF-8, Windows-1252 or Latin-1, whichever their bytes allow."""
-    return read_csv(spark, path, multi_line)
+    return read_csv(spark, path, multi_line, order)
 
 
 def latest_snapshot(spark: SparkSession, dirs: Sequence[str], glob: str = "*.csv") -> str | None:
@@ -128,11 +207,11 @@ def latest_snapshot(spark: SparkSession, dirs: Sequence[str], glob: str = "*.csv
     return None
 
 
-def read_table(spark: SparkSession, base: str) -> DataFrame:
+def read_table(spark: SparkSession, base: str, multi_line: bool | None = None) -> DataFrame:
     """``base.parquet`` if it exists, else ``base.csv``."""
     try:
         return spark.read.parquet(f"{base}.parquet")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return read_csv(spark, f"{base}.csv")
+        return read_csv(spark, f"{base}.csv", multi_line)
