@@ -485,16 +485,18 @@ def _(spark, sf):
     """Sketches of the (business, city) cells united per business, per city and for all: within 3 % of the exact counts."""
     reviews = b.reviews(spark, sf)
     cells = distinct_sketches(reviews, ["business", "city"], ["place_id", "id"])
-    exact = [F.count_distinct("place_id").alias("places"), F.count_distinct("id").alias("ids")]
 
     def level(name, key):
         keys = [key] if key else []
-        label = F.col(key) if key else F.lit("")
-        near = estimated(unite(cells, keys)).select(label.alias("name"), "place_id", "id")
-        counted = reviews.groupBy(*keys).agg(*exact).select(label.alias("name"), "places", "ids")
-        return counted.join(near, "name").select(
-            F.lit(name).alias("level"), "name", "places", "ids",
-            (F.abs(F.col("place_id") - F.col("places")) <= 0.03 * F.col("places")).alias("places_close"),
-            (F.abs(F.col("id") - F.col("ids")) <= 0.03 * F.col("ids")).alias("ids_close"))
-
-    return union_all(level("business", "business"), level("city", "city"), level("all", None))
+        labels = [F.lit(name).alias("level"), (F.col(key) if key else F.lit("")).alias("name")]
+        near = estimated(unite(cells, keys)).select(
+            *labels, F.col("place_id").alias("near_places"), F.col("id").alias("near_ids"))
+        exact = reviews.groupBy(*keys).agg(
+            F.count_distinct("place_id").alias("places"), F.count_distinct("id").alias("ids")
+        ).select(*labels, "places", "ids")
+        return union_all(near, exact)
+
+    counts = union_all(level("business", "business"), level("city", "city"), level("all", None))
+    both = counts.groupBy("level", "name").agg(*[F.max(c).alias(c) for c in ("places", "ids", "near_places", "near_ids")])
+    return both.select("level", "name", "places", "ids", *[
+        (F.abs(F.col(f"near_{c}") - F.col(c)) <= 0.03 * F.col(c)).alias(f"{c}_close") for c in ("places", "ids")])
