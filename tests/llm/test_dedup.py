@@ -132,6 +132,58 @@ def test_near_components_of_one_large_group(spark):
     assert sorted(map(tuple, got.collect())) == brute_components(texts)
 
 
+def test_members_in_blocks_against_brute_force(spark, monkeypatch):
+    import random
+
+    for name, value in (("FEW", 2), ("BLOCK", 16), ("AT_ONCE", 3)):
+        monkeypatch.setattr(near_dedup, name, value)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(90)]
+    texts = []
+    for _ in range(120):
+        copy = list(base[:90 - rng.choice((0, 0, 5, 9))])
+        for _ in range(rng.choice((0, 1, 2, 3))):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(9)}"
+        texts.append(" ".join(copy))
+    got = near_dedup.near_components(docs_of(spark, texts))
+    assert sorted(map(tuple, got.collect())) == brute_components(texts)
+
+
+def test_blocks_of_a_hot_key_emit_only_near_pairs(spark):
+    """5 000 members of one key in as many components; two pairs have equal sketches, one of them too unlike in size."""
+    import numpy as np
+
+    sketches = np.random.default_rng(3).integers(-2 ** 63, 2 ** 63, (5_000, near_dedup.SKETCH_BITS // 64))
+    sketches[4_321], sketches[17] = sketches[40], sketches[900]
+    sizes = np.full(5_000, 100)
+    sizes[17] = 50
+    rows = [(1, i, i, 0, int(sizes[i]), sketches[i].tolist()) for i in range(5_000)]
+    members = spark.createDataFrame(rows, "key long, id long, component long, main long, n long, sketch array<long>")
+    assert [tuple(r) for r in near_dedup.candidates(members, 85).collect()] == [(40, 4_321)]
+    assert near_dedup.candidates(members.limit(0), 85).count() == 0
+
+
+def test_blocks_and_joins_allow_the_same_flips(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    n, other = rng.integers(1, 5_000, 300), rng.integers(1, 5_000, 300)
+    allowed = near_dedup.flips_allowed(n, other, 85)
+    flips = np.clip(np.floor(allowed)[:, None] + [0, 1], 0, near_dedup.SKETCH_BITS).astype(int)
+    words = near_dedup.SKETCH_BITS // 64
+    rows = []
+    for a, b, pair in zip(n, other, flips):
+        for k in pair:
+            bits = np.zeros(near_dedup.SKETCH_BITS, np.uint8)
+            bits[:k] = 1
+            rows.append((int(a), int(b), int(k), np.packbits(bits).view(np.int64).tolist(), [0] * words))
+    frame = spark.createDataFrame(rows, "n long, m long, k long, s array<long>, t array<long>")
+    told = frame.select("n", "m", "k", near_dedup.may_link(F.col("n"), F.col("s"), F.col("m"), F.col("t")).alias("near")).collect()
+    for r in told:
+        size = 100 * min(r["n"], r["m"]) >= 85 * max(r["n"], r["m"])
+        assert r["near"] == (size and r["k"] <= near_dedup.flips_allowed(np.array([r["n"]]), np.array([r["m"]]), 85)[0])
+
+
 def test_near_components_of_awkward_rows(spark):
     docs, rows = awkward(spark)
     found = near_dedup.near_components(docs).collect()

@@ -21,6 +21,9 @@ SKETCH_BITS = 2_048
 PERCENT = 85
 CACHE = 200_000
 SHINGLES_AT_ONCE = 50_000
+FEW = 64
+BLOCK = 2_048
+AT_ONCE = 16
 
 # An odd 64-bit multiplier to mix bits.
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -170,6 +173,91 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ).select("a", "b")
 
 
+def flips_allowed(n: np.ndarray, other_n: np.ndarray, percent: int) -> np.ndarray:
+    """The differing bits up to which ``may_link`` keeps a pair, by the same formula."""
+    large, shared = np.maximum(n, other_n), (n + other_n) * (percent / (100 + percent))
+    sampled = np.minimum(n, SAMPLE) + np.minimum(other_n, SAMPLE)
+    share = np.minimum(1.0, shared / large)
+    noise = 6 * np.sqrt(SAMPLE * share * (1 - share)) + 12
+    return np.where(large <= SAMPLE, sampled - 2 * shared, sampled - 2 * (share * SAMPLE - noise)) + 1e-6
+
+
+def sketched_block(block: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (stray, member) of one block that may link: other component, size and sketch near enough.
+
+    Both sides are ordered by size, so a slice of strays meets only the members of a size that can link.
+    """
+    n = block.column("n").to_numpy().astype(np.int64)
+    stray = block.column("stray").to_numpy(zero_copy_only=False)
+    order = np.argsort(n, kind="stable")
+    strays, members = order[stray[order]], order[~stray[order]]
+    ids, main = block.column("id").to_numpy(), block.column("main").to_numpy()
+    component = block.column("component").to_numpy()
+    lists_ = block.column("sketch").combine_chunks()
+    sketch = lists_.flatten().to_numpy().reshape(-1, SKETCH_BITS // 64)
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for lo in range(0, len(strays), AT_ONCE):
+        left = strays[lo:lo + AT_ONCE]
+        first = np.searchsorted(100 * n[members], percent * n[left[0]], "left")
+        last = np.searchsorted(percent * n[members], 100 * n[left[-1]], "right")
+        right = members[first:last]
+        a, b = left[:, None], right[None, :]
+        flipped = np.bitwise_count(sketch[a] ^ sketch[b]).sum(2, dtype=np.int64)
+        near = (flipped <= flips_allowed(n[a], n[b], percent)) & (
+            100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+        near &= (component[a] != component[b]) & ((component[b] == main[b]) | (ids[b] < ids[a]))
+        i, j = np.nonzero(near)
+        found.append((left[i], right[j]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def candidates(open_members: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of different components under one key that size and sketch let through.
+
+    ``open_members`` holds ``key, id, component, main, n, sketch``. Every member outside the largest
+    component of a key meets all its members. Keys of up to FEW members are joined; larger ones are dealt
+    in blocks of about BLOCK members by BLOCK strays, so the tasks of a hot key grow in number and not in
+    size, and only the pairs let through leave a block.
+    """
+    is_stray = F.col("component") != F.col("main")
+    fans = open_members.groupBy("key").agg(F.count("*").alias("members"), F.count_if(is_stray).alias("strays"))
+    sized = open_members.join(fans, "key").withColumn("stray", is_stray)
+
+    few = sized.filter(F.col("members") <= FEW)
+    left = few.filter("stray").select("key", *[F.col(c).alias(f"stray_{c}") for c in ("id", "component", "n", "sketch")])
+    joined = few.join(
+        left,
+        (few["key"] == left["key"]) & (F.col("component") != F.col("stray_component"))
+        & ((F.col("component") == F.col("main")) | (F.col("id") < F.col("stray_id")))
+        & may_link(F.col("n"), F.col("sketch"), F.col("stray_n"), F.col("stray_sketch"), percent),
+    ).select(F.col("stray_id").alias("a"), F.col("id").alias("b"))
+
+    def blocks(count: str) -> Column:
+        return F.ceil(F.col(count) / BLOCK)
+
+    def own(count: str) -> Column:
+        return F.pmod(F.xxhash64("id", "key"), blocks(count))
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), blocks(count) - 1))
+
+    many = sized.filter(F.col("members") > FEW)
+    columns = ["key", "id", "component", "main", "n", "sketch"]
+    dealt = many.select(
+        *columns, F.lit(False).alias("stray"), own("members").alias("member_block"), every("strays").alias("stray_block")
+    ).unionByName(many.filter("stray").select(
+        *columns, F.lit(True).alias("stray"), every("members").alias("member_block"), own("strays").alias("stray_block")))
+    kind = open_members.schema["id"].dataType.simpleString()
+
+    def run(block: pa.Table) -> pa.Table:
+        a, b = sketched_block(block, percent)
+        ids = block.column("id")
+        return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b))})
+
+    spread = dealt.groupBy("key", "member_block", "stray_block").applyInArrow(run, f"a {kind}, b {kind}")
+    return joined.unionByName(spread).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_components(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT
 ) -> DataFrame:
@@ -180,7 +268,7 @@ def near_components(
     each. Candidates are classes that share a key of a MinHash band. First each member of a band key is
     compared with one member of it, chosen by a hash that differs from key to key; then, under keys that
     still hold several components, every member outside the largest one is compared with all members of
-    other components. That leaves no candidate between components unseen, while members of one component
+    other components, in blocks of bounded size (``candidates``). That leaves no candidate between components unseen, while members of one component
     are not paired again. Odd sketches rule candidates out before full sets are fetched; each link is
     confirmed on full sets of 64-bit shingle hashes. The bands follow from ``percent`` (20 at 85, 28 at 80): a pair of exactly
     that similarity shares no band with a probability below 10^-6.
@@ -226,15 +314,7 @@ def near_components(
         F.max_by("component", F.struct("members", "component")).alias("main"), F.count("*").alias("components")
     ).filter("components > 1").select("key", "main")
     open_members = stored(placed.join(mixed_keys, "key").join(traits, "id"))
-    stray = open_members.filter("component <> main").select(
-        "key", *[F.col(c).alias(f"stray_{c}") for c in ("id", "component", "n", "sketch")]
-    )
-    across = open_members.join(
-        stray,
-        (open_members["key"] == stray["key"]) & (F.col("component") != F.col("stray_component"))
-        & ((F.col("component") == F.col("main")) | (F.col("id") < F.col("stray_id")))
-        & may_link(F.col("n"), F.col("sketch"), F.col("stray_n"), F.col("stray_sketch"), percent),
-    ).select(F.least("id", "stray_id").alias("a"), F.greatest("id", "stray_id").alias("b")).distinct()
+    across = candidates(open_members, percent)
     late = confirmed(across, sets, percent)
     final = connected(late.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
