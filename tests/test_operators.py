@@ -14,7 +14,7 @@ from vocalake.operators.dedupe import dedupe_first
 from vocalake.operators.entity import resolve_ids
 from vocalake.operators.geo import add_region, region_by_city, region_by_point
 from vocalake.operators.ids import assign_ids
-from vocalake.operators.joins import hot_keys, salted_join, with_sentiment
+from vocalake.operators.joins import with_sentiment
 from vocalake.operators.normalize import normalize_reviews
 from vocalake.operators.ranking import global_rank
 from vocalake.plans import catalogue, store
@@ -39,17 +39,6 @@ def plan_of(df):
 
 # ------------------------------------------------------------------------------ skew and scale
 
-def test_salted_join_keeps_every_row(spark):
-    fact = spark.range(3000).select(
-        "id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, None).otherwise(F.col("id") % 50).alias("k"))
-    dim = spark.range(40).select(F.col("id").alias("k"), F.concat(F.lit("v"), "id").alias("v"))
-    hot = hot_keys(fact, ["k"], rows_per_salt=500)
-    assert {r.k for r in hot.collect()} == {7, None}
-    spread = salted_join(fact, dim, ["k"], hot, ["id"])
-    plain = fact.join(dim, "k", "left")
-    assert sorted(spread.select("id", "v").collect(), key=str) == sorted(plain.select("id", "v").collect(), key=str)
-
-
 def test_hot_keys_split_by_adaptive_join(spark):
     """Without a broadcast, a hot city is split into several tasks by the adaptive planner."""
     settings = {
@@ -331,12 +320,55 @@ def test_store_versions_and_batches(spark, tmp_path):
     assert store.sql(spark, base, "SELECT count(*) AS n FROM v_reviews_full").head().n == 2
 
 
-def test_store_ignores_what_was_not_committed(spark, tmp_path):
+def test_failed_write_leaves_the_table(spark, tmp_path):
     base = str(tmp_path / "store")
-    rows = columns.complete(spark.createDataFrame([(1, "p"), (2, "q")], "id long, place_id string"), REVIEWS)
+    rows = spark.createDataFrame([(1, "p"), (2, "q")], "id long, place_id string")
     store.append_rows(rows, base, "reviews")
-    rows.limit(1).write.parquet(f"{base}/reviews/data/attempt=unfinished")
-    assert store.load_table(spark, base, "reviews").count() == 2
+    broken = spark.createDataFrame([(3, "r")], rows.schema).withColumn("place_id", F.raise_error(F.lit("lost")).cast("string"))
+    for write in (store.append_rows, store.save_table):
+        with pytest.raises(Exception, match="lost"):
+            write(broken, base, "reviews")
+    assert sorted(r.id for r in store.load_table(spark, base, "reviews").collect()) == [1, 2]
+    store.save_table(store.load_table(spark, base, "reviews").filter("id = 2"), base, "reviews")
+    assert [r.id for r in store.load_table(spark, base, "reviews").collect()] == [2]
+
+
+def test_store_keeps_one_row_of_a_hot_key(spark, tmp_path):
+    """Equal and different rows of one key: one stays, all others are kept as rejects."""
+    base = str(tmp_path / "store")
+    rows = spark.range(0, 4000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).cast("long").alias("id"),
+        F.concat(F.lit("p"), F.col("id") % 2).alias("place_id"))
+    store.append_rows(rows, base, "reviews", writer="stream", batch=0)
+    ids = [r.id for r in store.load_table(spark, base, "reviews").collect()]
+    assert len(ids) == len(set(ids)) == rows.select("id").distinct().count()
+    assert store.rejected_rows(spark, base, "reviews").count() == rows.count() - len(ids)
+    store.append_rows(rows, base, "reviews", writer="stream", batch=0)
+    assert store.load_table(spark, base, "reviews").count() == len(ids)
+    assert store.rejected_rows(spark, base, "reviews").count() == rows.count() - len(ids)
+
+
+def test_statistics_over_bucketed_store_have_no_exchange_below_the_join(spark, tmp_path):
+    base = str(tmp_path / "store")
+    store.create_tables(spark, base)
+    ids = spark.range(500)
+    store.append_rows(ids.select("id", F.concat(F.lit("p"), F.col("id") % 7).alias("place_id"),
+                                 F.concat(F.lit("b"), F.col("id") % 3).alias("business")), base, "reviews")
+    store.append_rows(ids.filter("id % 2 = 0").select("id", F.col("id").alias("review_id"), F.lit("Positif").alias("sentiment")),
+                      base, "classifications")
+    saved = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frames = store.save_bucketed(spark, base, 4, "bucket_test")
+        stats = catalogue.business_stats(frames["reviews"], frames["classifications"])
+        plan = stats._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+        plain = catalogue.business_stats(store.load_table(spark, base, "reviews"), store.load_table(spark, base, "classifications"))
+        assert "SortMergeJoin" in plan and "Exchange" not in plan[plan.index("SortMergeJoin"):]
+        assert sorted(stats.collect()) == sorted(plain.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", saved)
+        for table in store.BUCKETED:
+            spark.sql(f"DROP TABLE IF EXISTS bucket_test_{table}")
 
 
 def test_store_reads_only_the_wanted_months(spark, tmp_path):

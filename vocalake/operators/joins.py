@@ -1,53 +1,13 @@
-"""Joins between the stored tables, and the skew-safe dimension join they use."""
+"""Joins between the stored tables."""
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import fold_marks
 
-ROWS_PER_SALT = 1_000_000
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """Every key of more than ``rows_per_salt`` rows with its number of salts, ``_fan``.
-
-    The count combines map-side and reads only the key columns; the fan grows with the key.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > rows_per_salt)
-    return counts.select(*keys, F.ceil(F.col("_rows") / rows_per_salt).alias("_fan"))
-
-
-def salted_join(
-    fact: DataFrame,
-    dim: DataFrame,
-    keys: Sequence[str],
-    hot: DataFrame,
-    salt_by: Sequence[str],
-    how: str = "left",
-) -> DataFrame:
-    """Equi-join of many fact rows to a dimension with unique keys, spread out for ``hot`` keys.
-
-    Fact rows of a hot key are spread over its ``_fan`` salts by a hash of ``salt_by``, which
-    should be a row id; dimension rows of hot keys are repeated once per salt. Every other key
-    keeps salt 0 on both sides, so nothing else is copied; null keys match nothing and spread freely. ``hot`` comes from ``hot_keys`` over
-    a stored table, so finding it costs one narrow scan and does not repeat the lineage of
-    ``fact``. For sessions without adaptive skew splitting, which does the same at run time.
-    """
-    keys = list(keys)
-    marked = hot.select(*keys, "_fan")
-    fan = F.coalesce("_fan", F.lit(1).cast("long"))
-    row = F.xxhash64(*salt_by)
-    unmatched = reduce(or_, [F.col(k).isNull() for k in keys])
-    salted = fact.join(marked, keys, "left").withColumn(
-        "_salt", F.when(unmatched, row).otherwise(F.pmod(row, fan))).drop("_fan")
-    fanned = dim.join(marked, keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), fan - 1))).drop("_fan")
-    return salted.join(fanned, [*keys, "_salt"], how).drop("_salt")
-
 
 def with_sentiment(reviews: DataFrame, classifications: DataFrame, *extra: str) -> DataFrame:
     """Reviews with the sentiment (and ``extra`` columns) of their classification, if any.

@@ -131,8 +131,14 @@ def _append_classified(spark: SparkSession, rows: DataFrame, base: str, now: dat
     store.append_rows(parts["reviews"], base, "reviews")
 
 
-def run_migration(spark: SparkSession, path: str, base: str, now: datetime) -> dict[str, DataFrame]:
-    """Create the store, import a classified file under a run record and verify the result."""
+def run_migration(
+    spark: SparkSession, path: str, base: str, now: datetime, buckets: int | None = None, prefix: str = "stored",
+) -> dict[str, DataFrame]:
+    """Create the store, import a classified file under a run record and verify the result.
+
+    With ``buckets``, reviews and classifications are also written bucketed on the review id, as
+    catalogue tables ``<prefix>_<table>`` on which the views then rest (``store.save_bucketed``).
+    """
     store.create_tables(spark, base)
     runs = start_run(store.load_table(spark, base, "processing_runs"), "migration", now, {"source": path})
     store.save_table(runs, base, "processing_runs")
@@ -148,6 +154,9 @@ def run_migration(spark: SparkSession, path: str, base: str, now: datetime) -> d
     store.save_table(
         update_run(runs, run_id, now, COMPLETED, processed=total, total=total, stats={"total_rows": total}),
         base, "processing_runs")
-    store.register_views(spark, base)
-    tables = {name: store.load_table(spark, base, name) for name in store.TABLES}
+    if buckets:
+        tables = store.save_bucketed(spark, base, buckets, prefix)
+    else:
+        tables = {name: store.load_table(spark, base, name) for name in store.TABLES}
+    store.register_frames(tables)
     return catalogue.verify(**tables)

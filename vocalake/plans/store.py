@@ -1,19 +1,17 @@
-"""The stored tables: data and commits below ``<base>/<table>``.
+"""The stored tables: Parquet below ``<base>/<table>/data``, partitioned by writer, batch and month.
 
-Rows go to ``data/attempt=<id>``, a new folder for every write, and count once a commit names that
-folder: ``commits/version=<n>/writer=<w>/batch=<m>`` holds it. A rewrite commits the next version
-and an insert a new batch of its writer, so no job overwrites what it reads, a failed or unfinished
-job leaves no trace in the table, and repeating a batch replaces that batch only. Rows that break a
-constraint are kept in ``rejects/<attempt>`` instead.
+A write first stages its rows in ``staging/writer=<w>``, looks for rows that break a constraint by keys
+and row positions alone, puts those into ``rejects`` and the others into ``data/writer=<w>/batch=<n>``.
+A numbered batch overwrites its own folder, so repeating it replaces that batch only; a write that fails
+before its Spark job commits leaves the table as it was. One job at a time writes under one writer name.
 """
 from __future__ import annotations
 
-import uuid
 from datetime import date
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.columns import complete
 from ..operators.dedupe import key_digest
@@ -21,150 +19,142 @@ from ..operators.joins import reviews_full
 from ..operators.validate import check_constraints
 from ..schemas import KEY_DIGEST, REVIEW_KEY, TABLES, UNIQUE_KEYS
 from ..session import configure
+from ..sinks.writers import write_bucketed
 from . import catalogue
 
 MAIN = "main"
-COMMITS = "attempt string, version long, writer string, batch long"
+WRITER, BATCH = "_writer", "_batch"
 # Reviews lie in one folder per month of their date, so a query over recent months lists only those.
 MONTH = "review_month"
 DATED = {"reviews": "review_date_parsed"}
-FOLDERS = (T.StructField("attempt", T.StringType()), T.StructField(MONTH, T.StringType()))
 DIGESTED = {"reviews": REVIEW_KEY}
+# Statistics join these two on the review id; bucketed alike on it they need no shuffle.
+BUCKETED = {"reviews": "id", "classifications": "review_id"}
+POSITION = ["_file", "_at"]
 
 
-def _commits(spark: SparkSession, base: str, table: str) -> list[tuple[int, str, int, str]]:
-    """(version, writer, batch, attempt) of the current version; one small row per batch."""
+def _stored_schema(table: str) -> T.StructType:
+    digest = [T.StructField(KEY_DIGEST, T.BinaryType())] if table in DIGESTED else []
+    month = [T.StructField(MONTH, T.StringType())] if table in DATED else []
+    batch = [T.StructField(WRITER, T.StringType()), T.StructField(BATCH, T.LongType())]
+    return T.StructType([*TABLES[table], *digest, *batch, *month])
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """The Parquet files below ``path``; None if there is no such folder."""
     try:
-        rows = spark.read.schema(COMMITS).parquet(f"{base}/{table}/commits")
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return []
-    newest = rows.select(F.max("version")).head()[0]
-    return sorted((r.version, r.writer, r.batch, r.attempt) for r in rows.filter(F.col("version") == newest).collect())
-
-
-def _read(spark: SparkSession, table: str, base: str, *paths: str) -> DataFrame:
-    digest = [T.StructField(KEY_DIGEST, T.BinaryType())] if table in DIGESTED else []
-    return spark.read.schema(T.StructType([*TABLES[table], *digest, *FOLDERS])).option("basePath", base).parquet(*paths)
+        return None
 
 
 def load_table(
     spark: SparkSession, base: str, table: str, writer: str | None = None, before_batch: int = 0,
     since: date | None = None, keyed: bool = False,
 ) -> DataFrame:
-    """Rows of the current version; with ``writer``, without that writer's batches from
-    ``before_batch`` on; with ``since``, only reviews dated from that day's month on; with
-    ``keyed``, with the stored digest of a review's key. Only committed folders, and of those
-    only the wanted months, are read."""
-    paths = [
-        f"{base}/{table}/data/attempt={attempt}" for _, w, batch, attempt in _commits(spark, base, table)
-        if writer is None or w != writer or batch < before_batch
-    ]
-    digest = [KEY_DIGEST] if keyed and table in DIGESTED else []
-    if not paths:
-        return spark.createDataFrame([], T.StructType([*TABLES[table], *[T.StructField(d, T.BinaryType()) for d in digest]]))
-    rows = _read(spark, table, f"{base}/{table}/data", *paths)
+    """Rows of the table; with ``writer``, without that writer's batches from ``before_batch`` on;
+    with ``since``, only reviews dated from that day's month on; with ``keyed``, with the stored
+    digest of a review's key. Batches and months are partitions, so only the wanted ones are read."""
+    schema = _stored_schema(table)
+    rows = _read(spark, f"{base}/{table}/data", schema)
+    if rows is None:
+        rows = spark.createDataFrame([], schema)
+    if writer is not None:
+        rows = rows.filter((F.col(WRITER) != writer) | (F.col(BATCH) < before_batch))
     if since is not None and table in DATED:
         rows = rows.filter(F.col(MONTH) >= f"{since:%Y-%m}")
+    digest = [KEY_DIGEST] if keyed and table in DIGESTED else []
     return rows.select(*TABLES[table].names, *digest)
 
 
-def _put(df: DataFrame, table: str, path: str) -> None:
+def _rejected_positions(staged: DataFrame, table: str, stored: DataFrame | None) -> DataFrame:
+    """Positions of staged rows that break NOT NULL, CHECK or a unique key.
+
+    Of rows that share a key the one with the smallest hash of its values stays. Keys are reduced with
+    map-side combine, so a key of many rows is never sorted or gathered in one task.
+    """
+    good, bad = check_constraints(staged, table)
+    keys = UNIQUE_KEYS[table]
+    order = F.struct(F.xxhash64(*TABLES[table].names).alias("hash"), *POSITION)
+    alive = good.select(*dict.fromkeys(keys), *POSITION, order.alias("_order"))
+    rejected = [bad.select(*POSITION)]
+    for key in keys:
+        firsts = alive.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min("_order").alias("_first"))
+        repeated = firsts.filter("_n > 1").select(key, "_first")
+        turned_down = alive.join(repeated, key).filter("_order != _first").select(*POSITION)
+        if stored is not None:
+            known = alive.join(stored.select(key), key, "left_semi").select(*POSITION)
+            turned_down = turned_down.unionByName(known).distinct()
+        rejected.append(turned_down)
+        alive = alive.join(turned_down, POSITION, "left_anti")
+    return reduce(DataFrame.unionByName, rejected)
+
+
+def _spread(df: DataFrame, table: str) -> tuple[DataFrame, list[str]]:
+    """Rows as they are stored, and the columns that name their folders."""
     if table in DIGESTED:
         df = df.withColumn(KEY_DIGEST, key_digest(*DIGESTED[table]))
-    if table in DATED:
-        month = F.date_format(DATED[table], "yyyy-MM")
-        df.withColumn(MONTH, month).hint("rebalance", MONTH).write.partitionBy(MONTH).parquet(path)
-    else:
-        df.write.parquet(path)
-
-
-def _first_of_key(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(one row per key, further rows of repeated keys); only repeated keys are sorted."""
-    repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key)
-    ordered = W.partitionBy(key).orderBy(*[c for c in df.columns if c != key])
-    ranked = df.join(repeated, key, "left_semi").withColumn("_place", F.row_number().over(ordered))
-    single = df.join(repeated, key, "left_anti")
-    return (
-        single.unionByName(ranked.filter("_place = 1").drop("_place")).select(*df.columns),
-        ranked.filter("_place > 1").drop("_place").select(*df.columns),
-    )
-
-
-def _accepted(df: DataFrame, table: str, stored: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(rows that keep all constraints, the others): NOT NULL, CHECK and unique keys."""
-    good, bad = check_constraints(df, table)
-    rejected = [bad]
-    for key in UNIQUE_KEYS[table]:
-        good, repeated = _first_of_key(good, key)
-        rejected.append(repeated)
-        if stored is not None:
-            known = stored.select(key)
-            rejected.append(good.join(known, key, "left_semi").select(*df.columns))
-            good = good.join(known, key, "left_anti").select(*df.columns)
-    return good, reduce(DataFrame.unionByName, rejected)
+    if table not in DATED:
+        return df, []
+    return df.withColumn(MONTH, F.date_format(DATED[table], "yyyy-MM")).hint("rebalance", MONTH), [MONTH]
 
 
-def _write(
-    df: DataFrame, base: str, table: str, version: int, writer: str, batch: int, stored: DataFrame | None,
-    replace: bool,
-) -> None:
-    """Write the rows, check what was written, keep rejects aside, then commit."""
+def _accepted(
+    df: DataFrame, base: str, table: str, stored: DataFrame | None, writer: str, folder: str, mode: str
+) -> DataFrame:
+    """Stage the rows, put those that break a constraint into ``rejects``; the others."""
     spark = df.sparkSession
-    attempt = uuid.uuid4().hex
-    data = f"{base}/{table}/data"
-    path = f"{data}/attempt={attempt}"
-    _put(complete(df, TABLES[table]), table, path)
-    good, bad = _accepted(_read(spark, table, data, path).select(*TABLES[table].names), table, stored)
-    bad.write.parquet(f"{base}/{table}/rejects/{attempt}")
-    if not spark.read.schema(TABLES[table]).parquet(f"{base}/{table}/rejects/{attempt}").isEmpty():
-        attempt = f"{attempt}-checked"
-        _put(good, table, f"{data}/attempt={attempt}")
-    commit = f"{base}/{table}/commits/version={version}/writer={writer}/batch={batch}"
-    spark.createDataFrame([(attempt,)], "attempt string").coalesce(1).write.mode(
-        "overwrite" if replace else "errorifexists").parquet(commit)
+    names = TABLES[table].names
+    staging = f"{base}/{table}/staging/writer={writer}"
+    complete(df, TABLES[table]).write.mode("overwrite").parquet(staging)
+    staged = spark.read.schema(TABLES[table]).parquet(staging).select(
+        *names, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    rejected = _rejected_positions(staged, table, stored)
+    if rejected.isEmpty():
+        return staged.select(*names)
+    staged.join(rejected, POSITION, "left_semi").select(*names).write.mode(mode).parquet(
+        f"{base}/{table}/rejects/{folder}")
+    return staged.join(rejected, POSITION, "left_anti").select(*names)
 
 
 def save_table(df: DataFrame, base: str, table: str) -> None:
-    """Replace the table's content by committing its next version."""
-    current = _commits(df.sparkSession, base, table)
-    _write(df, base, table, current[0][0] + 1 if current else 0, MAIN, 0, None, replace=False)
+    """Replace the table's content; the new rows, which may come from the table, are staged before."""
+    good = _accepted(df, base, table, None, MAIN, f"{WRITER}={MAIN}/{BATCH}=0", "append")
+    rows, folders = _spread(good, table)
+    rows.withColumns({WRITER: F.lit(MAIN), BATCH: F.lit(0)}).write.mode("overwrite").option(
+        "partitionOverwriteMode", "static").partitionBy(WRITER, BATCH, *folders).parquet(f"{base}/{table}/data")
 
 
 def append_rows(df: DataFrame, base: str, table: str, writer: str = MAIN, batch: int | None = None) -> None:
-    """Add rows to the current version as one batch; writing a numbered batch again replaces it.
+    """Add rows as one batch of the writer; writing a numbered batch again replaces it.
 
-    A batch without a number takes the next free one; if another job commits that number first,
-    the write fails and can be repeated. Rows whose key is stored already are rejected.
+    Batches without a number go to the writer's batch 0 one after another. Rows whose key is stored
+    already are rejected; a numbered batch is compared with everything but itself and later ones.
     """
     spark = df.sparkSession
-    current = _commits(spark, base, table)
-    version = current[0][0] if current else 0
-    if batch is None:
-        number = max((b for _, w, b, _ in current if w == writer), default=-1) + 1
-        _write(df, base, table, version, writer, number, load_table(spark, base, table), replace=False)
-    else:
-        others = load_table(spark, base, table, writer=writer, before_batch=batch)
-        _write(df, base, table, version, writer, batch, others, replace=True)
+    numbered = batch is not None
+    folder = f"{WRITER}={writer}/{BATCH}={batch if numbered else 0}"
+    mode = "overwrite" if numbered else "append"
+    stored = load_table(spark, base, table, writer=writer if numbered else None, before_batch=batch or 0)
+    rows, folders = _spread(_accepted(df, base, table, stored, writer, folder, mode), table)
+    rows.write.mode(mode).option("partitionOverwriteMode", "static").partitionBy(*folders).parquet(
+        f"{base}/{table}/data/{folder}")
 
 
 def rejected_rows(spark: SparkSession, base: str, table: str) -> DataFrame:
     """All rows that writes to the table have turned down."""
-    try:
-        return spark.read.schema(TABLES[table]).option("recursiveFileLookup", "true").parquet(f"{base}/{table}/rejects")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], TABLES[table])
+    rows = _read(spark, f"{base}/{table}/rejects", _stored_schema(table))
+    return spark.createDataFrame([], TABLES[table]) if rows is None else rows.select(*TABLES[table].names)
 
 
 def create_tables(spark: SparkSession, base: str) -> None:
     """Create missing tables as empty typed Parquet; the session gets the settings the jobs rely on."""
     configure(spark)
     for table, schema in TABLES.items():
-        if not _commits(spark, base, table):
-            _write(spark.createDataFrame([], schema), base, table, 0, MAIN, 0, None, replace=False)
+        if _read(spark, f"{base}/{table}/data", _stored_schema(table)) is None:
+            save_table(spark.createDataFrame([], schema), base, table)
 
 
 def init_catalog(spark: SparkSession, base: str) -> None:
@@ -184,6 +174,19 @@ def register_frames(frames: dict[str, DataFrame]) -> None:
     catalogue.v_temporal_stats(reviews, labels).createOrReplaceTempView("v_temporal_stats")
 
 
+def save_bucketed(spark: SparkSession, base: str, buckets: int, prefix: str) -> dict[str, DataFrame]:
+    """All tables, with reviews and classifications copied into ``buckets`` alike on the review id.
+
+    The copies lie below ``<base>/bucketed`` and are named ``<prefix>_<table>`` in the session's catalogue,
+    which knows their buckets: statistics that join the sentiment have no shuffle below the join.
+    """
+    frames = {table: load_table(spark, base, table) for table in TABLES}
+    for table, key in BUCKETED.items():
+        write_bucketed(frames[table], f"{prefix}_{table}", key, buckets, f"{base}/bucketed/{table}")
+        frames[table] = spark.table(f"{prefix}_{table}")
+    return frames
+
+
 def register_views(spark: SparkSession, base: str) -> None:
     register_frames({table: load_table(spark, base, table) for table in TABLES})
 

@@ -122,6 +122,9 @@ def write_aggregates(rollups: DataFrame, path: str) -> None:
 
 
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str) -> None:
-    """Hash-bucketed, key-sorted table at ``path``: two tables bucketed alike join without a shuffle."""
-    writer = df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet")
+    """Hash-bucketed, key-sorted table at ``path``: two tables bucketed alike join without a shuffle.
+
+    Rows are dealt by the same hash before, so each bucket is one file whatever the number of tasks.
+    """
+    writer = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet")
     writer.option("path", path).saveAsTable(table)

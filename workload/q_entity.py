@@ -9,7 +9,7 @@ from pyspark.sql import functions as F, types as T
 from vocalake.operators.dedupe import dedupe_first
 from vocalake.operators.entity import attach_place_metadata, consolidate_places, resolve_ids
 from vocalake.operators.geo import add_region, city_aliases, city_centers, region_by_point
-from vocalake.operators.joins import hot_keys, resolve_city, salted_join, search_grid, union_all
+from vocalake.operators.joins import resolve_city, search_grid, union_all
 from vocalake.schemas import GAZETTEER
 from vocalake.sources.documents import (
     city_list, parse_place_payloads, parse_review_payloads, read_stored_lookup, write_lookup,
@@ -452,12 +452,10 @@ def _(spark, sf):
 SELECT l_orderkey, l_linenumber, r_name FROM lineitem
 LEFT JOIN region ON r_regionkey = CASE WHEN l_partkey%3=0 THEN 0 WHEN l_partkey%50=1 THEN NULL ELSE l_suppkey%7 END""")
 def _(spark, sf):
-    """A third of the lines share one key and some have none; the salted join must lose no row."""
+    """A third of the lines share one key and some have none; adaptive splitting deals with the key."""
     part = F.col("l_partkey")
     lines = b.table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber",
         F.when(part % 3 == 0, 0).when(part % 50 == 1, None).otherwise((F.col("l_suppkey") % 7).cast("int")).alias("key"))
     names = b.table(spark, sf, "region").select(F.col("r_regionkey").alias("key"), "r_name")
-    hot = hot_keys(lines, ["key"], rows_per_salt=1000)
-    joined = salted_join(lines, names, ["key"], hot, salt_by=["l_orderkey", "l_linenumber"])
-    return joined.select("l_orderkey", "l_linenumber", "r_name")
+    return lines.join(names, "key", "left").select("l_orderkey", "l_linenumber", "r_name")
