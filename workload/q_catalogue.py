@@ -11,7 +11,7 @@ from vocalake.operators.ranking import with_group_share
 from vocalake.operators.sketches import distinct_sketches, estimated, unite
 from vocalake.plans import catalogue as c
 from vocalake.plans.named import run_query
-from vocalake.plans.store import append_rows, load_table, register_frames
+from vocalake.plans.store import append_rows, load_table, register_frames, save_bucketed
 from vocalake.taxonomy import (
     CATEGORY_COLUMNS, NEGATIVE_FLAGS, POSITIVE_FLAGS,
 )
@@ -67,6 +67,17 @@ def business_stats(spark, sf):
     return c.business_stats(*rc(spark, sf))
 
 
+@query("business_stats_stored", sql(BUSINESS_STATS.format(where="")))
+def _(spark, sf):
+    """The same over a store whose reviews and classifications are bucketed alike on the review id."""
+    base = b.scratch(spark)
+    reviews, labels = rc(spark, sf)
+    append_rows(reviews, base, "reviews")
+    append_rows(labels, base, "classifications")
+    frames = save_bucketed(spark, base, 8, f"stats_{base[-32:]}")
+    return c.business_stats(frames["reviews"], frames["classifications"])
+
+
 @query("business_stats_one", sql(BUSINESS_STATS.format(where=f"WHERE business='{BUSINESS}'")))
 def _(spark, sf):
     return c.business_stats(*rc(spark, sf), business=BUSINESS)
