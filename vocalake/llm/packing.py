@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import bisect
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -15,7 +16,6 @@ from .common import stored
 from .tokens import RANK_FILE, load_encoding
 
 CAPACITY = 2048
-SLOTS = 1024
 END = 0
 
 
@@ -179,21 +179,24 @@ def pack_lengths(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tu
     return runs
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, slots: int = SLOTS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The rows of ``token_pieces`` with ``sequence_id`` and ``offset`` added.
 
     Only the histogram of lengths, at most ``capacity`` rows, reaches the driver. Pieces of one length
-    are numbered inside ``slots`` hashed parts whose offsets are prefix sums, so a hot length is spread;
-    each piece then looks its number up in the runs of ``pack_lengths``. Sequences are gapless from
+    are numbered inside hashed slots whose offsets are prefix sums, so a hot length is spread: n pieces get
+    about sqrt(n) slots, and neither a slot nor the prefix sums of a length are more than about sqrt(n)
+    rows. Each piece then looks its number up in the runs of ``pack_lengths``. Sequences are gapless from
     offset 0 and hold at most ``capacity`` ids. An empty table gives no rows.
     """
     pieces = stored(pieces)
     carried = pieces.columns
-    slotted = pieces.withColumn("slot", F.pmod(F.xxhash64("id", "piece"), F.lit(slots)).cast("int"))
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    slots = F.lit([math.isqrt(histogram.get(length, 0)) + 1 for length in range(capacity + 1)])
+    slot = F.pmod(F.xxhash64("id", "piece", "start", "ids_crc32"), F.element_at(slots, F.col("length").cast("int") + 1))
+    slotted = pieces.withColumn("slot", slot)
     sizes = slotted.groupBy("length", "slot").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("length", "slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = np.array(sorted(pack_lengths(histogram, capacity)), np.int64).reshape(-1, 6)
     number = F.row_number().over(Window.partitionBy("length", "slot").orderBy("id", "piece", "start", "ids_crc32"))
     numbered = slotted.withColumn("number", number).join(bases, ["length", "slot"]).select(
