@@ -8,6 +8,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from vocalake.functions import text
 from vocalake.operators import columns, dedupe, mutate, sketches
 from vocalake.operators.classify import _answers, classify, classify_by_rules
 from vocalake.operators.dedupe import dedupe_first
@@ -17,11 +18,11 @@ from vocalake.operators.ids import assign_ids
 from vocalake.operators.joins import with_sentiment
 from vocalake.operators.normalize import normalize_reviews
 from vocalake.operators.ranking import global_rank
-from vocalake.plans import catalogue, store
+from vocalake.plans import catalogue, migration, store
 from vocalake.plans.named import run_query
 from vocalake.plans.rollups import build_aggregates, rollup_table
 from vocalake.schemas import PLACES, REVIEWS
-from vocalake.session import ensure_checkpoint_dir
+from vocalake.session import configure, ensure_checkpoint_dir
 from vocalake.sinks import writers
 from vocalake.sources import documents, tabular
 from vocalake.sources.regions import describe_regions, read_regions
@@ -718,3 +719,29 @@ def test_csv_forms_choose_how_a_file_is_read(spark, tmp_path):
         whole = sorted(map(tuple, tabular.read_csv(spark, path, multi_line=True).collect()))
         assert sorted(map(tuple, tabular.read_csv(spark, path).collect())) == whole == expected[how]
     assert tabular.read_csv(spark, str(tmp_path), order="o").select("o").distinct().count() == 6
+
+
+# ------------------------------------------------------------------------------ imports that scale
+
+def test_compressed_store_is_not_broadcast(spark, tmp_path):
+    """A stored table whose file is far smaller than its keys in memory: its ids must not pass through the driver."""
+    configure(spark)
+    base, saved = str(tmp_path / "store"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    rows = spark.range(0, 200_000, 1, 4).select("id", F.lit("p").alias("place_id"))
+    columns.complete(rows, REVIEWS).coalesce(1).write.parquet(f"{base}/reviews/data/_writer=main/_batch=0/review_month=2024-01")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        plan = plan_of(rows.join(store.load_table(spark, base, "reviews").select("id"), "id", "left_semi"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", saved)
+    assert "BroadcastHashJoin" not in plan
+
+
+def test_rows_without_rejects_shuffle_only_their_keys(spark, tmp_path):
+    clean = columns.complete(spark.range(50).select("id", F.lit("p").alias("place_id")), REVIEWS)
+    numbered = clean.withColumn(store.POSITION, F.monotonically_increasing_id())
+    assert store._rejected_positions(numbered, "reviews", None) is None
+    twice = numbered.unionByName(numbered.withColumn(store.POSITION, F.col(store.POSITION) + (1 << 40)))
+    assert store._rejected_positions(twice, "reviews", None).count() == 50
+    known = store._rejected_positions(numbered, "reviews", clean.filter("id < 7"))
+    assert known.count() == 7

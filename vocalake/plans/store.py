@@ -1,7 +1,7 @@
 """The stored tables: Parquet below ``<base>/<table>/data``, partitioned by writer, batch and month.
 
 A write first stages its rows in ``staging/writer=<w>``, looks for rows that break a constraint by keys
-and row positions alone, puts those into ``rejects`` and the others into ``data/writer=<w>/batch=<n>``.
+and row numbers alone, puts those into ``rejects`` and the others into ``data/writer=<w>/batch=<n>``.
 A numbered batch overwrites its own folder, so repeating it replaces that batch only; a write that fails
 before its Spark job commits leaves the table as it was. One job at a time writes under one writer name.
 """
@@ -30,7 +30,8 @@ DATED = {"reviews": "review_date_parsed"}
 DIGESTED = {"reviews": REVIEW_KEY}
 # Statistics join these two on the review id; bucketed alike on it they need no shuffle.
 BUCKETED = {"reviews": "id", "classifications": "review_id"}
-POSITION = ["_file", "_at"]
+# Number of a staged row, written with it, so that it stays whatever reads the staged rows.
+POSITION = "_at"
 
 
 def _stored_schema(table: str) -> T.StructType:
@@ -69,27 +70,33 @@ def load_table(
     return rows.select(*TABLES[table].names, *digest)
 
 
-def _rejected_positions(staged: DataFrame, table: str, stored: DataFrame | None) -> DataFrame:
-    """Positions of staged rows that break NOT NULL, CHECK or a unique key.
+def _rejected_positions(staged: DataFrame, table: str, stored: DataFrame | None) -> DataFrame | None:
+    """Positions of staged rows that break NOT NULL, CHECK or a unique key; None if there are none.
 
-    Of rows that share a key the one with the smallest hash of its values stays. Keys are reduced with
+    Of rows that share a key the one with the smallest hash of its values stays. A key is counted first,
+    which shuffles the key alone; hashes and positions follow only if it repeats. Keys are reduced with
     map-side combine, so a key of many rows is never sorted or gathered in one task.
     """
     good, bad = check_constraints(staged, table)
     keys = UNIQUE_KEYS[table]
-    order = F.struct(F.xxhash64(*TABLES[table].names).alias("hash"), *POSITION)
-    alive = good.select(*dict.fromkeys(keys), *POSITION, order.alias("_order"))
-    rejected = [bad.select(*POSITION)]
+    order = F.struct(F.xxhash64(*TABLES[table].names).alias("hash"), POSITION)
+    alive = good.select(*dict.fromkeys(keys), POSITION, order.alias("_order"))
+    rejected = [] if bad.isEmpty() else [bad.select(POSITION)]
     for key in keys:
-        firsts = alive.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min("_order").alias("_first"))
-        repeated = firsts.filter("_n > 1").select(key, "_first")
-        turned_down = alive.join(repeated, key).filter("_order != _first").select(*POSITION)
+        turned_down = []
+        if not alive.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty():
+            firsts = alive.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min("_order").alias("_first"))
+            repeated = firsts.filter("_n > 1").select(key, "_first")
+            turned_down.append(alive.join(repeated, key).filter("_order != _first").select(POSITION))
         if stored is not None:
-            known = alive.join(stored.select(key), key, "left_semi").select(*POSITION)
-            turned_down = turned_down.unionByName(known).distinct()
-        rejected.append(turned_down)
-        alive = alive.join(turned_down, POSITION, "left_anti")
-    return reduce(DataFrame.unionByName, rejected)
+            known = alive.join(stored.select(key), key, "left_semi")
+            turned_down.append(known.select(POSITION))
+        if turned_down:
+            positions = reduce(DataFrame.unionByName, turned_down)
+            positions = positions.distinct() if len(turned_down) > 1 else positions
+            rejected.append(positions)
+            alive = alive.join(positions, POSITION, "left_anti")
+    return reduce(DataFrame.unionByName, rejected) if rejected else None
 
 
 def _spread(df: DataFrame, table: str) -> tuple[DataFrame, list[str]]:
@@ -108,11 +115,10 @@ def _accepted(
     spark = df.sparkSession
     names = TABLES[table].names
     staging = f"{base}/{table}/staging/writer={writer}"
-    complete(df, TABLES[table]).write.mode("overwrite").parquet(staging)
-    staged = spark.read.schema(TABLES[table]).parquet(staging).select(
-        *names, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-    rejected = _rejected_positions(staged, table, stored)
-    if rejected.isEmpty():
+    complete(df, TABLES[table]).withColumn(POSITION, F.monotonically_increasing_id()).write.mode("overwrite").parquet(staging)
+    staged = spark.read.schema(T.StructType([*TABLES[table], T.StructField(POSITION, T.LongType())])).parquet(staging)
+    rejected = _rejected_positions(staged, table, None if stored is None or stored.isEmpty() else stored)
+    if rejected is None or rejected.isEmpty():
         return staged.select(*names)
     staged.join(rejected, POSITION, "left_semi").select(*names).write.mode(mode).parquet(
         f"{base}/{table}/rejects/{folder}")

@@ -12,6 +12,9 @@ RUNTIME_SETTINGS = {
     # Split a skewed join even if a later operator then needs one more shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Stored columns that repeat or count up shrink to a few bytes a row, so file sizes tell too little of
+    # the rows in memory; without a factor the planner broadcasts (through the driver) millions of keys.
+    "spark.sql.sources.fileCompressionFactor": "10",
 }
 
 
