@@ -745,3 +745,37 @@ def test_rows_without_rejects_shuffle_only_their_keys(spark, tmp_path):
     assert store._rejected_positions(twice, "reviews", None).count() == 50
     known = store._rejected_positions(numbered, "reviews", clean.filter("id < 7"))
     assert known.count() == 7
+
+
+def test_staged_order_names_files_by_number(spark, tmp_path):
+    for name, values in (("b", (3, 4)), ("a", (1, 2))):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{name}.csv").write_text("place_id,a.b\n" + "".join(f"p,{v}\n" for v in values))
+    rows = migration.stage_csv(spark, str(tmp_path / "in"), str(tmp_path / "store"), "x")
+    assert rows.schema[migration.ROW].dataType["file"].dataType.simpleString() == "int"
+    assert [r["a.b"] for r in rows.orderBy(migration.ROW).collect()] == ["1", "2", "3", "4"]
+
+
+def test_split_with_staging_gives_the_same_rows(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("p" if i % 3 else "q", f"a{i % 4}" if i % 5 else None, f"t{i % 6}", "5", "Positif", i) for i in range(60)],
+        "place_id string, author string, text string, rating string, sentiment string, line int")
+    stored = columns.complete(rows.filter("line = 7").withColumn("id", F.lit(90)), REVIEWS)
+    plain = migration.split_classified(rows, NOW, ["line"], stored, 3, 1)
+    staged = migration.split_classified(rows, NOW, ["line"], stored, 3, 1, staging=str(tmp_path / "numbered"))
+    for name in ("places", "reviews", "classifications"):
+        assert sorted(map(str, plain[name].collect())) == sorted(map(str, staged[name].collect()))
+    assert staged["reviews"].agg(F.min("id")).head()[0] == 91
+
+
+def test_empty_table_is_not_compared(spark):
+    new = spark.createDataFrame([(1,), (None,)], "review_id long")
+    assert migration._unstored(new, new.limit(0), "review_id") is new
+    assert [r.review_id for r in migration._unstored(new, new, "review_id").collect()] == [None]
+
+
+def test_ids_cut_by_a_larger_table_are_the_same(spark):
+    rows = spark.range(0, 500, 1, 4).select(F.col("id").alias("at"))
+    few = rows.filter("at % 7 = 0")
+    cut = assign_ids(few, ["at"], after=2, cut_by=rows)
+    assert sorted((r.id, r["at"]) for r in cut.collect()) == [(3 + i, v) for i, v in enumerate(range(0, 500, 7))]

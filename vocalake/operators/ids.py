@@ -43,15 +43,18 @@ def _slot(values: Column, kind: T.StructType, splits: Sequence[Row], first: int
         _slot(values, kind, splits[middle + 1:], first + middle + 1))
 
 
-def assign_ids(df: DataFrame, order: Sequence[str], after: int | Column = 0, name: str = "id") -> DataFrame:
+def assign_ids(
+    df: DataFrame, order: Sequence[str], after: int | Column = 0, name: str = "id", cut_by: DataFrame | None = None
+) -> DataFrame:
     """Number the rows ``after + 1, after + 2, ...`` in the given total order.
 
     Slots of the order are cut at literal values, taken from a bounded sample while the plan is built, so
     a recomputation cuts alike and nothing has to be written. A row's id is its rank inside its slot plus
     the sizes of the slots before it; the sizes need the order columns only, and one small row per slot
-    passes through a window without a key.
+    passes through a window without a key. ``cut_by``, a table that holds all the rows and perhaps others,
+    gives the sample in place of ``df`` where it is cheaper to read.
     """
-    splits = _splits(df, order)
+    splits = _splits(df if cut_by is None else cut_by, order)
     compared = F.struct(*[_comparable(df, c).alias(c) for c in order])
     kind = df.select(compared.alias("v")).schema["v"].dataType
     placed = df.withColumn("_slot", _slot(compared, kind, splits))

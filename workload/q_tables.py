@@ -274,22 +274,29 @@ def _(spark, sf):
 
 # ------------------------------------------------------------------------------ classified import
 
-def flat_classified(spark, sf):
-    """Flat classified file: review, place and label columns; some rows lack a place id or text."""
-    reviews = b.reviews(spark, sf)
+def _flat_rows(spark, sf):
+    """Reviews with labels, flags in one number, and place. Rows gain the columns of the place last, in one join."""
     labels = b.classifications(spark, sf).select(F.col("review_id").alias("id"), "sentiment", "rationale")
-    flags = b.flags(spark, sf).select(F.col("review_id").alias("id"), *[
-        F.col(c).cast("string").alias(CATEGORY_COLUMNS[c]) for c in FLAG_COLUMNS])
-    rows = reviews.join(labels, "id").join(flags, "id", "left").withColumnRenamed("id", "line")
-    home = b.places(spark, sf).select("place_id", "latitude", "longitude", "potential")
-    return rows.join(home, "place_id").select(
+    masks = b.flag_masks(spark, sf).withColumnRenamed("review_id", "id")
+    home = b.homes(spark, sf).join(b.places(spark, sf).select("place_id", "latitude", "longitude", "potential"), "place_id")
+    rows = b.homeless_reviews(spark, sf).join(labels, "id").join(masks, "id", "left")
+    return rows.withColumnRenamed("id", "line").join(home, "place_id")
+
+
+def _flat_columns(rows):
+    """Flat classified file: review, place and label columns; some rows lack a place id or text."""
+    return rows.select(
         F.when(F.col("line") % 13 != 0, F.col("place_id")).alias("place_id"), F.col("business").alias("bank"),
         F.col("agency_name").alias("google_maps_name"), "city", "region", "latitude", "longitude", "potential",
         F.when(F.col("line") % 5 != 0, F.col("text")).alias("review_text"),
         F.when(F.col("line") % 6 != 0, F.col("author")).alias("review_name"),
         F.when(F.col("line") % 8 != 0, F.col("rating").cast("double")).alias("rating"), "review_date",
         F.col("review_date_parsed").cast("string").alias("month"), "sentiment", "rationale", "line",
-        *[F.col(f"`{CATEGORY_COLUMNS[c]}`") for c in FLAG_COLUMNS])
+        *[b.flag_of(F.col("mask"), c).cast("string").alias(CATEGORY_COLUMNS[c]) for c in FLAG_COLUMNS])
+
+
+def flat_classified(spark, sf):
+    return _flat_columns(_flat_rows(spark, sf))
 
 
 CLASSIFIED = """
@@ -345,7 +352,7 @@ UNION ALL SELECT 'processing_runs', 1""",
 def _flat_file(spark, sf):
     """The flat file as CSV in key order; returns (path, base of a fresh store)."""
     base = b.scratch(spark)
-    rows = flat_classified(spark, sf).orderBy("line").drop("line")
+    rows = _flat_columns(_flat_rows(spark, sf).orderBy("line")).drop("line")
     export_csv(rows, f"{base}/flat.csv", wide=False)
     return f"{base}/flat.csv", f"{base}/store"
 

@@ -51,18 +51,24 @@ def places(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def reviews(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders")
-    home = places(spark, sf).select("place_id", "business", "city", "region", F.col("name").alias("agency_name"))
+def homeless_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    """Reviews without the columns of their place."""
     day = F.col("o_orderdate").cast("date")
-    rows = orders.select(
+    return table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("place_id"),
         F.col("o_custkey").cast("string").alias("author"),
         F.substring("o_orderpriority", 1, 1).cast("int").alias("rating"), F.col("o_orderpriority").alias("text"),
         day.cast("string").alias("review_date"), day.alias("review_date_parsed"),
         F.lit(None).cast("string").alias("language"), F.lit("google_maps").alias("source"),
     )
-    return rows.join(home, "place_id")
+
+
+def homes(spark: SparkSession, sf: str) -> DataFrame:
+    return places(spark, sf).select("place_id", "business", "city", "region", F.col("name").alias("agency_name"))
+
+
+def reviews(spark: SparkSession, sf: str) -> DataFrame:
+    return homeless_reviews(spark, sf).join(homes(spark, sf), "place_id")
 
 
 def sentiment_of(status: Column) -> Column:
@@ -105,6 +111,17 @@ def flags(spark: SparkSession, sf: str) -> DataFrame:
         *[F.max((index == i).cast("int")).alias(name) for i, name in enumerate(FLAG_COLUMNS)])
 
 
+def flag_masks(spark: SparkSession, sf: str) -> DataFrame:
+    """The flags of a review as the bits of one number, which is shorter to shuffle."""
+    index = (F.col("l_partkey") % 17).cast("int")
+    bit = F.when(index < 0, 0).otherwise(F.call_function("shiftleft", F.lit(1), index))
+    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("review_id")).agg(F.bit_or(bit).alias("mask"))
+
+
+def flag_of(mask: Column, name: str) -> Column:
+    return F.shiftright(mask, FLAG_COLUMNS.index(name)).bitwiseAND(F.lit(1))
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
 
