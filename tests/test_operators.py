@@ -779,3 +779,22 @@ def test_ids_cut_by_a_larger_table_are_the_same(spark):
     few = rows.filter("at % 7 = 0")
     cut = assign_ids(few, ["at"], after=2, cut_by=rows)
     assert sorted((r.id, r["at"]) for r in cut.collect()) == [(3 + i, v) for i, v in enumerate(range(0, 500, 7))]
+
+
+def test_python_batches_are_bounded_by_bytes(spark):
+    """2 000 texts of 20 kB in one task: no batch for Python may hold them all."""
+    configure(spark)
+
+    @F.pandas_udf("long")
+    def batch_size(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(texts)] * len(texts))
+
+    texts = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("é"), 10_000).alias("t"))
+    assert texts.select(batch_size("t").alias("n")).agg(F.max("n")).head()[0] < 1000
+
+
+def test_exact_fold_of_odd_texts(spark):
+    values = ["  Été ", "ﬁn ½ ㎏", "İstanbul ΣΑΣ", "", None, "𝐀́b  "]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string").coalesce(1)
+    got = [r.f for r in rows.select("i", text.fold_ascii(F.col("t"), exact=True).alias("f")).orderBy("i").collect()]
+    assert got == ["ete", "fin 12 kg", "istanbul ", "", "", "Ab"]

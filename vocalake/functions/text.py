@@ -74,7 +74,7 @@ def strip(col: Column) -> Column:
 @F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     """Exact compatibility composition, for scripts the native path leaves alone."""
-    return texts.str.normalize("NFKC")
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
 def normalize_whitespace(col: Column, exact: bool = False) -> Column:
@@ -86,10 +86,14 @@ def normalize_whitespace(col: Column, exact: bool = False) -> Column:
     return F.btrim(F.regexp_replace(blanks, " {2,}", " "))
 
 
+def _ascii_of(text: str) -> str:
+    return unicodedata.normalize("NFKD", text.lower().strip()).encode("ascii", errors="ignore").decode("ascii")
+
+
 @F.pandas_udf(T.StringType())
 def _fold_ascii_exact(texts: pd.Series) -> pd.Series:
-    folded = texts.str.lower().str.strip().str.normalize("NFKD")
-    return folded.str.encode("ascii", errors="ignore").str.decode("ascii")
+    # Text by text, so that the forms between exist for one text at a time and not for the batch.
+    return texts.map(_ascii_of, na_action="ignore")
 
 
 def _without_marks(text: str) -> str:

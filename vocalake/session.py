@@ -15,6 +15,8 @@ RUNTIME_SETTINGS = {
     # Stored columns that repeat or count up shrink to a few bytes a row, so file sizes tell too little of
     # the rows in memory; without a factor the planner broadcasts (through the driver) millions of keys.
     "spark.sql.sources.fileCompressionFactor": "10",
+    # Arrow batches for Python end at so many bytes or 10 000 rows; by rows alone, long texts make them large.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4MB",
 }
 
 
